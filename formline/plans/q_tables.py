@@ -389,7 +389,7 @@ def j11(spark, d):
     return _r(out, ["match_rate"], ["matched", "left_only", "right_only", "passed"])
 
 
-@query("j12_join_weather", C(f""", rdg as (select s_nationkey place, cast(l_shipdate as date) match_date, avg(l_quantity) t, avg(l_discount) * 10 p, avg(l_tax) * 100 w
+@query("j12_join_weather", C(f""", rdg as (select s_nationkey place, cast(l_shipdate as date) match_date, avg(l_quantity) t, {R('avg(l_discount) * 10')} p, {R('avg(l_tax) * 100')} w
     from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2)
   select match_id, {R('coalesce(t, 15e0)')} temperature, {R('coalesce(p, 0e0)')} precipitation, {R('coalesce(w, 10e0)')} wind_speed
   from contests c left join rdg r on r.place = c.pool and r.match_date = c.match_date"""))
@@ -403,7 +403,7 @@ def weather_tables(spark, d):
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("place"))
     lines = table(spark, d, "lineitem").join(sup, "l_suppkey")
     readings = lines.groupBy("place", F.to_date("l_shipdate").alias("match_date")).agg(
-        F.avg("l_quantity").alias("temperature"), (F.avg("l_discount") * 10).alias("precipitation"), (F.avg("l_tax") * 100).alias("wind_speed"))
+        F.avg("l_quantity").alias("temperature"), r6(F.avg("l_discount") * 10).alias("precipitation"), r6(F.avg("l_tax") * 100).alias("wind_speed"))
     places = table(spark, d, "nation").select(F.col("n_nationkey").alias("pool"), F.col("n_nationkey").alias("place"))
     return places, readings
 
