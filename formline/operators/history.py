@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,18 @@ def with_past(long: DataFrame, cols: Sequence[str], n: int, strict: str = "time"
     return attach(long, last_n_before(long, keys, T, ID, cols, n, out), keys, T)
 
 
+def from_past(long: DataFrame, cols: Sequence[str], n: int, values: Mapping[str, Column], strict: str = "time") -> DataFrame:
+    """``long`` plus expressions over its ``past``.
+
+    With day-strict history the expressions run on the ledger, so the join back to the rows carries
+    finished numbers instead of lists. A row without history sees an empty list.
+    """
+    if strict == "row":
+        return last_rows_before(long, [ENT], T, ID, cols, n, "past").withColumns(dict(values)).drop("past")
+    ledger = last_n_before(long, [ENT], T, ID, cols, n, "past")
+    return attach(long, ledger.select(ENT, T, *[v.alias(k) for k, v in values.items()]), [ENT], T)
+
+
 def null_sum(arr: Column) -> Column:
     kept = F.filter(arr, lambda x: x.isNotNull())
     return F.when(F.size(kept) > 0, arr_sum(kept))
@@ -49,9 +61,9 @@ def rolling(long: DataFrame, cols: Sequence[str], windows: Sequence[int], how: s
             strict: str = "row") -> DataFrame:
     """``<col>_<how>_<w>`` over the previous ``w`` games; all windows share one history."""
     fn = {"mean": arr_mean, "sum": null_sum}[how]
-    past = with_past(long, cols, max(windows), strict)
-    return past.withColumns({f"{c}_{how}_{w}": fn(field(tail(F.col("past"), w), c)) for c in cols for w in windows}
-                            ).drop("past")
+    n = max(windows)
+    cut = lambda w: F.col("past") if w == n else tail(F.col("past"), w)
+    return from_past(long, cols, n, {f"{c}_{how}_{w}": fn(field(cut(w), c)) for c in cols for w in windows}, strict)
 
 
 def efficiency_value(num: Column, den: Column, mode: str) -> Column:
@@ -67,9 +79,8 @@ def efficiency_value(num: Column, den: Column, mode: str) -> Column:
 
 
 def efficiency(long: DataFrame, num: str, den: str, w: int, mode: str = "null_if_zero", strict: str = "row") -> DataFrame:
-    past = with_past(long, [num, den], w, strict)
     a, b = null_sum(field(F.col("past"), num)), null_sum(field(F.col("past"), den))
-    return past.withColumn(f"eff_{w}", efficiency_value(a, b, mode)).drop("past")
+    return from_past(long, [num, den], w, {f"eff_{w}": efficiency_value(a, b, mode)}, strict)
 
 
 def momentum(long: DataFrame, col: str, w: int) -> DataFrame:
@@ -83,9 +94,8 @@ def momentum(long: DataFrame, col: str, w: int) -> DataFrame:
 
 
 def form_points(long: DataFrame, w: int = 5, default: float = NEUTRAL) -> DataFrame:
-    past = with_past(long, ["points"], w)
     pts = field(F.col("past"), "points")
-    return past.withColumn("form", F.coalesce(F.try_divide(arr_sum(pts), 3.0 * F.size(pts)), F.lit(default))).drop("past")
+    return from_past(long, ["points"], w, {"form": F.coalesce(F.try_divide(arr_sum(pts), 3.0 * F.size(pts)), F.lit(default))})
 
 
 def split_past(long: DataFrame, cols: Sequence[str], w: int, out: str = "past") -> DataFrame:
@@ -101,7 +111,7 @@ def split_past(long: DataFrame, cols: Sequence[str], w: int, out: str = "past")
     none = F.slice(F.coalesce("h", "a"), 1, 0)
     merged = F.concat(F.coalesce("h", none), F.coalesce("a", none))
     by_time = F.transform(merged, lambda x: F.struct(x[T].alias(T), x["id"].alias("id"), *[x[c].alias(c) for c in cols]))
-    return both.select(ENT, T, tail(F.array_sort(by_time), w).alias(out))
+    return both.select(ENT, T, F.array_sort(by_time).alias("_all")).select(ENT, T, tail(F.col("_all"), w).alias(out))
 
 
 def form_points_split(matches: DataFrame, long: DataFrame, w: int = 5) -> DataFrame:
@@ -135,11 +145,12 @@ def h2h_points(matches: DataFrame, w: int = 5) -> DataFrame:
     pts = F.when(F.col("result") == "D", F.lit(1)).when((F.col("result") == "H") == (F.col("home") == F.col("lo")), 3).otherwise(0)
     opp = F.when(F.col("result") == "D", F.lit(1)).otherwise(F.lit(3) - pts)
     m = m.withColumns({"lo_points": pts, "hi_points": opp})
-    out = attach(m, last_n_before(m, ["lo", "hi"], T, ID, ["lo_points", "hi_points"], w), ["lo", "hi"], T)
-    mine = F.when(F.col("home") == F.col("lo"), arr_sum(field(F.col("past"), "lo_points"))).otherwise(
-        arr_sum(field(F.col("past"), "hi_points")))
-    return out.withColumn("h2h", F.coalesce(F.try_divide(mine, 3.0 * F.size("past")), F.lit(NEUTRAL))).drop(
-        "past", "lo", "hi", "lo_points", "hi_points")
+    ledger = last_n_before(m, ["lo", "hi"], T, ID, ["lo_points", "hi_points"], w)
+    share = {f"{s}_share": F.try_divide(arr_sum(field(F.col("past"), f"{s}_points")), 3.0 * F.size("past")) for s in ("lo", "hi")}
+    out = attach(m, ledger.select("lo", "hi", T, *[v.alias(k) for k, v in share.items()]), ["lo", "hi"], T)
+    mine = F.when(F.col("home") == F.col("lo"), F.col("lo_share")).otherwise(F.col("hi_share"))
+    return out.withColumn("h2h", F.coalesce(mine, F.lit(NEUTRAL))).drop(
+        "lo", "hi", "lo_points", "hi_points", "lo_share", "hi_share")
 
 
 def h2h_winrate(matches: DataFrame, min_games: int = 1) -> DataFrame:
@@ -210,18 +221,16 @@ def decay_form(matches: DataFrame, long: DataFrame, decay: float = DECAY, n: int
 
 
 def result_slope(long: DataFrame, w: int = SLOPE_GAMES) -> DataFrame:
-    past = with_past(long, ["res"], w)
     y = F.transform(field(F.col("past"), "res"), lambda r: (r + 1).cast("double"))
     mid = (w - 1) / 2.0
     spread = sum((i - mid) ** 2 for i in range(w))
     slope = arr_sum(F.transform(y, lambda v, i: v * (i - mid))) / spread
-    return past.withColumn("slope", F.when(F.size(y) >= w, (slope + 2) / 4).otherwise(NEUTRAL)).drop("past")
+    return from_past(long, ["res"], w, {"slope": F.when(F.size("past") >= w, (slope + 2) / 4).otherwise(NEUTRAL)})
 
 
 def result_volatility(long: DataFrame, n: int = VOLATILITY_GAMES, least: int = VOLATILITY_MIN) -> DataFrame:
-    past = with_past(long, ["res"], n)
     y = F.transform(field(F.col("past"), "res"), lambda r: (r + 1).cast("double"))
-    return past.withColumn("volatility", F.when(F.size(y) >= least, arr_std(y) / 2).otherwise(NEUTRAL)).drop("past")
+    return from_past(long, ["res"], n, {"volatility": F.when(F.size("past") >= least, arr_std(y) / 2).otherwise(NEUTRAL)})
 
 
 def perf_momentum(long: DataFrame, include_current: bool = False) -> DataFrame:

@@ -62,17 +62,20 @@ def last_n_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Seq
 
     Every ledger day holds at least one row, so ``n`` earlier days are always enough.
     """
-    days = day_tails(df, keys, t, id, cols, n)
-    frame = W.partitionBy(*keys).orderBy(t).rowsBetween(-n, -1)
-    return days.select(*keys, t, tail(F.flatten(F.collect_list("tail").over(frame)), n).alias(out))
+    return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-n, -1), n, out)
+
+
+def _merged(days: DataFrame, keys: Sequence[str], t: str, rows: tuple[int, int], n: int, out: str) -> DataFrame:
+    frame = W.partitionBy(*keys).orderBy(t).rowsBetween(*rows)
+    # The list is a column of its own before it is cut, so it is built once.
+    merged = days.select(*keys, t, F.flatten(F.collect_list("tail").over(frame)).alias("_all"))
+    return merged.select(*keys, t, tail(F.col("_all"), n).alias(out))
 
 
 def last_n_state(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,
                  out: str = "state") -> DataFrame:
     """Like ``last_n_before`` but including day ``t``: the state once the day is over."""
-    days = day_tails(df, keys, t, id, cols, n)
-    frame = W.partitionBy(*keys).orderBy(t).rowsBetween(-(n - 1), 0)
-    return days.select(*keys, t, tail(F.flatten(F.collect_list("tail").over(frame)), n).alias(out))
+    return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-(n - 1), 0), n, out)
 
 
 def last_rows_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,
@@ -87,7 +90,9 @@ def last_rows_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols:
     frame = W.partitionBy(*keys, t).orderBy(id).rowsBetween(-n, -1)
     today = df.withColumn("_today", F.collect_list(item).over(frame))
     joined = today.join(carry, [*keys, t], "left")
-    past = tail(F.concat(F.col("_carry"), F.col("_today")), n)
+    # Most rows are the only one of their day and take the carried list as it is.
+    full = F.concat("_carry", "_today")
+    past = F.when(F.size("_today") == 0, F.col("_carry")).otherwise(tail(full, n))
     return joined.withColumn(out, past).drop("_carry", "_today")
 
 

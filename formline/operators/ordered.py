@@ -23,10 +23,13 @@ def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
     return df.agg(F.array_distinct(edges).alias("e")).scalar()
 
 
-def with_bucket(df: DataFrame, col: str, edges: Column, out: str = "_b") -> DataFrame:
-    """``df`` plus the number of edges below each value."""
-    return (df.withColumn("_edges", edges)
-            .withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(col)))).drop("_edges"))
+def with_bucket(df: DataFrame, col: str, edges: Column, out: str = "_b", step: int = 16) -> DataFrame:
+    """``df`` plus the number of edges below each value, looked up in two short hops."""
+    v = F.col(col)
+    below = lambda arr: F.size(F.filter(arr, lambda e: e < v))
+    coarse = df.withColumn("_edges", edges).withColumn(
+        "_c", below(F.filter("_edges", lambda e, i: (i % step) == step - 1)) * step)
+    return coarse.withColumn(out, F.col("_c") + below(F.slice("_edges", F.col("_c") + 1, step))).drop("_edges", "_c")
 
 
 def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (),
@@ -82,13 +85,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     # At most len(cols) * len(probs) brackets, so this side is bounded by the call itself.
     tagged = counts.join(F.broadcast(brackets), "col")
     below = tagged.groupBy("col", "k").agg(
-        F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0)).alias("skip"))
+        F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0)).alias("skip"),
+        # On few rows a wanted rank can be the neighbour of the bracket.
+        F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("under"),
+        F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("over"))
     near = tagged.filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
     run = W.partitionBy("col", "k").orderBy("value")
     placed = near.join(F.broadcast(below), ["col", "k"]).withColumn("upto", F.col("skip") + F.sum("n").over(run))
     start = F.col("upto") - F.col("n")
     floor, ceil = F.floor("rank"), F.ceil("rank")
-    pick = lambda at: F.max(F.when((start <= at) & (at < F.col("upto")), F.col("value")))
+    inside = lambda at: F.max(F.when((start <= at) & (at < F.col("upto")), F.col("value")))
+    outside = lambda at: F.when(at < F.first("skip"), F.first("under")).otherwise(F.first("over"))
+    pick = lambda at: F.coalesce(inside(at), outside(F.first(at)))
     ends = placed.groupBy("col", "k", "p", "rank").agg(pick(floor).alias("a"), pick(ceil).alias("b"))
     return ends.select("col", "p", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("q"))
 
@@ -101,14 +109,17 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
-    """``df`` plus the tie-averaged rank of each column over its non-null values."""
-    counts = value_counts(df, cols)
-    ranked = running_counts(counts, "value", ["n"], keys=["col"]).select(
-        "col", "value", (F.col("n_before") + (F.col("n") + 1) / 2).alias("_r"))
+    """``df`` plus the tie-averaged rank of each column over its non-null values.
+
+    Ranks are computed per distinct value and joined back by value; the value side is as small as
+    the column's domain and Spark broadcasts it when its measured size allows.
+    """
     out = df
     for c in cols:
-        part = ranked.filter(F.col("col") == c).select(F.col("value").alias(f"_v_{c}"), F.col("_r").alias(c + suffix))
-        out = out.join(part, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        counts = df.groupBy(F.col(c).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("_v").isNotNull())
+        ranked = running_counts(counts, "_v", ["n"]).select(
+            F.col("_v").alias(f"_v_{c}"), (F.col("n_before") + (F.col("n") + 1) / 2).alias(c + suffix))
+        out = out.join(ranked, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return out
 
 
@@ -130,19 +141,22 @@ def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: in
 def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, buckets: int = BUCKETS) -> DataFrame:
     """(rank, t, id) of the rows at the given 1-based positions in (t, id) order.
 
-    ``ranks`` is a short array. Only the (day, id range) cells that hold a wanted position are
-    ordered; everything else is counted.
+    ``ranks`` is a short array. Days are counted first; only the days that hold a wanted position
+    are cut into id ranges, and only the ranges that hold one are ordered.
     """
-    keys = df.select(t, id)
-    cut = with_bucket(keys, id, cut_points(keys, id, buckets))
-    ledger = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy(t, "_b").rowsBetween(W.unboundedPreceding, -1)
-    cells = ledger.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = lambda r: (r > F.col("_o")) & (r <= F.col("_o") + F.col("_n"))
-    hit = cells.withColumn("_ranks", ranks).withColumn("_ranks", F.filter("_ranks", inside)).filter(F.size("_ranks") > 0)
-    # At most one cell per wanted rank.
-    rows = cut.join(F.broadcast(hit.select(t, "_b", "_o", "_ranks")), [t, "_b"])
-    placed = rows.withColumn("rank", F.col("_o") + F.row_number().over(W.partitionBy(t, "_b").orderBy(id)))
+    inside = lambda lo, n: F.filter("_ranks", lambda r: (r > lo) & (r <= lo + n))
+    before = W.orderBy(t).rowsBetween(W.unboundedPreceding, -1)
+    days = df.groupBy(t).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    hit = days.withColumn("_ranks", ranks).withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
+    # At most one day, and below at most one cell, per wanted rank.
+    rows = df.select(t, id).join(F.broadcast(hit.select(t, "_o", "_ranks")), t)
+    cut = with_bucket(rows, id, cut_points(rows, id, buckets))
+    cells = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_o").alias("_o"), F.first("_ranks").alias("_ranks"))
+    run = W.partitionBy(t).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    wanted = cells.withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
+    near = cut.drop("_o", "_ranks").join(F.broadcast(wanted.select(t, "_b", "_o", "_ranks")), [t, "_b"])
+    placed = near.withColumn("rank", F.col("_o") + F.row_number().over(W.partitionBy(t, "_b").orderBy(id)))
     return placed.filter(F.array_contains("_ranks", F.col("rank"))).select("rank", t, id)
 
 

@@ -219,19 +219,19 @@ def _fold_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, c, lo, hi = None, 0.0, 0.0, 1.0
 
     def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("ent", "match_date", "c", "lo", "hi"), (*key, c, lo, hi))})
+        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("ent", "day", "c", "lo", "hi"), (*key, c, lo, hi))})
 
     for batch in batches:
         d = batch.to_pydict()
         done: list[tuple] = []
-        for ent, day, delta in zip(d["ent"], d["match_date"], d["delta"]):
+        for ent, day, delta in zip(d["ent"], d["day"], d["delta"]):
             if (ent, day) != key:
                 if key is not None:
                     done.append((*key, c, lo, hi))
                 key, c, lo, hi = (ent, day), 0.0, 0.0, 1.0
             c, lo, hi = c + delta, _clamp(lo + delta), _clamp(hi + delta)
         if done:
-            yield pa.RecordBatch.from_pydict(dict(zip(("ent", "match_date", "c", "lo", "hi"), map(list, zip(*done)))))
+            yield pa.RecordBatch.from_pydict(dict(zip(("ent", "day", "c", "lo", "hi"), map(list, zip(*done)))))
     if key is not None:
         yield emit()
 
@@ -247,7 +247,7 @@ def _open_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 who, x = ent, COUNTER_START
             before.append(x)
             x = min(hi, max(lo, x + c))
-        yield pa.RecordBatch.from_pydict({"ent": d["ent"], "match_date": d["match_date"], "x": before})
+        yield pa.RecordBatch.from_pydict({"ent": d["ent"], "day": d["day"], "x": before})
 
 
 def _inside_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def _inside_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d = batch.to_pydict()
         before = []
-        for ent, day, start, delta in zip(d["ent"], d["match_date"], d["x"], d["delta"]):
+        for ent, day, start, delta in zip(d["ent"], d["day"], d["x"], d["delta"]):
             if (ent, day) != key:
                 key, x = (ent, day), start
             before.append(x)
@@ -270,13 +270,12 @@ def bounded_counter(long: DataFrame, up: float = UP, down: float = DOWN, decay:
     of an entity chain on a small ledger, and the games of a day replay from the day's opening value.
     """
     delta = F.when(F.col("res") == 1, up).when(F.col("res") == -1, down).otherwise(decay)
-    rows = long.select("ent", "match_date", "match_id", "venue", delta.alias("delta"))
-    fold = rows.repartition("ent", "match_date").sortWithinPartitions("ent", "match_date", "match_id").mapInArrow(
-        _fold_days, "ent long, match_date date, c double, lo double, hi double")
-    opened = fold.repartition("ent").sortWithinPartitions("ent", "match_date").mapInArrow(
-        _open_days, "ent long, match_date date, x double")
-    joined = rows.join(opened, ["ent", "match_date"])
-    return joined.repartition("ent", "match_date").sortWithinPartitions("ent", "match_date", "match_id").mapInArrow(
+    rows = long.select("ent", F.unix_date("match_date").cast("long").alias("day"), "match_id", "venue", delta.alias("delta"))
+    fold = rows.repartition("ent", "day").sortWithinPartitions("ent", "day", "match_id").mapInArrow(
+        _fold_days, "ent long, day long, c double, lo double, hi double")
+    opened = fold.repartition("ent").sortWithinPartitions("ent", "day").mapInArrow(_open_days, "ent long, day long, x double")
+    joined = rows.join(opened, ["ent", "day"])
+    return joined.repartition("ent", "day").sortWithinPartitions("ent", "day", "match_id").mapInArrow(
         _inside_days, "match_id long, venue string, ent long, counter double")
 
 

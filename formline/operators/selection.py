@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import safe_corr
 from formline.operators.ordered import average_ranks
+from formline.session import stored
 
 MIN_VARIANCE = 1e-10  # fixed value
 
@@ -44,7 +45,8 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], others: Sequence[str] | No
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    ranked = average_ranks(df.select(*cols).dropna(), cols)
+    # Every column is passed over several times, so the narrow input is written once.
+    ranked = average_ranks(stored(df.select(*cols).dropna(), "spearman"), cols)
     out = pearson_pairs(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols)
     return out.withColumnRenamed("r", "rho")
 

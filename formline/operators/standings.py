@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from formline.operators.history import TABLE_SPAN, UNSEEN_POSITION
 from formline.operators.ledger import attach_sides
 
-_OUT = pa.schema([("pool", pa.int64()), ("season", pa.int32()), ("match_date", pa.date32()), ("ent", pa.int64()),
+_OUT = pa.schema([("pool", pa.int64()), ("season", pa.int32()), ("day", pa.int32()), ("ent", pa.int64()),
                   ("position", pa.int64()), ("ranked", pa.int64())])
 
 
@@ -38,7 +38,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
         position, ranked = [], []
-        for key, when, ent, pts in zip(zip(rows["pool"], rows["season"]), rows["match_date"], rows["ent"], rows["pts"]):
+        for key, when, ent, pts in zip(zip(rows["pool"], rows["season"]), rows["day"], rows["ent"], rows["pts"]):
             if key != season_key:
                 table.clear(), points.clear(), pending.clear()
                 season_key, day = key, when
@@ -50,16 +50,18 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked.append(len(table))
             pending.append((ent, pts))
         yield pa.RecordBatch.from_pydict(
-            {"pool": rows["pool"], "season": rows["season"], "match_date": rows["match_date"], "ent": rows["ent"],
+            {"pool": rows["pool"], "season": rows["season"], "day": rows["day"], "ent": rows["ent"],
              "position": position, "ranked": ranked}, schema=_OUT)
 
 
 def standings_before(long: DataFrame, keys: Sequence[str] = ("pool", "season")) -> DataFrame:
     """Ledger (pool, season, match_date, ent): position among the entities seen before the day, and how many there are."""
     days = long.groupBy(*keys, "match_date", "ent").agg(F.sum("points").cast("long").alias("pts"))
-    typed = days.withColumns({"pool": F.col("pool").cast("long"), "season": F.col("season").cast("int")})
-    ordered = typed.repartition(*keys).sortWithinPartitions(*keys, "match_date", "ent")
-    return ordered.mapInArrow(_positions, "pool long, season int, match_date date, ent long, position long, ranked long")
+    typed = days.select(F.col("pool").cast("long").alias("pool"), F.col("season").cast("int").alias("season"),
+                        F.unix_date("match_date").alias("day"), "ent", "pts")
+    ordered = typed.repartition(*keys).sortWithinPartitions(*keys, "day", "ent")
+    out = ordered.mapInArrow(_positions, "pool long, season int, day int, ent long, position long, ranked long")
+    return out.withColumn("match_date", F.date_from_unix_date("day")).drop("day")
 
 
 def positions_before(matches: DataFrame, long: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formline.operators.evaluation import CLASSES, hit, row_log_loss, time_series_folds
-from formline.operators.ordered import cut_points, with_bucket
-from formline.session import scratch
+from formline.operators.ordered import BUCKETS, cut_points, with_bucket
+from formline.session import stored
 
 # Fixed values.
 SEED = 42
@@ -37,13 +37,6 @@ class ForestParams:
     extra: Mapping[str, object] = field(default_factory=dict)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back, so repeated fits start from files and survive lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Feature vector; rows with a missing feature are left to the caller to fill or drop."""
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
@@ -166,8 +159,8 @@ def oversample(df: DataFrame, features: Sequence[str], label: str, minority: int
 
     Neighbours are searched along random projections: each row looks at its 2k nearest rows in
     projected order, so a row has at most 2 * k * projections candidates however dense its region.
-    Order is resolved inside equal-depth buckets; a bucket that ties make too large is split by a
-    hash (rows that tie on the projection are interchangeable candidates).
+    Order is resolved inside near-equal cells; a cell that ties make too large is split by a hash
+    (rows that tie on the projection are interchangeable candidates).
     """
     rows = df.filter(F.col(label) == minority).select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     rows = stored(rows, "minority")
@@ -182,12 +175,19 @@ def oversample(df: DataFrame, features: Sequence[str], label: str, minority: int
         line = sum((F.col("z")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
         placed = scaled.withColumn("v", line)
         placed = with_bucket(placed, "v", cut_points(placed, "v"))
+        # Neighbouring buckets are joined until each part has room for 2k candidates; a table of at most one row per bucket.
         size = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        mean = size.agg(F.avg("_n").alias("m")).scalar()
-        parts = size.select("_b", F.ceil(F.col("_n") / (4 * mean)).alias("_parts"))
-        placed = placed.join(F.broadcast(parts), "_b")  # one row per bucket
+        upto = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        whole = W.partitionBy()
+        total = F.sum("_n").over(whole)
+        room = F.greatest(F.ceil(total / BUCKETS), F.lit(16 * k))
+        last = F.greatest(F.floor(total / room) - 1, F.lit(0))
+        cell = F.least(F.floor(F.coalesce(F.sum("_n").over(upto), F.lit(0)) / room), last)
+        cells = size.select("_b", "_n", cell.alias("_cell"), room.alias("_room"))
+        parts = cells.select("_b", "_cell", F.ceil(F.sum("_n").over(W.partitionBy("_cell")) / (4 * F.col("_room"))).alias("_parts"))
+        placed = placed.join(F.broadcast(parts), "_b")
         placed = placed.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.col("_parts")))
-        near = W.partitionBy("_b", "_salt").orderBy("v", key)
+        near = W.partitionBy("_cell", "_salt").orderBy("v", key)
         around = F.concat(F.collect_list(F.struct(key, "x", "z")).over(near.rowsBetween(-k, -1)),
                           F.collect_list(F.struct(key, "x", "z")).over(near.rowsBetween(1, k)))
         part = placed.select(key, "x", "z", around.alias("c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 import sys
 import time
 
@@ -57,7 +58,7 @@ def main(argv):
     import __spark_entry__ as entry
     from formline.session import local_session
 
-    folder = "/root/testdata/sf0.01"
+    folder = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     prefixes = argv or [""]
     spark, con = local_session(), connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
