@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import clip
 from formline.operators.ordered import running_counts, with_cut_positions
+from formline.session import stored
 
 T, ID = "match_date", "match_id"
 CLASSES = (0, 1, 2)
@@ -147,7 +148,7 @@ def roc_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """Exact rank-sum AUC with tied scores sharing their rank. Rows collapse to distinct scores first."""
     counts = df.groupBy(F.col(score).alias("value")).agg(
         F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg"))
-    run = running_counts(counts, "value", ["neg"])
+    run = running_counts(stored(counts, "scores"), "value", ["neg"])
     return run.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)),
                                 (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 

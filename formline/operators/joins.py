@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from formline.operators.ledger import as_of, attach_sides, sums_before
 from formline.operators.ordered import running_counts
 from formline.operators.shape import first_per_key
+from formline.session import stored
 
 MATCH_KEY = ("match_date", "home", "away")
 COVERAGE_GATE = 0.95  # fixed value
@@ -52,7 +53,7 @@ def pair_difference_stats(state: DataFrame, order: str, value: str) -> DataFrame
     with the running extremes before it.
     """
     counts = state.select(F.col(order).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(1).alias("one"))
-    placed = running_counts(counts, "_k", ["one"]).withColumn("pos", F.col("one_before"))
+    placed = running_counts(stored(counts, "state"), "_k", ["one"]).withColumn("pos", F.col("one_before"))
     n = F.count(F.lit(1))
     sums = placed.agg(n.alias("n"), F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"),
                       F.sum(F.col("_v") * F.col("pos")).alias("sp"))

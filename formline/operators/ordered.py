@@ -1,8 +1,11 @@
 """Global order without a global sort task: exact quantiles, ranks and row numbers.
 
-Rows are cut into a fixed number of near-equal buckets by a mergeable quantile sketch. Bucket
-totals are a few hundred rows, so their running sum is cheap, and the exact order is resolved
-inside each bucket in parallel. The sketch only places the cuts; results are exact.
+Rows are cut into a fixed number of near-equal buckets whose edges come from a mergeable quantile
+sketch. Bucket totals are a few hundred rows, so their running sum is cheap, and the exact order is
+resolved inside each bucket in parallel. The sketch only places the cuts; results are exact.
+
+Edges are fetched once (a few hundred numbers) and used as constants: a sketch may come out a
+little different when it runs again, and every branch of a plan must cut at the same places.
 """
 
 from __future__ import annotations
@@ -13,14 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from formline.session import stored
+
 BUCKETS = 256
+SMALL = 500_000  # rows one ordered pass may hold
 
 
 def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
-    """Scalar subquery: sorted bucket edges of ``col``."""
+    """Sorted bucket edges of ``col`` as a constant array of at most ``buckets - 1`` values."""
     probs = [i / buckets for i in range(1, buckets)]
-    edges = F.percentile_approx(F.col(col), probs, 10 * buckets)
-    return df.agg(F.array_distinct(edges).alias("e")).scalar()
+    kind = df.schema[col].dataType
+    edges = df.agg(F.array_distinct(F.percentile_approx(F.col(col), probs, 10 * buckets)).alias("e")).first()["e"]
+    return F.array(*[F.lit(e) for e in edges or []]).cast(f"array<{kind.simpleString()}>")
 
 
 def with_bucket(df: DataFrame, col: str, edges: Column, out: str = "_b", step: int = 16) -> DataFrame:
@@ -32,12 +39,17 @@ def with_bucket(df: DataFrame, col: str, edges: Column, out: str = "_b", step: i
     return coarse.withColumn(out, F.col("_c") + below(F.slice("_edges", F.col("_c") + 1, step))).drop("_edges", "_c")
 
 
-def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (),
-                   buckets: int = BUCKETS) -> DataFrame:
+def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), buckets: int = BUCKETS,
+                   small: int = SMALL) -> DataFrame:
     """``counts`` plus ``<s>_before`` for each summed column: total over all smaller values.
 
-    ``counts`` has one row per (keys, value). Keys name a small set of series (columns, folds).
+    ``counts`` has one row per (keys, value), already written (see ``stored``): it is passed over
+    several times. Keys name a small set of series (columns, folds). Up to ``small`` rows one
+    ordered pass per series is enough; beyond that the order is resolved bucket by bucket.
     """
+    if counts.count() <= small:
+        inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
     cut = with_bucket(counts, value, cut_points(counts, value, buckets))
     totals = cut.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -49,55 +61,57 @@ def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Seq
     }).drop("_b", *[f"_o_{s}" for s in sums])
 
 
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col, value, n) over the non-null values of several columns, combined map-side."""
-    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], list(cols), "col", "value").filter(F.col("value").isNotNull())
-            .groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")))
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(col, p, q): linear-interpolated quantiles, the same rule as ``percentile``.
 
-    ``percentile`` keeps every distinct value of the input in one task. Here the sketch brackets
-    each wanted rank and only the values inside a bracket are ordered.
+    ``percentile`` keeps every distinct value of the input in one task. Here a sketch brackets each
+    wanted rank; a second pass counts what lies below each bracket and keeps only the values inside
+    it, and those are ordered in buckets. No pass shuffles the rows.
     """
-    counts = value_counts(df, cols)
-    accuracy = 10_000
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    accuracy = 1_000
     eps = 2.0 / accuracy
-    low = [max(0.0, p - eps) for p in probs]
-    high = [min(1.0, p + eps) for p in probs]
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], list(cols), "col", "value").filter(F.col("value").isNotNull()))
-    brackets = (long.groupBy("col").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.percentile_approx("value", low, accuracy).alias("lo"),
-        F.percentile_approx("value", high, accuracy).alias("hi"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-        .select("col", "total", "vmin", "vmax", F.posexplode(F.arrays_zip("lo", "hi")).alias("k", "br"))
-        .select("col", "k", "total", F.element_at(wanted, F.col("k") + 1).alias("p"),
-                F.when(F.element_at(F.array(*[F.lit(x) for x in low]), F.col("k") + 1) <= 0, F.col("vmin"))
-                .otherwise(F.col("br.lo")).alias("lo"),
-                F.when(F.element_at(F.array(*[F.lit(x) for x in high]), F.col("k") + 1) >= 1, F.col("vmax"))
-                .otherwise(F.col("br.hi")).alias("hi"))
-        .withColumn("rank", (F.col("total") - 1) * F.col("p")))
-    # At most len(cols) * len(probs) brackets, so this side is bounded by the call itself.
-    tagged = counts.join(F.broadcast(brackets), "col")
-    below = tagged.groupBy("col", "k").agg(
-        F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0)).alias("skip"),
-        # On few rows a wanted rank can be the neighbour of the bracket.
-        F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("under"),
-        F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("over"))
-    near = tagged.filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-    run = W.partitionBy("col", "k").orderBy("value")
-    placed = near.join(F.broadcast(below), ["col", "k"]).withColumn("upto", F.col("skip") + F.sum("n").over(run))
-    start = F.col("upto") - F.col("n")
-    floor, ceil = F.floor("rank"), F.ceil("rank")
-    inside = lambda at: F.max(F.when((start <= at) & (at < F.col("upto")), F.col("value")))
+    low, high = [max(0.0, p - eps) for p in probs], [min(1.0, p + eps) for p in probs]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    sketch = numbers.agg(*[F.struct(
+        F.count(c).alias("total"), F.min(c).alias("vmin"), F.max(c).alias("vmax"),
+        F.percentile_approx(c, low, accuracy).alias("lo"), F.percentile_approx(c, high, accuracy).alias("hi")).alias(c) for c in cols]).first()
+    # (rank, low edge, high edge) per column and probability: len(cols) * len(probs) constants.
+    brackets = {}
+    for c in cols:
+        st = sketch[c]
+        for k, p in enumerate(probs):
+            if st["total"]:
+                brackets[c, k] = ((st["total"] - 1) * p, st["vmin"] if low[k] <= 0 else st["lo"][k],
+                                  st["vmax"] if high[k] >= 1 else st["hi"][k])
+
+    def place(c: str, k: int) -> Column:
+        _, lo, hi = brackets[c, k]
+        x = F.col(c)
+        side = F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
+        return F.struct(F.lit(c).alias("col"), F.lit(k).alias("k"), side.alias("side"), x.alias("x"))
+
+    schema = "col string, k int, side int, value double, n long, most double, least double"
+    if brackets:
+        rows = numbers.select(F.inline(F.array(*[place(c, k) for c, k in brackets]))).filter(F.col("x").isNotNull())
+        cells = rows.groupBy("col", "k", "side", F.when(F.col("side") == 0, F.col("x")).alias("value")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("x").alias("most"), F.min("x").alias("least"))
+        cells = stored(cells, "quantile-cells")
+    else:
+        cells = df.sparkSession.createDataFrame([], schema)
+    wanted = df.sparkSession.createDataFrame(
+        [(c, k, float(probs[k]), float(rank)) for (c, k), (rank, _, _) in brackets.items()], "col string, k int, p double, rank double")
+    # On few rows a wanted rank can be the neighbour of its bracket.
+    edges = cells.groupBy("col", "k").agg(
+        F.sum(F.when(F.col("side") == -1, F.col("n")).otherwise(0)).alias("skip"),
+        F.max(F.when(F.col("side") == -1, F.col("most"))).alias("under"),
+        F.min(F.when(F.col("side") == 1, F.col("least"))).alias("over")).join(F.broadcast(wanted), ["col", "k"])
+    placed = running_counts(cells.filter("side = 0").select("col", "k", "value", "n"), "value", ["n"], keys=["col", "k"])
+    placed = placed.join(F.broadcast(edges), ["col", "k"])
+    start = F.col("skip") + F.col("n_before")
+    inside = lambda at: F.max(F.when((start <= at) & (at < start + F.col("n")), F.col("value")))
     outside = lambda at: F.when(at < F.first("skip"), F.first("under")).otherwise(F.first("over"))
     pick = lambda at: F.coalesce(inside(at), outside(F.first(at)))
-    ends = placed.groupBy("col", "k", "p", "rank").agg(pick(floor).alias("a"), pick(ceil).alias("b"))
+    ends = placed.groupBy("col", "k", "p", "rank").agg(pick(F.floor("rank")).alias("a"), pick(F.ceil("rank")).alias("b"))
     return ends.select("col", "p", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("q"))
 
 
@@ -117,19 +131,27 @@ def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") ->
     out = df
     for c in cols:
         counts = df.groupBy(F.col(c).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("_v").isNotNull())
-        ranked = running_counts(counts, "_v", ["n"]).select(
+        ranked = running_counts(stored(counts, "ranks"), "_v", ["n"]).select(
             F.col("_v").alias(f"_v_{c}"), (F.col("n_before") + (F.col("n") + 1) / 2).alias(c + suffix))
         out = out.join(ranked, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return out
 
 
-def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: int = BUCKETS) -> DataFrame:
+def _largest_day(df: DataFrame, t: str) -> int:
+    return df.groupBy(t).count().agg(F.max("count").alias("n")).first()["n"] or 0
+
+
+def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """Exact 1-based position in (t, id) order.
 
-    Buckets are (day, id range): never more than a fixed share of the rows each, whatever one
-    day or one key holds. Offsets need one small ledger of days x id ranges.
+    Rows are ordered inside their day. Where some day is too large for one task, inside (day, id
+    range): never more than a fixed share of the rows each, whatever one day or one key holds.
+    Offsets need one small ledger of days x id ranges.
     """
-    cut = with_bucket(df, id, cut_points(df, id, buckets))
+    if _largest_day(df, t) <= small:
+        cut = df.withColumn("_b", F.lit(0))
+    else:
+        cut = with_bucket(df, id, cut_points(df, id, buckets))
     ledger = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy(t, "_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = ledger.select(t, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -138,31 +160,35 @@ def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: in
             .withColumn(out, (F.col("_o") + F.row_number().over(inside)).cast("long")).drop("_b", "_o"))
 
 
-def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, buckets: int = BUCKETS) -> DataFrame:
+def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """(rank, t, id) of the rows at the given 1-based positions in (t, id) order.
 
     ``ranks`` is a short array. Days are counted first; only the days that hold a wanted position
-    are cut into id ranges, and only the ranges that hold one are ordered.
+    are looked into, and of a day too large for one task only the id ranges that hold one.
     """
     inside = lambda lo, n: F.filter("_ranks", lambda r: (r > lo) & (r <= lo + n))
     before = W.orderBy(t).rowsBetween(W.unboundedPreceding, -1)
     days = df.groupBy(t).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     hit = days.withColumn("_ranks", ranks).withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
+    hit = stored(hit, "days")
     # At most one day, and below at most one cell, per wanted rank.
     rows = df.select(t, id).join(F.broadcast(hit.select(t, "_o", "_ranks")), t)
-    cut = with_bucket(rows, id, cut_points(rows, id, buckets))
-    cells = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_o").alias("_o"), F.first("_ranks").alias("_ranks"))
-    run = W.partitionBy(t).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    wanted = cells.withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
-    near = cut.drop("_o", "_ranks").join(F.broadcast(wanted.select(t, "_b", "_o", "_ranks")), [t, "_b"])
+    if (hit.agg(F.max("_n").alias("n")).first()["n"] or 0) > small:
+        cut = with_bucket(rows, id, cut_points(rows, id, buckets))
+        cells = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_o").alias("_o"), F.first("_ranks").alias("_ranks"))
+        run = W.partitionBy(t).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        cells = cells.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+        wanted = cells.withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
+        near = cut.drop("_o", "_ranks").join(F.broadcast(wanted.select(t, "_b", "_o", "_ranks")), [t, "_b"])
+    else:
+        near = rows.withColumn("_b", F.lit(0))
     placed = near.withColumn("rank", F.col("_o") + F.row_number().over(W.partitionBy(t, "_b").orderBy(id)))
     return placed.filter(F.array_contains("_ranks", F.col("rank"))).select("rank", t, id)
 
 
-def with_cut_positions(df: DataFrame, t: str, id: str, ranks: Column, out: str) -> DataFrame:
+def with_cut_positions(df: DataFrame, t: str, id: str, ranks: Column, out: str, small: int = SMALL) -> DataFrame:
     """``df`` plus how many of the wanted positions lie at or before each row. The rows are not shuffled."""
-    found = keys_at_ranks(df, t, id, ranks)
+    found = keys_at_ranks(df, t, id, ranks, small=small)
     cuts = found.agg(F.array_sort(F.collect_list(F.struct(t, id))).alias("c")).scalar()
     here = F.struct(F.col(t), F.col(id))
     return df.withColumn("_cuts", cuts).withColumn(out, F.size(F.filter("_cuts", lambda c: c <= here))).drop("_cuts")

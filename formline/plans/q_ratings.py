@@ -19,10 +19,12 @@ def _elo_sql(where: str = "true", k_home: str = "32e0", k_away: str = "32e0",
              opening: str = "1500e0") -> str:
     return "with recursive " + LONG.strip() + f""",
  cnt as (select ent, count(*) g from long group by 1),
+ sofar as (select match_id, venue, row_number() over (partition by ent order by match_date, match_id) - 1 g from long),
  seqs as (select c.pool, c.match_id, c.home, c.away, cast(c.home % 100 as integer) + 1 hi, cast(c.away % 100 as integer) + 1 ai,
    case result when 'H' then 1e0 when 'D' then 0.5e0 else 0e0 end s, {k_home} kh, {k_away} ka,
-   row_number() over (partition by c.pool order by match_date, match_id) rn
-   from contests c left join cnt h on h.ent = c.home left join cnt a on a.ent = c.away where {where}),
+   row_number() over (partition by c.pool order by c.match_date, c.match_id) rn
+   from contests c left join cnt h on h.ent = c.home left join cnt a on a.ent = c.away
+   left join sofar hs on hs.match_id = c.match_id and hs.venue = 'H' left join sofar aw on aw.match_id = c.match_id and aw.venue = 'A' where {where}),
  starts as (select p.pool, list({opening} order by i) r from (select distinct pool from seqs) p
    cross join range(20) u(i) left join cnt n on n.ent = p.pool * 100 + u.i group by 1),
  run as (
@@ -67,7 +69,8 @@ def e02(spark, d):
     return _hist(e.elo_history(contests(spark, d), e.EloRule(k_new=e.K_NEW, count_mode="total")))
 
 
-@query("e02b_elo_new_so_far")
+@query("e02b_elo_new_so_far", _elo_sql(
+    k_home="case when hs.g < 76 then 50e0 else 32e0 end", k_away="case when aw.g < 76 then 50e0 else 32e0 end", opening="1400e0") + HIST)
 def e02b(spark, d):
     return _hist(e.elo_history(contests(spark, d), e.EloRule(k_new=e.K_NEW)))
 

@@ -206,6 +206,19 @@ def test_row_numbers_and_cuts_with_a_hot_day(spark):
     parts = {r["match_id"]: r["part"] for r in ev.last_n_split(df, 380).collect()}
     assert parts == {i: "test" if k > 520 else "train" for i, k in want.items()}
     assert {r["part"] for r in ev.last_n_split(df, 5000).collect()} == {"test"}
+    # The forms for days too large for one task.
+    assert {r["match_id"]: r["rn"] for r in o.with_row_number(df, "match_date", "match_id", small=0).collect()} == want
+    ranks = F.array(F.lit(1), F.lit(200), F.lit(360), F.lit(900))
+    found = {r["rank"]: r["match_id"] for r in o.keys_at_ranks(df, "match_date", "match_id", ranks, small=0).collect()}
+    assert found == {k: i for i, k in want.items() if k in (1, 200, 360, 900)}
+
+
+def test_running_counts_in_buckets(spark):
+    rnd = random.Random(12)
+    rows = [(c, float(x), rnd.randrange(1, 5)) for c in "ab" for x in rnd.sample(range(5000), 700)]
+    df = spark.createDataFrame(rows, "col string, value double, n long")
+    get = lambda small: {(r["col"], r["value"]): r["n_before"] for r in o.running_counts(df, "value", ["n"], ["col"], small=small).collect()}
+    assert get(0) == get(10_000) == {(c, x): sum(n2 for c2, x2, n2 in rows if c2 == c and x2 < x) for c, x, _ in rows}
 
 
 def test_average_ranks_match_pandas(spark):
