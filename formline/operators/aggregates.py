@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import clip
-from formline.operators.ordered import quantile_row
+from formline.operators.ordered import narrow, quantile_row
 
 # Fixed values.
 NEW_ENTITY_GAMES = 76
@@ -62,6 +62,7 @@ def points_table(long: DataFrame, as_of=None) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max, nulls and zeros per column (long form)."""
+    df = narrow(df, cols)
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}|n"), F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|std"),

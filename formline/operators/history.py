@@ -101,7 +101,7 @@ def form_points(long: DataFrame, w: int = 5, default: float = NEUTRAL) -> DataFr
 def split_past(long: DataFrame, cols: Sequence[str], w: int, out: str = "past") -> DataFrame:
     """Ledger (ent, t): last k home and last k away games before t, merged, newest ``w`` kept; k = w//2 + 1."""
     k = w // 2 + 1
-    states = last_n_state(long, [ENT, "venue"], T, ID, [T, *cols], k)
+    states = last_n_state(long, [ENT, "venue"], T, ID, [T, *cols], k, cluster=[ENT])
     days = states.groupBy(ENT, T).agg(
         F.first(F.when(F.col("venue") == "H", F.col("state")), ignorenulls=True).alias("h"),
         F.first(F.when(F.col("venue") == "A", F.col("state")), ignorenulls=True).alias("a"))

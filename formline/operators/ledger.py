@@ -73,9 +73,15 @@ def _merged(days: DataFrame, keys: Sequence[str], t: str, rows: tuple[int, int],
 
 
 def last_n_state(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,
-                 out: str = "state") -> DataFrame:
-    """Like ``last_n_before`` but including day ``t``: the state once the day is over."""
-    return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-(n - 1), 0), n, out)
+                 out: str = "state", cluster: Sequence[str] | None = None) -> DataFrame:
+    """Like ``last_n_before`` but including day ``t``: the state once the day is over.
+
+    ``cluster`` names fewer keys to place the ledger by, when later steps work on those.
+    """
+    days = day_tails(df, keys, t, id, cols, n)
+    if cluster:
+        days = days.repartition(*cluster)
+    return _merged(days, keys, t, (-(n - 1), 0), n, out)
 
 
 def last_rows_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.scalar import clip
-from formline.operators.ordered import quantile_row
+from formline.operators.ordered import narrow, quantile_row
 
 # Fixed values of the reference normalisers.
 NEUTRAL = 0.5
@@ -79,6 +79,7 @@ def symmetric(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str
 
 def fit_iqr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Quartiles, std, and the bounds of the clipped scaled value."""
+    df = narrow(df, cols)
     q = quantile_row(df, cols, [0.25, 0.75])
     st = q.withColumn("_m", scalar_stats(fit(df, cols)))
     outs = {}
@@ -102,6 +103,7 @@ def iqr_robust(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str
 
 
 def fit_median_iqr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    df = narrow(df, cols)
     q = quantile_row(df, cols, [0.25, 0.5, 0.75])
     st = q.withColumn("_m", scalar_stats(fit(df, cols)))
     outs = {}
@@ -142,7 +144,7 @@ def auto(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "_n
 
 
 def p99_cap(df: DataFrame, fit_on: DataFrame, cols: Sequence[str], suffix: str = "_norm") -> DataFrame:
-    q = quantile_row(fit_on, cols, [0.99])
+    q = quantile_row(narrow(fit_on, cols), cols, [0.99])
     return _apply(df, q, cols, lambda c, x, s: clip(F.try_divide(x, s[f"{c}_q0"]), 0.0, 1.0), suffix)
 
 
@@ -186,6 +188,6 @@ def fill_mean(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = Non
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    st = quantile_row(fit_on if fit_on is not None else df, cols, [0.5])
+    st = quantile_row(narrow(fit_on if fit_on is not None else df, cols), cols, [0.5])
     out = df.withColumn("_st", scalar_stats(st))
     return out.withColumns({c: F.coalesce(F.col(c), F.col("_st")[f"{c}_q0"]) for c in cols}).drop("_st")

@@ -115,8 +115,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return ends.select("col", "p", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("q"))
 
 
+def narrow(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The named columns as doubles, written once: input of operators that pass over it several times."""
+    return stored(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "narrow")
+
+
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row: ``<col>_q<i>`` for each column and each probability by position."""
+    """One row: ``<col>_q<i>`` for each column and each probability by position. ``df`` is passed over twice."""
     q = exact_quantiles(df, cols, probs)
     return q.agg(*[F.max(F.when((F.col("col") == c) & (F.col("p") == F.lit(float(p))), F.col("q"))).alias(f"{c}_q{i}")
                    for c in cols for i, p in enumerate(probs)])

@@ -139,8 +139,11 @@ def _with_blocks(games: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
     return cut, int(_blocks(games, rows_per_task).agg(F.max("blk").alias("b")).first()["b"]) + 1
 
 
-def _openings(games: DataFrame, rule: EloRule, rounds: int) -> DataFrame:
-    """Exact opening state (pool, blk, ent, elo, games) of every block, by replaying blocks side by side."""
+def _openings(games: DataFrame, rule: EloRule, rounds: int, tolerance: float = 0.0) -> DataFrame:
+    """Opening state (pool, blk, ent, elo, games) of every block, by replaying blocks side by side.
+
+    With ``tolerance`` 0 the result is exact; a positive one stops once no opening moves by more.
+    """
     spark = games.sparkSession
     home = scratch(spark, "elo-blocks")
     games.write.parquet(f"{home}/games")
@@ -168,7 +171,8 @@ def _openings(games: DataFrame, rule: EloRule, rounds: int) -> DataFrame:
         old = opening.select("pool", "blk", "ent", F.col("elo").alias("was"))
         nxt.join(old, ["pool", "blk", "ent"], "left").write.parquet(f"{home}/opening-{i}")
         state = spark.read.parquet(f"{home}/opening-{i}")
-        fresh_keys = state.filter(~F.col("elo").eqNullSafe(F.col("was"))).select("pool", "blk").distinct()
+        same = F.col("elo").eqNullSafe(F.col("was")) | (F.abs(F.col("elo") - F.col("was")) <= tolerance)
+        fresh_keys = state.filter(~F.coalesce(same, F.lit(False))).select("pool", "blk").distinct()
         opening = state.drop("was")
         if fresh_keys.isEmpty():
             break
@@ -176,10 +180,10 @@ def _openings(games: DataFrame, rule: EloRule, rounds: int) -> DataFrame:
     return opening
 
 
-def elo_history(df: DataFrame, rule: EloRule = EloRule(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def elo_history(df: DataFrame, rule: EloRule = EloRule(), rows_per_task: int = ROWS_PER_TASK, tolerance: float = 0.0) -> DataFrame:
     """(pool, match_id, home, away, home_elo, away_elo): ratings before each game."""
     games, blocks = _with_blocks(_games(df, rule), rows_per_task)
-    openings = _openings(games, rule, blocks) if blocks > 1 else None
+    openings = _openings(games, rule, blocks, tolerance) if blocks > 1 else None
     return _ordered(games, openings).mapInArrow(_replay(rule, False), HISTORY)
 
 

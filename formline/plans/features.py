@@ -43,7 +43,8 @@ def rest_features(matches: DataFrame, long: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """Which groups to build. Entity groups share one history ledger, so adding one adds no shuffle."""
+    """Which groups to build. Entity groups meet in one (entity, day) ledger before the contests are
+    touched, so the contests move once per side however many groups are on."""
 
     elo: bool = True
     form: bool = True
@@ -56,15 +57,23 @@ class FeatureSet:
     def build(self, matches: DataFrame, long: DataFrame, w: int = 5) -> DataFrame:
         out = matches
         measures = [c for on, c in ((self.form, "points"), (self.goals, "gf"), (self.xg, "xg")) if on and c in long.columns]
+        ledgers, cols = [], [f"{c}_{w}" for c in measures]
         if measures:
             past = last_n_before(long, ["ent"], "match_date", "match_id", measures, w)
-            means = past.select("ent", "match_date", *[s.arr_mean(h.field(F.col("past"), c)).alias(f"{c}_{w}") for c in measures])
-            out = attach_sides(out, means, [f"{c}_{w}" for c in measures])
+            ledgers.append(past.select("ent", "match_date", *[s.arr_mean(h.field(F.col("past"), c)).alias(f"{c}_{w}") for c in measures]))
+        if self.season:
+            # A day lies in one season, so (entity, day) stays a key.
+            points = sums_before(long, ["season", "ent"], "match_date", {"season_points": F.sum("points")})
+            ledgers.append(points.select("ent", "match_date", F.coalesce("season_points", F.lit(0)).alias("season_points")))
+            cols.append("season_points")
+        if ledgers:
+            both = ledgers[0] if len(ledgers) == 1 else ledgers[0].join(ledgers[1], ["ent", "match_date"])
+            out = attach_sides(out, both, cols)
             out = out.withColumns({f"{c}_diff": F.col(f"home_{c}_{w}") - F.col(f"away_{c}_{w}") for c in measures})
+        if self.season:
+            out = out.withColumn("season_points_diff", F.col("home_season_points") - F.col("away_season_points"))
         if self.h2h:
             out = h.h2h_points(out)
-        if self.season:
-            out = h.season_points(out, long)
         if self.elo:
             ratings = elo_history(matches).select("match_id", "home_elo", "away_elo")
             out = out.join(ratings, "match_id").withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))

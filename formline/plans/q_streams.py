@@ -28,7 +28,7 @@ def seasons(spark, d):
 
 
 def _ts():
-    return F.col("match_date").cast("timestamp").alias("ts")
+    return st.day_start(F.col("match_date")).alias("ts")
 
 
 def _games(spark, d):
@@ -64,7 +64,8 @@ def t03(spark, d):
   where l.match_date < (select max(match_date) from contests) group by 1, 2"""))
 def t04(spark, d):
     """Every day but the last, which stays open until a later row arrives."""
-    rows = contests_long(spark, d).select("ent", _ts(), "match_id", "venue", F.col("points").cast("long").alias("points"), "season")
+    rows = contests_long(spark, d).select("ent", _ts(), F.unix_date("match_date").alias("day"), "match_id", "venue",
+                                          F.col("points").cast("long").alias("points"), "season")
     return st.run(st.day_barrier(st.replay(rows, seasons(spark, d)))).select("match_id", "venue", "games", "points")
 
 
@@ -124,7 +125,7 @@ def t08(spark, d):
     path = scratch(spark, "snapshot")
     sk.write_snapshot(e.elo_final(contests(spark, d).filter(F.col("match_date") < day)), path, CUT)
     opening = sk.load_snapshot(spark, path, CUT).select("pool", "ent", "elo")
-    later = _games(spark, d).filter(F.col("ts") >= day)
+    later = _games(spark, d).filter(F.col("ts") >= st.day_start(day))
     out = st.run(st.elo(st.replay(later, [F.col("season") <= 1999, F.col("season") > 1999]), opening))
     return out.select("match_id", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"))
 

@@ -126,7 +126,7 @@ def s06b(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("s07_profile_files", C("""select cast(season as varchar) file, count(*) n, 4 as columns, cast(min(match_date) as varchar) first_day,
+@query("s07_profile_files", C("""select cast(season as varchar) file, count(*) n, 4 as columns, 1 has_entities, cast(min(match_date) as varchar) first_day,
   cast(max(match_date) as varchar) last_day, cast(season as varchar) seasons from contests group by season"""))
 def s07(spark, d):
     base = scratch(spark, "profile")
@@ -195,8 +195,7 @@ def p01(spark, d):
 @query("p02_filter_period", C("""select match_id, cast(match_date as varchar) match_date from contests
   where match_date >= date '1997-01-01' and match_date <= date '1997-12-31'"""))
 def p02(spark, d):
-    day = F.col("match_date")
-    return contests(spark, d).filter((day >= F.lit("1997-01-01").cast("date")) & (day <= F.lit("1997-12-31").cast("date"))).select("match_id", day_text())
+    return contests(spark, d, start="1997-01-01", end="1997-12-31").select("match_id", day_text())
 
 
 @query("p03_existing_columns", C("select match_id, result, home_goals from contests"))

@@ -33,9 +33,18 @@ def line_measures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def contests(spark: SparkSession, folder: str, shots: bool = False, odds: bool = False) -> DataFrame:
-    """One row per contest. The line-level measures cost a join and are opt-in."""
+def contests(spark: SparkSession, folder: str, shots: bool = False, odds: bool = False, start: str | None = None,
+             end: str | None = None) -> DataFrame:
+    """One row per contest. The line-level measures cost a join and are opt-in.
+
+    ``start`` and ``end`` (inclusive days) filter the stored time itself, so they reach the scan.
+    """
     orders = table(spark, folder, "orders")
+    kind = orders.schema["o_orderdate"].dataType.simpleString()
+    if start is not None:
+        orders = orders.filter(F.col("o_orderdate") >= F.lit(start).cast(kind))
+    if end is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.date_add(F.lit(end).cast("date"), 1).cast(kind))
     pools = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("pool"))
     base = F.floor("o_totalprice").cast("long") % 3

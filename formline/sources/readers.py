@@ -108,8 +108,8 @@ def xg_records(records: DataFrame) -> DataFrame:
 
 
 def profile_files(df: DataFrame, unit: Column, t: str, season: str) -> DataFrame:
-    """Rows, date span and seasons per file (or any unit derived from the file path)."""
-    width = len(df.columns)
+    """Rows, columns, entity columns, date span and seasons per file (or any unit derived from the file path)."""
+    width, sides = len(df.columns), int({"home", "away"} <= set(df.columns))
     return df.groupBy(unit.alias("file")).agg(
-        F.count(F.lit(1)).alias("n"), F.lit(width).alias("columns"), F.min(t).alias("first_day"), F.max(t).alias("last_day"),
+        F.count(F.lit(1)).alias("n"), F.lit(width).alias("columns"), F.lit(sides).alias("has_entities"), F.min(t).alias("first_day"), F.max(t).alias("last_day"),
         F.array_join(F.array_sort(F.collect_set(F.col(season).cast("string"))), ",").alias("seasons"))

@@ -121,19 +121,22 @@ class DayBarrier(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = ordered(rows)
-        days = (batch["ts"].astype("datetime64[ms]").astype("int64") // self.DAY_MS).astype(int)
+        days = batch["day"].astype(int)
         self.waiting.appendList([(int(d), int(m), v, int(p)) for d, m, v, p in zip(days, batch["match_id"], batch["venue"], batch["points"])])
-        for day in set(days):
-            self.handle.registerTimer((int(day) + 1) * self.DAY_MS)
+        # One timer for the earliest open day is enough: its firing arms the next one.
+        self.handle.registerTimer((int(days.min()) + 1) * self.DAY_MS)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # One firing settles every day the watermark has closed; the timers of those days then find nothing.
+        # One firing settles every day the watermark has closed.
         if not self.waiting.exists():
             return
         end = timerValues.getCurrentWatermarkInMs() // self.DAY_MS
         rows = [tuple(r) for r in self.waiting.get()]
-        if all(r[0] >= end for r in rows):
+        open_days = [r[0] for r in rows if r[0] >= end]
+        if open_days:
+            self.handle.registerTimer((min(open_days) + 1) * self.DAY_MS)
+        if len(open_days) == len(rows):
             return
         games, points = (int(v) for v in self.total.get()) if self.total.exists() else (0, 0)
         out = []

@@ -59,6 +59,11 @@ def stateful(stream: DataFrame, keys: Sequence[str], processor: StatefulProcesso
         processor, outputStructType=out, outputMode="Append", timeMode=time_mode, initialState=opening)
 
 
+def day_start(date: Column) -> Column:
+    """The instant a calendar day starts in UTC, whatever the session's time zone."""
+    return F.timestamp_seconds(F.unix_date(date).cast("long") * 86_400)
+
+
 def elo(stream: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """``stream``: pool, ts, match_id, home, away, score. ``opening``: pool, ent, elo of a snapshot."""
     return stateful(stream, ["pool"], EloState(), EloState.OUT, initial=opening)
@@ -75,7 +80,10 @@ def pair_counts(stream: DataFrame) -> DataFrame:
 
 
 def day_barrier(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """``stream``: ent, ts, match_id, venue, points. A day is released once the watermark has passed its end."""
+    """``stream``: ent, ts, day, match_id, venue, points, with ``ts`` = start of ``day`` (see ``day_start``).
+
+    A day is released once the watermark has passed its end.
+    """
     return stateful(stream.withWatermark("ts", delay), ["ent"], DayBarrier(), DayBarrier.OUT, time_mode="EventTime")
 
 

@@ -127,6 +127,16 @@ def test_input_order_does_not_matter(spark):
     assert run(games) == run(mixed)
 
 
+def test_feature_set_season_points_equal_the_operator(spark):
+    from formline.plans.features import FeatureSet
+    m = log(spark, random_games(13, n=200, days=300))
+    long = to_long(m)
+    got = FeatureSet.only("season", "form", "xg").build(m, long)
+    want = h.season_points(m, long)
+    key = lambda df: sorted((r["match_id"], r["home_season_points"], r["season_points_diff"]) for r in df.collect())
+    assert key(got) == key(want)
+
+
 def test_league_position_equals_brute_force(spark):
     games = random_games(5, n=300, days=100)
     m = log(spark, games)
@@ -413,6 +423,21 @@ def test_sessions_join_across_midnight(spark):
     assert got == [(1, rows[0][1], 2), (1, rows[2][1], 1), (2, rows[3][1], 1)]
 
 
+def test_day_barrier_releases_closed_days_from_the_state_before_them(spark):
+    games = random_games(14, n=60, ents=4, days=10)
+    long = to_long(log(spark, games))
+    rows = long.select("ent", st.day_start(F.col("match_date")).alias("ts"), F.unix_date("match_date").alias("day"), "match_id", "venue",
+                       F.col("points").cast("long").alias("points"))
+    cuts = [(0, 4), (4, 7), (7, 10)]
+    first = F.unix_date(F.lit(day(0)))
+    stream = st.replay(rows, [(F.col("day") - first >= a) & (F.col("day") - first < b) for a, b in cuts], files=1)
+    got = {(r["match_id"], r["ent"]): (r["games"], r["points"]) for r in st.run(st.day_barrier(stream)).collect()}
+    last = max(g[1] for g in games)
+    want = {(r["match_id"], r["ent"]): (r["games"], r["total_points"]) for r in h.cumulative_record(long).collect()
+            if r["match_date"] < day(last)}
+    assert got == want
+
+
 def test_stream_ratings_equal_batch_ratings(spark):
     m = log(spark, random_games(11, n=120))
     score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).otherwise(0.0)
