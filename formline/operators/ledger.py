@@ -118,15 +118,30 @@ def attach_sides(df: DataFrame, ledger: DataFrame, cols: Sequence[str], t: str =
 
 def as_of(df: DataFrame, states: DataFrame, by: Sequence[str], t: str, cols: Sequence[str],
           allow_equal: bool = False) -> DataFrame:
-    """Latest state row per key before (or at) each row's time.
+    """Latest state row per key before (or at) each row's time; one state per key and time.
 
     Only the distinct (key, time) pairs of ``df`` take part in the ordered step; the facts
-    themselves are joined by equality afterwards.
+    themselves are joined by equality afterwards. With timestamps the ordered step runs inside
+    (key, day), and what a day inherits comes from a ledger of each day's last state.
     """
-    asked = df.select(*by, t).distinct().withColumn("_side", F.lit(1 if allow_equal else 0))
-    known = states.select(*by, t, F.struct(*cols).alias("_v")).withColumn("_side", F.lit(0 if allow_equal else 1))
-    merged = known.unionByName(asked, allowMissingColumns=True).withColumn("_asked", F.col("_v").isNull())
+    asked = df.select(*by, t).distinct()
+    known = states.select(*by, t, F.struct(*cols).alias("_v"))
+    if df.schema[t].dataType.typeName().startswith("timestamp"):
+        day = F.to_date(t).alias("_d")
+        ends = known.groupBy(*by, day).agg(F.max_by("_v", t).alias("_c"))
+        days = asked.select(*by, day).distinct()
+        carried = _latest(days, ends, by, "_d", "_c", False).withColumnRenamed("_last", "_carry")
+        inside = _latest(asked.withColumn("_d", F.to_date(t)), known.withColumn("_d", F.to_date(t)), [*by, "_d"], t, "_v", allow_equal)
+        found = inside.join(carried, [*by, "_d"]).select(*by, t, F.coalesce("_last", "_carry").alias("_last"))
+    else:
+        found = _latest(asked, known, by, t, "_v", allow_equal)
+    return df.join(found.select(*by, t, "_last.*"), [*by, t], "left")
+
+
+def _latest(asked: DataFrame, known: DataFrame, by: Sequence[str], t: str, value: str, allow_equal: bool) -> DataFrame:
+    """``asked`` (by, t) plus ``_last``: the value of the latest known row."""
+    left = asked.withColumn("_side", F.lit(1 if allow_equal else 0))
+    right = known.select(*by, t, F.col(value).alias("_v")).withColumn("_side", F.lit(0 if allow_equal else 1))
+    merged = right.unionByName(left, allowMissingColumns=True).withColumn("_asked", F.col("_v").isNull())
     frame = W.partitionBy(*by).orderBy(t, "_side").rowsBetween(W.unboundedPreceding, 0)
-    found = (merged.withColumn("_last", F.last("_v", ignorenulls=True).over(frame))
-             .filter("_asked").select(*by, t, "_last.*"))
-    return df.join(found, [*by, t], "left")
+    return merged.withColumn("_last", F.last("_v", ignorenulls=True).over(frame)).filter("_asked").select(*by, t, "_last")

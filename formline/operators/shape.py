@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import points
 
@@ -134,7 +133,3 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         list(ids), list(cols), name, value)
-
-
-def row_number_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

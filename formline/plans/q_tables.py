@@ -407,6 +407,15 @@ def weather_tables(spark, d):
     return places, readings
 
 
+@query("j07b_asof_join_events", """select e.event_id, (select arg_max(value, ts) from events s where s.user_id = e.user_id and s.event_type = 'view'
+   and s.ts < e.ts) last_view from events e where event_type = 'purchase'""")
+def j07b(spark, d):
+    """Each purchase with the value of the user's latest earlier view."""
+    ev = table(spark, d, "events")
+    views = ev.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("last_view"))
+    return as_of(ev.filter("event_type = 'purchase'"), views, ["user_id"], "ts", ["last_view"]).select("event_id", "last_view")
+
+
 # --- A: aggregations ---------------------------------------------------------------------------
 
 @query("a01_value_share", C(f"select result as value, count(*) n, {R('count(*) / cast(sum(count(*)) over () as double)')} share from contests group by 1"))

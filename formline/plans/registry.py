@@ -32,7 +32,3 @@ def r6(col: Column | str, digits: int = 6) -> Column:
 def R(expr: str, digits: int = 6) -> str:
     """SQL twin of ``r6``."""
     return f"(floor(cast({expr} as double) * 1e{digits} + 0.5e0) / 1e{digits})"
-
-
-def rounded(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
-    return df.select(*keep, *[r6(c).alias(c) for c in cols])
