@@ -19,7 +19,6 @@ HEADLINE = [
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "pyspark-shell")
     from formline.plans.catalog import QUERIES
     from formline.session import local_session
 
