@@ -1,6 +1,6 @@
 """Importing this module registers every query of this folder."""
 
-from formline.llm import token_counts  # noqa: F401
+from formline.llm import language_id, personal_data, token_counts  # noqa: F401
 from formline.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def id_text(docs: DataFrame) -> DataFrame:
 def slices(batches: Iterable[pa.RecordBatch], chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about ``chars`` bytes of text, so memory does not follow the batch size."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > chars:
