@@ -91,9 +91,11 @@ def materialise(docs: DataFrame, path: str, key: int, length: int = LENGTH, per_
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(slots(number.to_numpy(), total, key))
 
-    each = rows.join(base, "part").select("doc_id", "n", "ids", (F.col("base") + F.col("first")).alias("number"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("piece"))
-    each = each.select("doc_id", "piece", slot(F.col("number") + F.col("piece")).alias("slot"), F.least(F.lit(length), F.col("n") - F.col("piece") * length).cast("int").alias("n"),
+    # broadcast: base has one row of 16 bytes for each write task, so ids need no shuffle to meet it
+    each = rows.join(F.broadcast(base), "part").select("doc_id", "n", "ids", (F.col("base") + F.col("first")).alias("number"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("piece"))
+    each = each.select("doc_id", "piece", (F.col("number") + F.col("piece")).alias("number"), F.least(F.lit(length), F.col("n") - F.col("piece") * length).cast("int").alias("n"),
                        F.substring("ids", F.col("piece") * (2 * length) + 1, F.lit(2 * length)).alias("ids"))
+    each = each.withColumn("slot", slot("number")).drop("number")
 
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by("slot")
