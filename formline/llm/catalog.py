@@ -1,6 +1,6 @@
 """Importing this module registers every query of this folder."""
 
-from formline.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, packing, personal_data, token_counts, training_order  # noqa: F401
+from formline.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, packing, personal_data, token_counts, training_order  # noqa: F401
 from formline.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
