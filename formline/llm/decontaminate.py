@@ -209,6 +209,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
         "doc_id", "text_key", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no benchmark item contaminates."""
+    bad = contamination(docs, benchmark, share).select("doc_id", "text_key").distinct().toDF("bad_id", "bad_key")
+    row = docs.select(F.struct("*").alias("row"))
+    hit = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_key"))
+    return row.join(bad, hit, "left_anti").select("row.*")
+
+
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each contaminated document and item."""

@@ -243,6 +243,16 @@ def language_spans(docs: DataFrame, model: Model) -> DataFrame:
     return id_text(docs).mapInArrow(go, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a share of ``least`` or more of its letters."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            langs, scores, _ = label(model, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([x != "und" and y >= least for x, y in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(go, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 

@@ -159,13 +159,15 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines cut out of text; a document that loses all its lines goes."""
-    gone = removed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col("_removed"))
-    rows = rows.withColumn("_kept", kept).filter("_removed is null or size(_kept) > 0")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.split("text", "\n")[i]), "\n"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    """``docs`` with the removed lines cut out of text (and n_chars, where there is such a column, counted again); a document that loses all its lines goes."""
+    gone = removed.select(F.col("doc_id").alias("gone_id"), "text_key", "removed")
+    row = docs.select(F.struct("*").alias("row"))  # the caller's columns under one name, so none can clash
+    rows = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("text_key")), "left")
+    lines = F.split("row.text", "\n")
+    rows = rows.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))).filter("removed is null or size(kept) > 0")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda i: lines[i]), "\n"))
+    renewed = {"text": text, "n_chars": F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(renewed[c] if c in renewed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 @query("op10_line_dedup")

@@ -33,16 +33,16 @@ from formline.session import stored
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key1, key2 (of the set) and registers of each row."""
+    """doc_id, text_key, n_shingles, key1, key2 (of the set) and registers of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             sets = shingle_sets(batch.column("text").to_pylist())
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "regs"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                 pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "key1", "key2", "regs"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, regs binary")
+    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, key1 long, key2 long, regs binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -134,7 +134,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, percent: int = 85, block: int = 1024) -> DataFrame:
-    """doc_id, key1, key2 (of the shingle set), n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, text_key, n_shingles, component_id, kept and label (one number for each component, null without shingles) for each row of ``docs``."""
     t = percent / 100
     least = t - 5 * (t * (1 - t) / (ROWS * BANDS)) ** 0.5
     rows = stored(sketches(docs), "sketches")
@@ -153,13 +153,26 @@ def near_documents(docs: DataFrame, percent: int = 85, block: int = 1024) -> Dat
     label = components(links).toDF("class", "label")
     named = stored(classes.select("class", "key1", "key2", "doc_id").join(label, "class", "left").select("key1", "key2", "doc_id", F.coalesce("label", "class").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(smallest, "label").select("key1", "key2", "component_id")
+    by_set = named.join(smallest, "label").select("key1", "key2", "component_id", "label")
     grouped = usable.join(by_set, ["key1", "key2"])
-    alone = rows.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    out = grouped.select("doc_id", "key1", "key2", "n_shingles", "component_id").unionByName(alone.select("doc_id", "key1", "key2", "n_shingles", "component_id"))
+    alone = rows.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).withColumn("label", F.lit(None).cast("long"))
+    columns = ["doc_id", "text_key", "n_shingles", "component_id", "label"]
+    out = grouped.select(columns).unionByName(alone.select(columns))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component the smallest (id, text hash). Rows that repeat id
+    and text are one document; rows without words or without an id stay."""
+    rows = stored(near_documents(docs, percent), "near")
+    best = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("best")).select("best.*")
+    stay = best.union(rows.filter("label is null").select("doc_id", "text_key")).distinct().toDF("stay_id", "stay_key")
+    row = docs.select(F.struct("*").alias("row"))
+    key = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    met = row.join(stay, F.col("row.doc_id").eqNullSafe(F.col("stay_id")) & (key == F.col("stay_key")))
+    return met.dropDuplicates(["stay_id", "stay_key"]).select("row.*")
+
+
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """class and the text of one of its documents, for all classes in ``pairs``."""
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
