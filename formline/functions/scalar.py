@@ -108,8 +108,8 @@ def band(accuracy: Column) -> Column:
 
 
 def json_number(col: Column, path: str, default: float) -> Column:
-    return F.coalesce(F.try_to_number(F.get_json_object(col, path), F.lit("999999999999")).cast("double"),
-                      F.lit(float(default)))
+    """A JSON number of any sign and size, decimals and exponents included; ``default`` where there is none."""
+    return F.coalesce(F.get_json_object(col, path).try_cast("double"), F.lit(float(default)))
 
 
 # Version marks in file names, removed in this order.
@@ -123,8 +123,13 @@ def strip_version(name: Column) -> Column:
 
 
 def unescape_hex(col: Column) -> Column:
-    r"""Text made only of ``\xNN`` escapes to UTF-8."""
-    return F.decode(F.unhex(F.replace(col, F.lit("\\x"), F.lit(""))), "UTF-8")
+    r"""Text with ``\xNN`` escapes among plain characters to UTF-8; bytes that are no UTF-8 become the replacement sign."""
+    def piece(p: Column, i: Column) -> Column:
+        plain = lambda text: F.hex(F.encode(text, "UTF-8"))
+        return F.when(i == 0, plain(p)).otherwise(F.concat(F.substring(p, 1, 2), plain(F.substring(p, 3, 1 << 30))))
+
+    pieces = F.split(col, r"\\x(?=[0-9A-Fa-f]{2})")
+    return F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, piece), "")).cast("string"))
 
 
 def md5_prefix(col: Column, n: int = 8) -> Column:

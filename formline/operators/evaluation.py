@@ -150,7 +150,7 @@ def roc_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
         F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg"))
     run = running_counts(stored(counts, "scores"), "value", ["neg"])
     return run.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)),
-                                (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+                                F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def baselines(df: DataFrame, label: str) -> DataFrame:
@@ -158,7 +158,7 @@ def baselines(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     one = counts.agg((F.lit(1.0) / F.count(F.lit(1))).alias("uniform"), (F.max("n") / total).alias("majority"),
-                     F.try_divide(F.sum((F.col("n") * F.col("n")).cast("double")), (total * total).cast("double")).alias("weighted"),
+                     F.try_divide(F.sum(F.col("n").cast("double") * F.col("n")), total.cast("double") * total).alias("weighted"),
                      (F.coalesce(F.sum(F.when(F.col(label) == 0, F.col("n"))), F.lit(0)) / total).alias("home_always"))
     names = ("uniform", "majority", "weighted", "home_always")
     out = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))

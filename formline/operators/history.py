@@ -142,10 +142,12 @@ def _pairs(matches: DataFrame) -> DataFrame:
 def h2h_points(matches: DataFrame, w: int = 5) -> DataFrame:
     """Share of points today's home side took in the last ``w`` meetings at either venue."""
     m = _pairs(matches)
+    played = F.col("result").isin("H", "D", "A")
     pts = F.when(F.col("result") == "D", F.lit(1)).when((F.col("result") == "H") == (F.col("home") == F.col("lo")), 3).otherwise(0)
     opp = F.when(F.col("result") == "D", F.lit(1)).otherwise(F.lit(3) - pts)
-    m = m.withColumns({"lo_points": pts, "hi_points": opp})
-    ledger = last_n_before(m, ["lo", "hi"], T, ID, ["lo_points", "hi_points"], w)
+    m = m.withColumns({"lo_points": F.when(played, pts), "hi_points": F.when(played, opp)})
+    # a meeting without a result has a day in the ledger, but is no meeting
+    ledger = last_n_before(m, ["lo", "hi"], T, ID, ["lo_points", "hi_points"], w, only="lo_points")
     share = {f"{s}_share": F.try_divide(arr_sum(field(F.col("past"), f"{s}_points")), 3.0 * F.size("past")) for s in ("lo", "hi")}
     out = attach(m, ledger.select("lo", "hi", T, *[v.alias(k) for k, v in share.items()]), ["lo", "hi"], T)
     mine = F.when(F.col("home") == F.col("lo"), F.col("lo_share")).otherwise(F.col("hi_share"))
@@ -157,7 +159,7 @@ def h2h_winrate(matches: DataFrame, min_games: int = 1) -> DataFrame:
     m = _pairs(matches)
     lo_won = ((F.col("result") == "H") & (F.col("home") == F.col("lo"))) | ((F.col("result") == "A") & (F.col("away") == F.col("lo")))
     ledger = sums_before(m, ["lo", "hi"], T, {
-        "games": F.count(F.lit(1)),
+        "games": F.count("result"),
         "lo_wins": F.sum(lo_won.cast("int")),
         "hi_wins": F.sum((~lo_won & (F.col("result") != "D")).cast("int"))})
     out = attach(m, ledger, ["lo", "hi"], T)

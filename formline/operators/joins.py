@@ -49,14 +49,15 @@ def pair_difference_stats(state: DataFrame, order: str, value: str) -> DataFrame
     """Mean, population std, min and max of ``value_i - value_j`` over all pairs i < j by ``order``.
 
     No pair is formed. With positions k = 0..n-1, each value counts (n-1-2k) times in the sum of
-    differences, and the squares add up to n*sum(v^2) - (sum v)^2. The extremes compare each value
+    differences, and the squares add up to n^2 times the variance. The extremes compare each value
     with the running extremes before it.
     """
     counts = state.select(F.col(order).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(1).alias("one"))
     placed = running_counts(stored(counts, "state"), "_k", ["one"]).withColumn("pos", F.col("one_before"))
     n = F.count(F.lit(1))
-    sums = placed.agg(n.alias("n"), F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"),
-                      F.sum(F.col("_v") * F.col("pos")).alias("sp"))
+    # the square of all differences is n times the centred second moment, which var_pop merges without cancelling
+    sums = placed.agg(n.cast("double").alias("n"), F.avg("_v").alias("m"), F.var_pop("_v").alias("v"),
+                      F.avg(F.col("_v") * F.col("pos")).alias("mp"))
     blocks = placed.withColumn("_blk", F.floor(F.col("pos") / 4096))
     carry = blocks.groupBy("_blk").agg(F.max("_v").alias("mx"), F.min("_v").alias("mn"))
     prev = W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
@@ -66,8 +67,8 @@ def pair_difference_stats(state: DataFrame, order: str, value: str) -> DataFrame
         "hi": F.greatest("mx", F.max("_v").over(inside)), "lo": F.least("mn", F.min("_v").over(inside))})
     ends = run.agg(F.max(F.col("hi") - F.col("_v")).alias("max"), F.min(F.col("lo") - F.col("_v")).alias("min"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    mean = F.try_divide((F.col("n") - 1) * F.col("s") - 2 * F.col("sp"), pairs)
-    square = F.try_divide(F.col("n") * F.col("q") - F.col("s") * F.col("s"), pairs)
+    mean = F.try_divide(F.col("n") * ((F.col("n") - 1) * F.col("m") - 2 * F.col("mp")), pairs)
+    square = F.try_divide(F.col("n") * F.col("n") * F.col("v"), pairs)
     return (sums.select(pairs.cast("long").alias("pairs"), mean.alias("mean"),
                         F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
             .withColumn("_e", ends.select(F.struct("min", "max")).scalar()).select("pairs", "mean", "std", "_e.*"))

@@ -57,12 +57,24 @@ def day_tails(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequenc
 
 
 def last_n_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,
-                  out: str = "past") -> DataFrame:
+                  out: str = "past", only: str | None = None) -> DataFrame:
     """Ledger (keys, t, out): the last ``n`` rows strictly before day ``t``, oldest first.
 
-    Every ledger day holds at least one row, so ``n`` earlier days are always enough.
+    Every ledger day holds at least one row, so ``n`` earlier days are always enough. With ``only``, rows
+    where that column is null still have their day in the ledger but are no history themselves.
     """
-    return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-n, -1), n, out)
+    if only is None:
+        return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-n, -1), n, out)
+    held = day_tails(df.filter(F.col(only).isNotNull()), keys, t, id, cols, n)
+    days = df.select(*keys, t).distinct().join(held, [*keys, t], "left")
+    # days with rows are numbered; a day without looks back from the number it has reached
+    full = F.col("tail").isNotNull()
+    days = days.withColumn("_i", F.sum(full.cast("long")).over(W.partitionBy(*keys).orderBy(t)))
+    by_number = W.partitionBy(*keys).orderBy("_i")
+    before = F.collect_list("tail").over(by_number.rangeBetween(-n, -1))
+    up_to = F.collect_list("tail").over(by_number.rangeBetween(1 - n, 0))
+    merged = days.select(*keys, t, F.flatten(F.when(full, before).otherwise(up_to)).alias("_all"))
+    return merged.select(*keys, t, tail(F.col("_all"), n).alias(out))
 
 
 def _merged(days: DataFrame, keys: Sequence[str], t: str, rows: tuple[int, int], n: int, out: str) -> DataFrame:

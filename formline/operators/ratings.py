@@ -88,6 +88,8 @@ def _replay(rule: EloRule, closing: bool) -> Callable[[Iterator[pa.RecordBatch]]
                 if not closing:
                     for name, value in zip(out, (pool, mid, h, a, rh, ra)):
                         out[name].append(value)
+                if s is None:  # a row without a result is answered and changes nothing
+                    continue
                 expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / SCALE))
                 ratings[h] = rh + step(h_new) * (s - expected)
                 ratings[a] = ra + step(a_new) * ((1.0 - s) - (1.0 - expected))
@@ -102,10 +104,10 @@ def _replay(rule: EloRule, closing: bool) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _games(df: DataFrame, rule: EloRule) -> DataFrame:
-    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).otherwise(0.0)
+    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0)  # null: not played yet
     g = df.select(F.col("pool").cast("long").alias("pool"), "match_id", "match_date", "home", "away", score.alias("score"))
     if rule.count_mode == "total":
-        sides = g.select(F.explode(F.array("home", "away")).alias("ent"))
+        sides = g.filter(F.col("score").isNotNull()).select(F.explode(F.array("home", "away")).alias("ent"))
         total = sides.groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
         for side in ("home", "away"):
             part = total.select(F.col("ent").alias(side), F.col("n").alias(f"{side[0]}g"))
@@ -273,7 +275,7 @@ def bounded_counter(long: DataFrame, up: float = UP, down: float = DOWN, decay:
     Clamped steps compose into one clamped step, so each (entity, day) folds on its own, the days
     of an entity chain on a small ledger, and the games of a day replay from the day's opening value.
     """
-    delta = F.when(F.col("res") == 1, up).when(F.col("res") == -1, down).otherwise(decay)
+    delta = F.when(F.col("res") == 1, up).when(F.col("res") == -1, down).when(F.col("res") == 0, decay).otherwise(0.0)
     rows = long.select("ent", F.unix_date("match_date").cast("long").alias("day"), "match_id", "venue", delta.alias("delta"))
     fold = rows.repartition("ent", "day").sortWithinPartitions("ent", "day", "match_id").mapInArrow(
         _fold_days, "ent long, day long, c double, lo double, hi double")

@@ -81,9 +81,11 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
         ["_y"], list(features), "feature", "x").filter(F.col("x").isNotNull())
     cls = long.groupBy("feature", "_y").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     tot = cls.groupBy("feature").agg(
-        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"),
-        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
-    between = F.col("sq") - F.col("s") * F.col("s") / F.col("n_all")
+        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.collect_list(F.struct("n", "m")).alias("classes"))  # one entry a class
+    mean = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c["n"] * c["m"] / F.col("n_all"))
+    between = F.aggregate(F.transform("classes", lambda c: F.col("n_all") * 0.0 + c["n"] * (c["m"] - F.col("mean")) * (c["m"] - F.col("mean"))), F.lit(0.0), lambda acc, x: acc + x)
+    tot = tot.withColumn("mean", mean)
     f = F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n_all") - F.col("k")))
     return tot.select("feature", f.alias("f"))
 
@@ -104,7 +106,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     cells = long.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n"))
     by = lambda *c: F.sum("n").over(W.partitionBy("feature", *c))
     joint = cells.withColumns({"nb": by("b"), "ny": by("y"), "nt": by()})
-    term = F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("ny")))
+    term = F.col("n") / F.col("nt") * F.log(F.col("n").cast("double") * F.col("nt") / (F.col("nb").cast("double") * F.col("ny")))
     return joint.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 

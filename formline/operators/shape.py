@@ -108,15 +108,18 @@ def top_bottom(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Repeatable sample: the same rows whatever the partitioning."""
-    buckets = 1 << 20
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)) < int(fraction * buckets))
+    """Repeatable sample: the same rows whatever the partitioning, for fractions down to 1e-18."""
+    mark = F.conv(F.substring(_mark(key, seed), 1, 15), 16, 10).cast("long")  # 60 bits
+    return df.filter(mark < int(fraction * (1 << 60)))
+
+
+def _mark(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in the order of a seeded hash."""
-    mark = F.xxhash64(F.col(key), F.lit(seed))
-    return df.withColumn("_mark", mark).orderBy("_mark", key).limit(n).drop("_mark")
+    return df.withColumn("_mark", _mark(key, seed)).orderBy("_mark", key).limit(n).drop("_mark")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

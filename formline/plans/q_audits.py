@@ -56,11 +56,12 @@ def v02(spark, d):
     return rows(v.ranges(normed(spark, d), NORM))
 
 
-@query("v03_derived_consistency", C(", z as (select *, home_goals - away_goals gd, round(home_goals * 1e0) + away_goals tg from contests)" + A(
+@query("v03_derived_consistency", L(", z as (select home_goals, away_goals, l.gf - l.ga gd, l.gf + l.ga tg from contests join long l on l.match_id = contests.match_id and l.venue = 'H')" + A(
     "z", ("derived", "gd", "max(abs(gd - (home_goals - away_goals)))", 1e-6, "x <= 1e-6"), ("derived", "tg", "max(abs(tg - (home_goals + away_goals)))", 1e-6, "x <= 1e-6"))))
 def v03(spark, d):
     a, b = F.col("home_goals"), F.col("away_goals")
-    m = contests(spark, d).withColumns({"gd": a - b, "tg": a + b})
+    side = contests_long(spark, d).filter("venue = 'H'").select("match_id", (F.col("gf") - F.col("ga")).alias("gd"), (F.col("gf") + F.col("ga")).alias("tg"))
+    m = contests(spark, d).join(side, "match_id")
     return rows(v.derived(m, {"gd": a - b, "tg": a + b}))
 
 
@@ -221,13 +222,15 @@ def v21(spark, d):
     hist = e.elo_history(m).join(m.select("match_id", "result"), "match_id")
     final = e.elo_final(m).agg(F.struct(F.sum("elo").alias("s"), (F.count(F.lit(1)) * e.INIT).alias("i")).alias("x")).scalar()
     from formline.functions.scalar import elo_expectation
-    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).otherwise(0.0)
+    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0)
     step = e.K * (score - elo_expectation(F.col("home_elo"), F.col("away_elo")))
     df = hist.withColumns({"step": step, "x": final})
     return rows(v.rating_invariants(df, F.max("x.s"), F.max("x.i"), F.col("step"))).withColumn("value", r6("value", 4))
 
 
-@query("v22_counter_invariants", L(", z as (select 1 one)" + A("z", ("record_adds_up", "games", "0", 0, "x <= 0"), ("points_add_up", "points", "0", 0, "x <= 0"), ("negative", "goals", "0", 0, "x <= 0")) +
+@query("v22_counter_invariants", L(f""", z as (select ent, count(*) games, count(case when res = 1 then 1 end) w, count(case when res = 0 then 1 end) dr, count(case when res = -1 then 1 end) l, sum(points) pts, sum(gf) gf, sum(ga) ga
+  from long where match_date < date '{CUT}' group by ent)""" + A("z", ("record_adds_up", "games", "count(case when w + dr + l <> games then 1 end)", 0, "x <= 0"),
+    ("points_add_up", "points", "count(case when pts <> 3 * w + dr then 1 end)", 0, "x <= 0"), ("negative", "goals", "count(case when gf < 0 or ga < 0 then 1 end)", 0, "x <= 0")) +
     f" union all " + A(f"(select least(5, count(*)) k from long where match_date < date '{CUT}' group by ent)", ("window_length", "last", "max(k)", 5, "x <= 5"))))
 def v22(spark, d):
     st = e.state_as_of(contests(spark, d), contests_long(spark, d), CUT)
@@ -268,7 +271,7 @@ def v26(spark, d):
 
 @query("v27_plausibility", L(""", f as (select avg(xg) over w5 xg_mean_5, avg(xg) over w10 xg_mean_10, sum(gf) over w5 gf_sum_5, sum(gf) over w10 gf_sum_10 from long
   window w5 as (partition by ent order by match_date, match_id rows between 5 preceding and 1 preceding), w10 as (partition by ent order by match_date, match_id rows between 10 preceding and 1 preceding))""" +
-  A("f", *[s for c, (lo, hi) in v.PLAUSIBLE.items() if c != "xg_eff" for s in (("below_range", c, f"count(case when {c} < {lo} then 1 end)", 0, "x <= 0"), ("above_range", c, f"count(case when {c} > {hi} then 1 end)", 0, "x <= 0"))])))
+  A("f", ("missing_column", "xg_eff", "max(1)", 0, "x <= 0"), *[s for c, (lo, hi) in v.PLAUSIBLE.items() if c != "xg_eff" for s in (("below_range", c, f"count(case when {c} < {lo} then 1 end)", 0, "x <= 0"), ("above_range", c, f"count(case when {c} > {hi} then 1 end)", 0, "x <= 0"))])))
 def v27(spark, d):
     past = h.with_past(contests_long(spark, d), ["xg", "gf"], 10, "row")
     from formline.functions.scalar import arr_mean, tail

@@ -25,8 +25,8 @@ def matrix(spark, d):
     """Leak-free features with neutral fills, and the class code ``y``."""
     m = FeatureSet(xg=False, season=False).build(contests(spark, d), contests_long(spark, d))
     m = m.withColumns({f: F.coalesce(F.col(f), F.lit(0.5)) for f in FEATURES})
-    y = F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2)
-    return m.select("match_id", "match_date", "season", y.alias("y"), *FEATURES)
+    y = F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).when(F.col("result") == "A", 2)
+    return m.select("match_id", "match_date", "season", y.alias("y"), *FEATURES).filter("y is not null")
 
 
 def as_pred(df):
@@ -287,7 +287,7 @@ def m24(spark, d):
 @query("m25_leak_probe")
 def m25(spark, d):
     m = matrix(spark, d).join(contests(spark, d).select("match_id", (F.col("home_goals") - F.col("away_goals")).cast("double").alias("goal_diff")), "match_id")
-    rows = tr.leak_probe(m, ["h2h", "goal_diff"], "y", 2)
+    rows = tr.leak_probe(m, [*FEATURES, "goal_diff"], "y", 5)
     return spark.createDataFrame(rows, "feature string, train double, cv double, gap double, suspicious int")
 
 
@@ -299,5 +299,5 @@ def r09(spark, d):
 
 @query("r10_ablation")
 def r10(spark, d):
-    rows = tr.ablation(matrix(spark, d), FEATURES[:3], "y", 2)
+    rows = tr.ablation(matrix(spark, d), FEATURES, "y", 5)
     return spark.createDataFrame(rows, "size int, added string, mean double, std double")

@@ -138,14 +138,13 @@ def e07(spark, d):
     return whole.unionByName(top, allowMissingColumns=True)
 
 
-BASE_STATS = """, st as (select ent, count(*) games, avg(gf) gf from long where match_date < date '1996-06-01' group by 1),
-  lg as (select (avg(home_goals) + avg(away_goals)) / 2 g from contests where match_date < date '1996-06-01')"""
+BASE_STATS = """, st as (select ent, count(*) games, avg(gf) gf from long group by 1),
+  lg as (select (avg(home_goals) + avg(away_goals)) / 2 g from contests)"""
 
 
 def _base_stats(spark, d):
-    day = F.lit("1996-06-01").cast("date")
-    stats = a.side_stats(contests_long(spark, d).filter(F.col("match_date") < day), ["gf"]).withColumnRenamed("gf_mean", "goals_mean")
-    league = a.grand_mean(contests(spark, d).filter(F.col("match_date") < day), "home_goals", "away_goals")
+    stats = a.side_stats(contests_long(spark, d), ["gf"]).withColumnRenamed("gf_mean", "goals_mean")
+    league = a.grand_mean(contests(spark, d), "home_goals", "away_goals")
     return stats, league
 
 

@@ -244,10 +244,14 @@ def f24(spark, d):
 
 
 @query("f25_json_default", """select event_id, coalesce(cast(json_extract(props, '$.k') as double), 0e0) k,
-  coalesce(cast(json_extract(props, '$.rain.h') as double), 0e0) rain from events""")
+  coalesce(cast(json_extract(props, '$.rain.h') as double), 0e0) rain, -(coalesce(cast(json_extract(props, '$.k') as double), 0e0) + 0.25e0) below,
+  (coalesce(cast(json_extract(props, '$.k') as double), 0e0) + 0.5e0) * 1e13 large from events""")
 def f25(spark, d):
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))
     return table(spark, d, "events").select("event_id", s.json_number(F.col("props"), "$.k", 0).alias("k"),
-                                            s.json_number(F.col("props"), "$.rain.h", 0).alias("rain"))
+                                            s.json_number(F.col("props"), "$.rain.h", 0).alias("rain"),
+                                            s.json_number(F.concat(F.lit('{"r":-'), k, F.lit(".25}")), "$.r", 0).alias("below"),
+                                            s.json_number(F.concat(F.lit('{"r":'), k, F.lit(".5e13}")), "$.r", 0).alias("large"))
 
 
 @query("f26_regex_capture", r"""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) title, len(regexp_extract_all(html, 'href="([^"]*)"')) links,
@@ -259,10 +263,11 @@ def f26(spark, d):
         F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), s.strip_version(name).alias("clean"))
 
 
-@query("f27_hex_unescape", "select page_id, url from pages")
+@query("f27_hex_unescape", "select page_id, url, url mixed from pages")
 def f27(spark, d):
-    escaped = F.regexp_replace(F.hex(F.encode("url", "UTF-8")), "(..)", r"\\x$1")
-    return table(spark, d, "pages").select("page_id", s.unescape_hex(escaped).alias("url"))
+    escaped = lambda text: F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", r"\\x$1")
+    mixed = F.concat(F.substring("url", 1, 4), escaped(F.substring("url", 5, 3)), F.expr("substring(url, 8)"))
+    return table(spark, d, "pages").select("page_id", s.unescape_hex(escaped(F.col("url"))).alias("url"), s.unescape_hex(mixed).alias("mixed"))
 
 
 @query("f28_array_helpers", P(f"""select l.match_id, l.venue, {R('avg(p.gf)')} mean, {R('coalesce(sum(p.gf), 0)')} total, {R('stddev_pop(p.gf)')} std, count(p.gf) n

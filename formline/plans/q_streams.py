@@ -32,7 +32,7 @@ def _ts():
 
 
 def _games(spark, d):
-    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).otherwise(0.0)
+    score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0)
     return contests(spark, d).select(F.col("pool").cast("long").alias("pool"), _ts(), "match_id", "home", "away", "season", score.alias("score"))
 
 

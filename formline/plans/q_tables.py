@@ -126,6 +126,14 @@ def s06b(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query("s06c_embedded_records", "select event_id, cast(json_extract(props, '$.k') as bigint) k from events")
+def s06c(spark, d):
+    """Pages whose literal mixes escapes and plain characters, down to records."""
+    body = F.concat(F.lit(r"<script>var datesData = JSON.parse('\x5b\x7B\x22k"), F.lit('":'), F.get_json_object("props", "$.k"), F.lit(r"\x7d]');</script>"))
+    pages = table(spark, d, "events").select("event_id", body.alias("html"))
+    return rd.embedded_json(pages, "html", "array<struct<k:bigint>>").select("event_id", F.col("rec")["k"].alias("k"))
+
+
 @query("s07_profile_files", C("""select cast(season as varchar) file, count(*) n, 4 as columns, 1 has_entities, cast(min(match_date) as varchar) first_day,
   cast(max(match_date) as varchar) last_day, cast(season as varchar) seasons from contests group by season"""))
 def s07(spark, d):
@@ -621,11 +629,16 @@ def o05(spark, d):
     return _r(out, ["r"], ["feature", "rank"])
 
 
-@query("o06_sample")
+@query("o06_sample", C("select match_id from contests order by md5('42:' || match_id), match_id limit 50"))
 def o06(spark, d):
     return s.sample_n(contests(spark, d), "match_id", 50, 42).select("match_id")
 
 
+@query("o06b_fraction_sample", C("select match_id from contests where cast('0x' || substr(md5('7:' || match_id), 1, 15) as bigint) < 1152921504606846976 // 8"))
+def o06b(spark, d):
+    return s.hash_sample(contests(spark, d), "match_id", 0.125, 7).select("match_id")
+
+
 @query("o07_best_by", C(HIST_POOL + f" select pool, season, {R('acc')} acc from h order by h.acc desc, pool, season limit 1"))
 def o07(spark, d):
     out = _pool_history(spark, d).orderBy(F.desc("acc"), "pool", "season").limit(1)

@@ -29,11 +29,13 @@ def local_session(cores: str = "8", app: str = "formline") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and kept as the session's setting.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session (tests on one machine) may
+    leave that unset; then a temporary folder is made and kept as the session's setting.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster share no local folder")
         path = tempfile.mkdtemp(prefix="formline-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

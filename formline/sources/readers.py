@@ -90,9 +90,9 @@ def embedded_literal(html: Column, patterns: Sequence[str] = JSON_PATTERNS) -> C
 
 
 def embedded_json(pages: DataFrame, html: str, schema: str = XG_RECORD, patterns: Sequence[str] = JSON_PATTERNS) -> DataFrame:
-    """Pages -> one row per record of the JSON array embedded in them (plain or hex-escaped)."""
+    """Pages -> one row per record of the JSON array embedded in them (plain, hex-escaped, or both mixed)."""
     raw = embedded_literal(F.col(html), patterns)
-    text = F.when(raw.startswith("\\x"), unescape_hex(raw)).otherwise(raw)
+    text = F.when(raw.contains("\\x"), unescape_hex(raw)).otherwise(raw)
     keep = [c for c in pages.columns if c != html]
     return pages.select(*keep, F.explode(F.from_json(text, schema)).alias("rec"))
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row: hash over schema and all rows, whatever their order or partitioning."""
     row = F.xxhash64(*[F.col(c) for c in df.columns])
-    # Each row hash is folded to 31 bits before summing so the sum cannot overflow.
-    body = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(2147483647))).alias("s"))
+    # Each row hash is folded to 31 bits and summed as a decimal of 30 digits, enough for 1e20 rows.
+    body = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(2147483647)).cast("decimal(20,0)")).alias("s"))
     text = F.concat_ws("|", F.lit(df.schema.simpleString()), *[F.col(c).cast("string") for c in ("n", "x", "s")])
     return body.select("n", F.substring(F.md5(text), 1, 8).alias("fingerprint"))
 

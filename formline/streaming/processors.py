@@ -40,6 +40,8 @@ class EloState(StatefulProcessor):
         for h, a, s in zip(games["home"].astype(int), games["away"].astype(int), games["score"]):
             rh, ra = get(h), get(a)
             before.append((rh, ra))
+            if s is None or s != s:  # no result yet: answered, and nothing changes
+                continue
             expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / SCALE))
             seen[h] = rh + K * (s - expected)
             seen[a] = ra + K * ((1.0 - s) - (1.0 - expected))
@@ -94,6 +96,8 @@ class PairCount(StatefulProcessor):
         out = []
         for mid, home, result in zip(games["match_id"], games["home"], games["result"]):
             out.append((key[0], key[1], mid, *c))
+            if result not in ("H", "D", "A"):  # answered, but no meeting yet
+                continue
             if result == "D":
                 c[2] += 1
             else:

@@ -13,13 +13,14 @@ from formline.session import scratch
 from formline.streaming.processors import DayBarrier, EloState, LastN, PairCount
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TIMEOUT_S = 600
 
 
-def replay(df: DataFrame, slices: Sequence[Column], files: int = 4) -> DataFrame:
-    """A stored log as a stream: slice after slice, each one micro-batch of ``files`` files."""
+def replay(df: DataFrame, slices: Sequence[Column], rows_per_file: int = 500_000) -> DataFrame:
+    """A stored log as a stream: slice after slice, each one micro-batch, cut into files of ``rows_per_file`` rows by the largest slice."""
     spark = df.sparkSession
     path = scratch(spark, "replay")
+    counts = df.agg(*[F.count_if(where).alias(f"n{i}") for i, where in enumerate(slices)]).first() if slices else [0]
+    files = max(1, -(-max(counts) // rows_per_file))
     for where in slices:
         df.filter(where).repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -43,9 +44,7 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode:
 
 
 def _finish(q) -> None:
-    if not q.awaitTermination(TIMEOUT_S):
-        q.stop()
-        raise TimeoutError("stream did not drain")
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
 
