@@ -22,8 +22,8 @@ METRIC_DEFAULTS = {"goals": 1.2, "xg": 1.3, "shots": 12.0, "corners": 5.0, "form
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    # one row a value by now, so the total is their sum and the source is read once
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
 def group_mean(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -160,7 +160,7 @@ def mix(pred: DataFrame) -> DataFrame:
         F.struct(F.col("actual").alias("value"), F.lit(1).alias("a"), F.lit(0).alias("p")),
         F.struct(F.col("pred").alias("value"), F.lit(0).alias("a"), F.lit(1).alias("p")))))
     out = both.groupBy("value").agg(F.sum("a").alias("actual_n"), F.sum("p").alias("pred_n"))
-    total = pred.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = F.sum("actual_n").over(W.partitionBy())
     return out.withColumns({"actual_share": F.col("actual_n") / total, "pred_share": F.col("pred_n") / total})
 
 

@@ -53,6 +53,8 @@ class FeatureSet:
     h2h: bool = True
     season: bool = True
     normalize: bool = True
+    rest: bool = False
+    market: bool = False
 
     def build(self, matches: DataFrame, long: DataFrame, w: int = 5) -> DataFrame:
         out = matches
@@ -77,6 +79,12 @@ class FeatureSet:
         if self.elo:
             ratings = elo_history(matches).select("match_id", "home_elo", "away_elo")
             out = out.join(ratings, "match_id").withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))
+        if self.rest:
+            out = rest_features(out, long)
+        if self.market:
+            books = [F.col(c) for c in ("B365H", "B365D", "B365A")]
+            fair = mk.margin_free(books)
+            out = out.withColumns({"p_home": fair[0], "p_draw": fair[1], "p_away": fair[2], "market_entropy": mk.entropy(fair)})
         if self.normalize:
             ranges = {"points_diff": (-3.0, 3.0), "gf_diff": (-2.0, 2.0), "xg_diff": (-2.0, 2.0)}
             norm = {f"{c}_normalized": s.clip((F.col(c) - lo) / (hi - lo), 0.0, 1.0) for c, (lo, hi) in ranges.items() if c in out.columns}

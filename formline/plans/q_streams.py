@@ -60,13 +60,14 @@ def t03(spark, d):
 
 
 @query("t04_day_barrier", P("""select l.match_id, l.venue, count(p.res) games, cast(coalesce(sum(p.points), 0) as bigint) points
-  from long l left join past p on p.match_id = l.match_id and p.venue = l.venue
-  where l.match_date < (select max(match_date) from contests) group by 1, 2"""))
+  from long l left join past p on p.match_id = l.match_id and p.venue = l.venue group by 1, 2"""))
 def t04(spark, d):
-    """Every day but the last, which stays open until a later row arrives."""
+    """Every day; the last one is closed by the end of the log."""
     rows = contests_long(spark, d).select("ent", _ts(), F.unix_date("match_date").alias("day"), "match_id", "venue",
                                           F.col("points").cast("long").alias("points"), "season")
-    return st.run(st.day_barrier(st.replay(rows, seasons(spark, d)))).select("match_id", "venue", "games", "points")
+    log = rows.unionByName(st.end_of_log(rows))
+    stream = st.replay(log, [*seasons(spark, d), F.col("season").isNull()])
+    return st.run(st.day_barrier(stream)).select("match_id", "venue", "games", "points")
 
 
 @query("t05_late_rows", C(""", w as (select max(match_date) m from contests where pool >= 5)
@@ -95,7 +96,9 @@ def t06(spark, d):
 @query("t06b_sliding_counts", """select strftime(s, '%Y-%m-%d') start, count(*) n from (
   select unnest(generate_series(date_trunc('day', ts) - interval 13 day, date_trunc('day', ts), interval 1 day)) s from events) group by 1""")
 def t06b(spark, d):
-    return st.sliding_counts(table(spark, d, "events"), "ts", 14).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    """The sliding windows of the stream; ``sliding_counts`` is its batch twin."""
+    stream = st.replay(table(spark, d, "events").select("ts"), _event_slices())
+    return st.run_complete(st.windowed_counts(stream, "ts", [], "14 days", "1 day")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 SESSION_SQL = """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') start, count(*) n from (

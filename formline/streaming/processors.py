@@ -125,6 +125,9 @@ class DayBarrier(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = ordered(rows)
+        batch = batch[batch["match_id"].notna()]  # the end of the log only moves the watermark
+        if batch.empty:
+            return iter([])
         days = batch["day"].astype(int)
         self.waiting.appendList([(int(d), int(m), v, int(p)) for d, m, v, p in zip(days, batch["match_id"], batch["venue"], batch["points"])])
         # One timer for the earliest open day is enough: its firing arms the next one.
@@ -143,12 +146,15 @@ class DayBarrier(StatefulProcessor):
         if len(open_days) == len(rows):
             return
         games, points = (int(v) for v in self.total.get()) if self.total.exists() else (0, 0)
-        out = []
-        for day in sorted({r[0] for r in rows if r[0] < end}):
-            today = [r for r in rows if r[0] == day]
-            out += [(key[0], r[1], r[2], games, points) for r in today]
-            games, points = games + len(today), points + sum(r[3] for r in today)
-        rest = [r for r in rows if r[0] >= end]
+        out, rest, day, held = [], [], None, (games, points)
+        for r in sorted(rows):
+            if r[0] >= end:
+                rest.append(r)
+                continue
+            if r[0] != day:
+                day, held = r[0], (games, points)
+            out.append((key[0], r[1], r[2], *held))
+            games, points = games + 1, points + r[3]
         self.waiting.clear()
         if rest:
             self.waiting.appendList(rest)

@@ -81,11 +81,19 @@ def pair_counts(stream: DataFrame) -> DataFrame:
 def day_barrier(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """``stream``: ent, ts, day, match_id, venue, points, with ``ts`` = start of ``day`` (see ``day_start``).
 
-    A day is released once the watermark has passed its end.
+    A day is released once the watermark has passed its end; for the last day of a closed log see ``end_of_log``.
     """
     return stateful(stream.withWatermark("ts", delay), ["ent"], DayBarrier(), DayBarrier.OUT, time_mode="EventTime")
 
 
+def end_of_log(rows: DataFrame) -> DataFrame:
+    """One row that stands two days after the last one and names no match: it closes the last day."""
+    last = rows.agg(F.max("day").alias("d"))
+    day = F.col("d") + 2
+    known = {"ent": F.lit(0), "ts": F.timestamp_seconds(day.cast("long") * 86_400), "day": day}
+    return last.filter("d is not null").select(*[known.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+
+
 def split_late(stream: DataFrame, t: str, delay: str) -> tuple[DataFrame, DataFrame]:
     """(on time, late): a row is late when it is older than the highest time of earlier batches minus ``delay``.
 
