@@ -85,7 +85,11 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         x, y = F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))
 
         def after_suffix(q: Column) -> Column:
-            return banded_distance(F.substring(x, F.lit(1), F.length(x) - q), F.substring(y, F.lit(1), F.length(y) - q), threshold) <= threshold
+            rest_x, rest_y = F.substring(x, F.lit(1), F.length(x) - q), F.substring(y, F.lit(1), F.length(y) - q)
+            near = banded_distance(rest_x, rest_y, threshold) <= threshold
+            if threshold == 1:  # what is left differs at both ends, which one edit can do for single characters only
+                near = F.when(F.greatest(F.length(rest_x), F.length(rest_y)) > 1, False).otherwise(near)
+            return near
         return let(common_prefix(F.reverse(x), F.reverse(y), short - p), after_suffix)
 
     return (F.abs(F.length(a) - F.length(b)) <= threshold) & let(common_prefix(a, b, short), after_prefix)
