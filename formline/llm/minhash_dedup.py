@@ -6,8 +6,8 @@ collision-corrected Jaccard estimate, with five standard errors of room, sorts o
 
 Not all of these pairs are checked at first. Of each bucket a spanning forest, the most similar pairs first, is checked on the
 full shingle sets; where it links a group, the other pairs inside the group cannot change its component. Then all
-remaining pairs between different components are checked. So no link that matters to a component is left
-out, and a large group of near copies costs about one check a member. Buckets of over ``block`` classes are cut into blocks, and
+remaining pairs between different components are checked, inside the tasks that hold their bucket, and only links come
+out. So no link that matters to a component is left out, and a large group of near copies costs about one check a member. Buckets of over ``block`` classes are cut into blocks, and
 each pair of blocks is a task of its own.
 
 Chance to miss a pair with Jaccard exactly 0.85 through all 25 bands: 4e-7 (0.8: 5e-5).
@@ -18,7 +18,7 @@ with nothing; repeated rows are rows of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, key1 long, key2 long, regs binary")
 
 
-def _registers(column: pa.Array) -> np.ndarray:
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
@@ -62,15 +62,16 @@ def members(classes: DataFrame) -> DataFrame:
     return rows.join(unique, "key").select("key", "n", "class")
 
 
-def candidates(rows: DataFrame, classes: DataFrame, least: float, whole: bool, block: int) -> DataFrame:
-    """Pairs (a, b) of classes of one bucket with an estimate of ``least`` or more: all that have different labels, or a spanning forest of each bucket."""
-    label = F.col("label") if whole else F.lit(0).cast("long")
-    rows = rows.select("key", "n", "class", label.alias("label")).join(classes.select("class", "n_shingles", "regs"), "class")
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """The rows (key, n, class, ...) of buckets by pair of blocks (p, q); a bucket of up to ``block`` classes is one block."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "label", "n_shingles", "regs")
+    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "n")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bucketwise(each: Callable[[pa.Table], Iterator[pa.RecordBatch]], limit: int = 1 << 25) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``each`` with whole buckets, several at a time, of a partition that is sorted by (key, p, q)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -78,43 +79,112 @@ def candidates(rows: DataFrame, classes: DataFrame, least: float, whole: bool, b
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in ("key", "p", "q")):
                 cut = np.concatenate([[0], cut])
-            if len(cut) and size + cut[-1] > 20000:
-                yield from one(pa.Table.from_batches([*held, batch.slice(0, cut[-1])]))
-                held, size = [batch.slice(cut[-1])], batch.num_rows - int(cut[-1])
+            if len(cut) and size + batch.nbytes > limit:
+                yield from each(pa.Table.from_batches([*held, batch.slice(0, cut[-1])]))
+                held = [batch.slice(cut[-1])]
+                size = held[0].nbytes
             else:
                 held.append(batch)
-                size += batch.num_rows
+                size += batch.nbytes
         if held:
-            yield from one(pa.Table.from_batches(held))
+            yield from each(pa.Table.from_batches(held))
+    return run
+
+
+class Buckets:
+    """The pairs of classes inside the buckets of a table whose estimates reach ``least``."""
+
+    def __init__(self, t: pa.Table, least: float, labels: bool) -> None:
+        self.key = np.stack([t[c].to_numpy() for c in ("key", "p", "q")])
+        self.own, self.ids, self.sizes = (t[c].to_numpy() for c in ("own", "class", "n_shingles"))
+        self.labels = t["label"].to_numpy() if labels else None
+        self.regs = _registers(t["regs"])
+        self.run = np.concatenate([[0], np.cumsum((self.key[:, 1:] != self.key[:, :-1]).any(axis=0))])
+        self.least = least
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j in pairs_in_runs(self.run, 1 << 19):
+            ok = (self.own[i] != self.own[j]) | (self.key[1][i] == self.key[2][i])  # in a pair of two blocks only across them
+            if self.labels is not None:
+                ok &= self.labels[i] != self.labels[j]
+            # no two sets can be more similar than the smaller size through the larger
+            ok &= np.minimum(self.sizes[i], self.sizes[j]) >= self.least * np.maximum(self.sizes[i], self.sizes[j])
+            i, j = i[ok], j[ok]
+            rate = estimated(self.regs, i, j, self.sizes)
+            near = rate >= self.least
+            yield i[near], j[near], rate[near]
+
 
-    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def first_checks(rows: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs (a, b): a spanning forest of each bucket's candidates, the most similar first."""
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        key = np.stack([t[c].to_numpy() for c in ("key", "p", "q")])
-        own, ids, labels, sizes = (t[c].to_numpy() for c in ("own", "class", "label", "n_shingles"))
-        regs = _registers(t["regs"].combine_chunks() if isinstance(t["regs"], pa.ChunkedArray) else t["regs"])
-        run = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-        for i, j in pairs_in_runs(run, 1 << 19):
-            ok = (own[i] != own[j]) | (key[1][i] == key[2][i])
-            if whole:
-                ok &= labels[i] != labels[j]
-            # no two sets of these sizes can be more similar than the smaller through the larger
-            ok &= np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
-            i, j = i[ok], j[ok]
-            rate = estimated(regs, i, j, sizes)
-            near = rate >= least
-            i, j, rate = i[near], j[near], rate[near]
-            if not whole and len(i):
-                order = np.lexsort((-rate, run[i]))
-                i, j = i[order], j[order]
-                names, place = np.unique(np.stack([np.concatenate([run[i], run[j]]), np.concatenate([ids[i], ids[j]])]), axis=1, return_inverse=True)
-                place = place.ravel()
-                keep = forest(place[:len(i)], place[len(i):], names.shape[1])
-                i, j = i[keep], j[keep]
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long").distinct()
+        b = Buckets(t, least, labels=False)
+        for i, j, rate in b.pairs():
+            if not len(i):
+                continue
+            order = np.lexsort((-rate, b.run[i]))
+            i, j = i[order], j[order]
+            keep = forest(i, j, len(b.run))
+            x, y = b.ids[i[keep]], b.ids[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = dealt(rows.select("key", "n", "class").join(classes.select("class", "n_shingles", "regs"), "class"), block)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(bucketwise(each), "a long, b long").distinct()
+
+
+def still_open(rows: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
+    """(key, p, q, own, class, label): the classes of a bucket that have a candidate there with another label."""
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        b = Buckets(t, least, labels=True)
+        hit = np.zeros(t.num_rows, dtype=bool)
+        for i, j, _ in b.pairs():
+            hit[i] = hit[j] = True
+        out = t.select(["key", "p", "q", "own", "class", "label"]).filter(pa.array(hit))
+        yield from out.to_batches()
+
+    rows = dealt(rows.select("key", "n", "class", "label").join(classes.select("class", "n_shingles", "regs"), "class"), block)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(bucketwise(each), "key long, p int, q int, own int, class long, label long")
+
+
+def last_checks(open_: DataFrame, kept: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of ``open_`` with different labels, on the full sets, inside the tasks.
+
+    A pair is checked in one bucket: the one with the smallest key that both are in. ``kept``: class, keys (of its buckets)."""
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        b = Buckets(t, least, labels=True)
+        sets = shingle_sets(t["text"].to_pylist())
+        bands = band_keys(b.regs)
+        for n, keys in enumerate(t["keys"].to_pylist()):  # bands whose bucket was not kept meet nobody
+            bands[n][~np.isin(bands[n], np.array(keys))] = -1 - n
+        root = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        links = []
+        for i, j, _ in b.pairs():
+            shared = np.where(bands[i] == bands[j], bands[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            here = shared == b.key[0][i]
+            for x, y in zip(i[here].tolist(), j[here].tolist()):
+                u, v = find(b.labels[x]), find(b.labels[y])
+                if u != v:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        root[max(u, v)] = min(u, v)
+                        links.append((b.ids[x], b.ids[y]))
+        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=np.iinfo(np.int64).max)), pa.array(pairs.max(axis=1, initial=-1))], names=["a", "b"])
+
+    rows = open_.join(classes.select("class", "n_shingles", "regs"), "class").join(kept, "class").join(texts, "class")
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(bucketwise(each), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -142,14 +212,15 @@ def near_documents(docs: DataFrame, percent: int = 85, block: int = 1024) -> Dat
     classes = usable.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     buckets = stored(members(classes), "buckets")
-    first = stored(candidates(buckets, classes, least, whole=False, block=block), "pairs")
+    first = stored(first_checks(buckets, classes, least, block), "pairs")
     texts = stored(_texts(docs, classes, first), "texts")
     links = stored(verified(first, texts, percent), "links")
     label = components(links).toDF("class", "label")
     labelled = buckets.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rest = candidates(labelled.join(split, "key"), classes, least, whole=True, block=block).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, texts, percent))
+    open_ = stored(still_open(labelled.join(split, "key"), classes, least, block), "open")
+    kept = buckets.join(open_.select("class").distinct(), "class").groupBy("class").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    links = links.unionByName(last_checks(open_, kept, classes, texts, least, percent))
     label = components(links).toDF("class", "label")
     named = stored(classes.select("class", "key1", "key2", "doc_id").join(label, "class", "left").select("key1", "key2", "doc_id", F.coalesce("label", "class").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
