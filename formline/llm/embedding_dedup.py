@@ -89,7 +89,7 @@ def coded(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
                 wide = (np.arange(tables, dtype=np.int64) << 50) ^ (np.int64(dim & 1023) << 40) ^ keys
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(wide), pa.list_(pa.int64()))], names=[*part.schema.names, "keys"])
 
-    return vectors.mapInArrow(run, "vec_id long, size long, v array<double>, keys array<long>")
+    return vectors.mapInArrow(run, f"vec_id long, size long, v {vectors.schema['v'].dataType.simpleString()}, keys array<long>")
 
 
 def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -222,7 +222,9 @@ def links(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-5, block:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-5) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    # floats travel as floats and are computed on as doubles
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform("embedding", lambda x: x.cast(kind))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     good = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
