@@ -127,6 +127,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("null_id", "doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def possible_member(keys: DataFrame, bits: int = 18) -> Callable[[Column], Column]:
+    """A test that all values of the only column (long) of ``keys`` pass and few others do. It is a bitmap of 2 ** bits bits whatever the number
+    of keys: 32 KB in the plan, collected as at most 2 ** bits / 64 rows. It only spares rows a shuffle; the join behind it decides."""
+    key = F.col(keys.columns[0])
+    place = F.pmod(key, F.lit(1 << bits))
+    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("set"))
+    held = bytearray((1 << bits) // 8)
+    for r in words.collect():
+        held[8 * r.word:8 * r.word + 8] = r.set.to_bytes(8, "little", signed=True)
+
+    def test(h: Column) -> Column:
+        at = F.pmod(h, F.lit(1 << bits))
+        byte = F.conv(F.hex(F.substring(F.lit(held), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
+    return test
+
+
 def near_lines(long_lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (h1, g1, h2, g2) of different lines (two hashes each) within the threshold."""
     hashed = long_lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line", F.length("line").alias("n"))
@@ -141,7 +158,8 @@ def near_lines(long_lines: DataFrame, threshold: int) -> DataFrame:
     pairs = met.filter("h1 <> h2 and (not only_own or h1 < h2)").select(F.least("h1", "h2").alias("h1"), F.greatest("h1", "h2").alias("h2")).distinct()
     pairs = stored(pairs, "line-pairs")
     needed = pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct()
-    texts = stored(hashed.select("h", "g", "line").join(needed, "h").groupBy("h", "g").agg(F.first("line").alias("line")), "line-texts")
+    # only lines that may be needed travel with their text
+    texts = stored(hashed.filter(possible_member(needed)(F.col("h"))).select("h", "g", "line").join(needed, "h").groupBy("h", "g").agg(F.first("line").alias("line")), "line-texts")
     both = pairs.join(texts.toDF("h1", "g1", "a"), "h1").join(texts.toDF("h2", "g2", "b"), "h2")
     return both.filter(within(F.col("a"), F.col("b"), threshold)).select("h1", "g1", "h2", "g2")
 
@@ -169,7 +187,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     rows = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("text_key")), "left")
     lines = F.split("row.text", "\n")
     rows = rows.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))).filter("removed is null or size(kept) > 0")
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda i: lines[i]), "\n"))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(let(lines, lambda all_: F.array_join(F.transform("kept", lambda i: all_[i]), "\n")))
     renewed = {"text": text, "n_chars": F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     return rows.select(*[(renewed[c] if c in renewed else F.col("row")[c]).alias(c) for c in docs.columns])
 
