@@ -1,10 +1,18 @@
-"""Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
+"""Near-duplicate lines by an edit join, in DataFrame functions only.
 
-A line of l characters is cut into threshold + 1 even segments. Two lines within ``threshold`` edits of each other share one of
-them whole, at a place that the lengths confine: each line indexes its own segments under (length, number, hash) and
+The edits allowed follow the length (``edit_bands``): lines of lo to hi - 1 characters, hi = 1.2 lo, may differ by hi / 20 edits, two at
+least: one edit in 17 to 20 characters from 40 on. Of two lines the shorter one's band decides. Two such lines share a run of
+lo / (edits + 1) characters whole, at places at most that many edits apart. A run that long holds at least one full window of
+``w`` grams of ``k`` characters, and equal windows choose the same gram (the least hash, the leftmost of equals), so lines meet under
+(band, chosen gram, stretch of places); the next band's shortest lines are guests of a band. The number of keys is linear in the
+length, whatever the edits.
+
+With a fixed ``threshold`` lines meet by segments instead: a line of l characters is cut into threshold + 1 even segments.
+Two lines within ``threshold`` edits of each other share one of them whole, at a place that the lengths confine: each line indexes its own segments under (length, number, hash) and
 probes, for every length it may meet, the substrings at those places. Lines that meet are stripped of their common
 prefix and suffix, found by halving steps, and what is left is rated by the banded bit-parallel recurrence: one
-column of the band of 2 * threshold + 1 rows is one machine word, one step of ``aggregate`` a character.
+column of the band of 2 * threshold + 1 rows is one machine word, one step of ``aggregate`` a character. Bands of lines that
+allow more than WORD edits (the recurrence, interpreted, is slow there; from 15 on it would not fit the word) are rated by Spark's own ``levenshtein`` with its limit, which is exact too.
 
 Lines stand in the order of (id, null ids last; text hash; line number). A line goes if an equal line, or one within the
 threshold, stands before it. Lines of fewer than ``min_chars`` characters always stay. Lines end at newlines.
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 from formline.llm.common import query, table
 from formline.session import stored
 
-THRESHOLD, MIN_CHARS = 1, 24
+MIN_CHARS, WORD, CHUNK = 24, 6, 512
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -41,43 +49,43 @@ def common_prefix(a: Column, b: Column, n: Column, steps: int = 24) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in range(steps, -1, -1)]), F.lit(0), grow)
 
 
-def banded_distance(a: Column, b: Column, threshold: int) -> Column:
-    """Edit distance of strings whose lengths differ by ``threshold`` at most; exact up to ``threshold``, else some larger number."""
-    t = threshold
+def banded_distance(a: Column, b: Column, threshold: int | Column) -> Column:
+    """Edit distance of strings whose lengths differ by ``threshold`` (14 at most) at most; exact up to ``threshold``, else some larger number."""
+    t = F.lit(threshold) if isinstance(threshold, int) else threshold
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
     m, n = F.length(a), F.length(b)
-    mask, top = (1 << (2 * t + 1)) - 1, 1 << (2 * t)
-    padded = F.concat(F.lit(" " * t), a, F.lit(" " * t))
+    mask, top = power(2 * t + 1) - 1, power(2 * t)
+    padded = F.concat(F.repeat(F.lit(" "), t), a, F.repeat(F.lit(" "), t))
 
     def matches(j: Column) -> Column:
         """Bit k: row j - t + k of the pattern is a real row and equals character j of the text."""
         def bits(window: Column, char: Column) -> Column:
-            found = F.lit(0)
-            for k in range(2 * t + 1):
-                row = j - t + k
-                found = found + F.when((row >= 1) & (row <= m) & (F.substring(window, k + 1, 1) == char), 1 << k).otherwise(0)
-            return found
-        return let(F.substring(padded, j, F.lit(2 * t + 1)), lambda window: let(F.substring(b, j, F.lit(1)), lambda char: bits(window, char)))
+            real = F.sequence(F.greatest(F.lit(0), t + 1 - j), F.least(2 * t, m + t - j))
+            return F.aggregate(real, F.lit(0), lambda found, k: F.when(F.substring(window, k + 1, F.lit(1)) == char, found.bitwiseOR(power(k))).otherwise(found))
+        return let(F.substring(padded, j, 2 * t + 1), lambda window: let(F.substring(b, j, F.lit(1)), lambda char: bits(window, char)))
 
     def step(s: Column, j: Column) -> Column:
         vp, vn, dist = s["vp"], s["vn"], s["dist"]
 
         def with_d0(d0: Column) -> Column:
-            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(mask)))
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(mask))
             hn = d0.bitwiseAND(vp)
-            bit = F.call_function("shiftleft", F.lit(1), F.greatest(m - j + t, F.lit(0)))
-            along = dist + F.when(d0.bitwiseAND(F.lit(top)) != 0, 0).otherwise(1)
+            bit = power(F.greatest(m - j + t, F.lit(0)))
+            along = dist + F.when(d0.bitwiseAND(top) != 0, 0).otherwise(1)
             down = dist + F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0)
             half = F.shiftright(d0, 1)
-            return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(F.lit(mask))).alias("vp"), half.bitwiseAND(hp).alias("vn"),
+            return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"), half.bitwiseAND(hp).alias("vn"),
                             F.when(j <= m - t, along).otherwise(down).cast("int").alias("dist"))
 
-        return let(matches(j), lambda x: let((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(mask)), with_d0))
+        # the diagonal never falls, and the 2 * t columns at most along the last row lower it by one each
+        onward = let(matches(j), lambda x: let((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask), with_d0))
+        return F.when(dist > 3 * t, s).otherwise(onward)
 
-    start = F.struct(F.lit(mask & ~((1 << t) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(m, F.lit(t)).cast("int").alias("dist"))
+    start = F.struct((mask - power(t) + 1).alias("vp"), F.lit(0).alias("vn"), F.least(m, t).cast("int").alias("dist"))
     return F.when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["dist"]))
 
 
-def within(a: Column, b: Column, threshold: int) -> Column:
+def within(a: Column, b: Column, threshold: int | Column) -> Column:
     """Whether the edit distance of two strings is at most ``threshold``."""
     short = F.least(F.length(a), F.length(b))
 
@@ -87,7 +95,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         def after_suffix(q: Column) -> Column:
             rest_x, rest_y = F.substring(x, F.lit(1), F.length(x) - q), F.substring(y, F.lit(1), F.length(y) - q)
             near = banded_distance(rest_x, rest_y, threshold) <= threshold
-            if threshold == 1:  # what is left differs at both ends, which one edit can do for single characters only
+            if isinstance(threshold, int) and threshold == 1:  # what is left differs at both ends, which one edit can do for single characters only
                 near = F.when(F.greatest(F.length(rest_x), F.length(rest_y)) > 1, False).otherwise(near)
             return near
         return let(common_prefix(F.reverse(x), F.reverse(y), short - p), after_suffix)
@@ -121,6 +129,62 @@ def key_columns(line: Column, length: Column, threshold: int) -> tuple[list[Colu
     return index, probes
 
 
+def edit_bands(least: int = MIN_CHARS, most: int = 1 << 31) -> list[tuple[int, int, int, int]]:
+    """(lo, edits, k, w) of the bands of lengths: edits allowed to a line of lo characters up to the next band, gram length and grams a window."""
+    out, lo = [], max(least, 1)
+    while lo < most:
+        width = max(1, lo // 5)
+        edits = min(max(2, (lo + width) // 20), width, lo - 1)
+        run = lo // (edits + 1)
+        w = max(1, (run + 1) * 3 // 8)
+        out.append((lo, edits, run + 1 - w, w))
+        lo += width
+    return out
+
+
+def chosen_grams(chunk: Column, k: Column, w: Column) -> Column:
+    """Distinct hash << 10 | place (from 1) of the grams of k characters that the windows of w grams of a chunk choose."""
+    grams = F.transform(F.sequence(F.lit(1), F.length(chunk) - k + 1), lambda i: F.shiftleft(F.xxhash64(F.substring(chunk, i, k)), 10).bitwiseOR(i.cast("long")))
+    return let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - w + 1), lambda j: F.array_min(F.slice(g, j, w)))))
+
+
+def near_by_length(texts: DataFrame, least: int) -> DataFrame:
+    """Pairs (h1, g1, h2, g2) of different lines within the edits of the shorter one's band; ``texts`` has h, g and line of each line once."""
+    bands = edit_bands(least)
+    borders = F.array(*[F.lit(b[0]).cast("long") for b in bands])
+    of_band = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(b[1:], ("edits", "k", "w"))]) for b in bands])
+    sized = texts.select("h", "line", F.length("line").alias("n")).withColumn("band", F.size(F.filter(borders, lambda b: b <= F.col("n"))))
+    # a line is a guest of the band before its own if a line there may be within that band's edits
+    earlier = F.greatest(F.col("band") - 1, F.lit(1))
+    guest = (F.col("band") > 1) & (F.col("n") - F.element_at(borders, F.col("band")) < F.element_at(of_band, earlier)["edits"])
+    placed = sized.withColumn("in_band", F.explode(F.when(guest, F.array("band", earlier)).otherwise(F.array("band"))))
+    placed = placed.select("h", "n", "line", "in_band", (F.col("band") == F.col("in_band")).alias("own"), F.element_at(of_band, F.col("in_band")).alias("b")).select("*", "b.*")
+    # long lines go in chunks of window starts, as a substring costs its place
+    starts = F.sequence(F.lit(1), F.col("n") - F.col("k") - F.col("w") + 2, F.lit(CHUNK))
+    cut = placed.withColumn("start", F.explode(starts)).withColumn("chunk", F.substring("line", F.col("start"), F.col("k") + F.col("w") + (CHUNK - 2)))
+
+    def keys_of(gram: Column) -> Column:
+        """Of two places at most ``edits`` apart the first one's later stretch or its own is the second one's own."""
+        place, stretch = F.col("start") + gram.bitwiseAND(F.lit(1023)).cast("int"), F.lit(4) * (F.col("edits") + 1)
+        return F.transform(F.array(place, place + F.col("edits")), lambda p: F.xxhash64(F.col("in_band"), F.shiftright(gram, 10), F.floor(p / stretch)))
+
+    keys = F.array_distinct(F.flatten(F.transform(chosen_grams(F.col("chunk"), F.col("k"), F.col("w")), keys_of)))
+    # length, edits and whether it is the line's own band in one word: only three words a key travel
+    about = (F.shiftleft(F.col("n").cast("long"), 29) + F.col("edits") * 2 + F.col("own").cast("int")).alias("about")
+    keys = stored(cut.select(F.explode(keys).alias("key"), "h", about), "line-keys")
+    one, two = keys.toDF("key", "h1", "about1"), keys.toDF("key", "h2", "about2")
+    edits = F.shiftright("about1", 1).bitwiseAND(F.lit((1 << 28) - 1)).cast("int")
+    close = F.abs(F.shiftright("about1", 29) - F.shiftright("about2", 29)) <= edits
+    met = one.join(two, "key").filter((F.col("h1") < F.col("h2")) & (F.col("about1").bitwiseOR(F.col("about2")).bitwiseAND(F.lit(1)) == 1) & close)
+    pairs = stored(met.select("h1", "h2", edits.alias("edits")).distinct(), "line-pairs")
+    needed = pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct()
+    held = stored(texts.select("h", "g", "line").join(needed, "h"), "line-texts")
+    both = pairs.join(held.toDF("h1", "g1", "a"), "h1").join(held.toDF("h2", "g2", "b"), "h2")
+    by_word = within(F.col("a"), F.col("b"), F.least("edits", F.lit(WORD)))
+    rated = F.when(F.col("edits") > WORD, F.call_function("levenshtein", F.col("a"), F.col("b"), F.col("edits")) >= 0).otherwise(by_word)
+    return both.filter(rated).select("h1", "g1", "h2", "g2")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """null_id, doc_id, text_key, line_no, line of every line."""
     rows = docs.select(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
@@ -164,13 +228,18 @@ def near_lines(long_lines: DataFrame, threshold: int) -> DataFrame:
     return both.filter(within(F.col("a"), F.col("b"), threshold)).select("h1", "g1", "h2", "g2")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), removed (sorted numbers, from 0, of the lines that go) for documents that lose a line."""
+def removed_lines(docs: DataFrame, threshold: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), removed (sorted numbers, from 0, of the lines that go) for documents that lose a line.
+    Without a ``threshold`` the edits allowed follow the length."""
     place = F.struct("null_id", "doc_id", "text_key", "line_no")
     long_lines = lines_of(docs).filter(F.length("line") >= min_chars)
-    first = long_lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), place.alias("place")).groupBy("h", "g").agg(F.min("place").alias("place"))
-    first = stored(first, "line-classes")
-    pairs = near_lines(long_lines, threshold)
+    hashed = long_lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), place.alias("place"), "line")
+    if threshold is None:
+        texts = stored(hashed.groupBy("h", "g").agg(F.min("place").alias("place"), F.first("line").alias("line")), "line-classes")
+        first, pairs = texts.drop("line"), near_by_length(texts, min_chars)
+    else:
+        first = stored(hashed.groupBy("h", "g").agg(F.min("place").alias("place")), "line-classes")
+        pairs = near_lines(long_lines, threshold)
     x, y = first.toDF("h1", "g1", "p1"), first.toDF("h2", "g2", "p2")
     later = F.when(F.col("p1") < F.col("p2"), F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"))).otherwise(F.struct(F.col("h1").alias("h"), F.col("g1").alias("g")))
     losers = stored(pairs.join(x, ["h1", "g1"]).join(y, ["h2", "g2"]).select(later.alias("c")).select("c.*").distinct(), "later-lines")

@@ -161,6 +161,29 @@ def test_removed_lines(spark, threshold):
     assert got == plain_removed(df, threshold, 24)
 
 
+def test_edits_follow_the_length(spark):
+    """A changed word, date or number is found in lines of any length; the pairs are those of brute force."""
+    rng = random.Random(8)
+    rows = [(0, "Report of 12 March, all rooms open"), (1, "Report of 15 April, all rooms open"), (2, "Report of 17 March, all rooms open"),
+            (3, "The committee met on Monday 3 May 2021 in the large hall and closed the meeting at noon as planned by all"),
+            (4, "The committee met on Friday 8 May 2021 in the large hall and closed the meeting at noon as planned by all")]
+    for n in [24, 27, 28, 29, 33, 34, 39, 40, 60, 95, 130, 250, 420]:
+        line = "".join(rng.choice("abcdefghijé ") for _ in range(n))
+        rows += [(len(rows) + i, mutated(rng, line, e)) for i, e in enumerate([0, 1, 2, n // 25, n // 18, n // 15])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = line_dedup.edit_bands()
+    lines = [(d, t) for d, t in rows if len(t) >= 24]
+    allowed = {t: max(b for b in bands if b[0] <= len(t))[1] for _, t in lines}
+    near = {d for i, (d, a) in enumerate(lines) for _, b in lines[:i]
+            if abs(len(a) - len(b)) <= (e := allowed[min(a, b, key=len)]) and (a == b or brute.edit_distance(a, b) <= e)}
+    assert {r.doc_id for r in line_dedup.removed_lines(df).collect()} == near and {2, 4} <= near and len(near) > 30
+    assert all(lo >= edits * 10 and lo <= 20 * edits + 19 for lo, edits, _, _ in bands)
+    pairs = [(mutated(rng, a, rng.randint(0, 20)), a) for a in ("".join(rng.choice("abé") for _ in range(rng.randint(60, 90))) for _ in range(60))]
+    for t in (5, 14):
+        got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within(F.col("a"), F.col("b"), t).alias("near")).collect()
+        assert all(r.near == (brute.edit_distance(r.a, r.b) <= t) for r in got)
+
+
 def test_without_lines(spark, odd_docs, no_docs):
     df = spark.createDataFrame(line_docs(), "doc_id long, text string")
     assert line_dedup.removed_lines(df).filter("doc_id = 203").count() == 1  # one more sign in a very long line
