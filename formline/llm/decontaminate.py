@@ -2,16 +2,17 @@
 
 Words (runs without white space, stripped to letters and digits) are put into a canonical form: words with a digit become
 the placeholder of numbers, words with only the first letter in upper case inside a sentence that of names, unit words
-after a number that of units, all others their lower case. Windows of WINDOW canonical words, at least half of them
-literal, are joined by hash between documents and benchmark items. For one item at one shift inside one document,
-the words under equal placeholders must map one to one (slot consistency): a re-parameterised question replaces
-every occurrence of a value by the same other value. A document is contaminated by an item if its consistent shifts cover at
-least ``share`` of the item's windows.
+after a number that of units, all others their lower case. Windows of WINDOW words are joined by hash between documents and
+benchmark items: all of them by their surface words (lower case, so copies in other case match), and those with placeholders, at least
+half of the words literal, by their canonical words too. Windows of one
+item at one shift inside one document count if the words under placeholders with changed values map one to
+one (slot consistency): a re-parameterised question replaces every occurrence of a value by the same other value. A document
+is contaminated by an item if its windows cover at least ``share`` of all the item's windows, or of those that are half literal.
 
 An item of fewer than WINDOW words is one window of its own length. A fixed-size bitmap of the benchmark's window hashes
 keeps windows without any partner out of the join; a false hit there only costs a row, the join decides.
 
-Defined results: null or empty texts match nothing, nor do items whose windows are mostly placeholders; a null id is an
+Defined results: null or empty texts match nothing; items whose windows are mostly placeholders match by their surface words only; a null id is an
 id of its own; repeated rows of a document give one result row; either table may be empty.
 """
 
@@ -115,23 +116,29 @@ def canonical(texts: list[str]) -> Canonical:
     return Canonical(owner, token, surface, number | name | unit)
 
 
-def window_hashes(c: Canonical, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window of n words of one text with enough literal words starts, and the windows' hashes."""
+def window_hashes(c: Canonical, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a window of n words of one text starts, and the windows' hashes, of surface words first: every window by
+    its surface words, then those with placeholders, half literal at least, by their canonical words."""
     m = len(c.token) - n + 1
     if m <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     held = np.concatenate([[0], np.cumsum(c.slot)])
-    at = np.flatnonzero((c.owner[:m] == c.owner[n - 1:]) & (2 * (held[n:] - held[:m]) <= n))
-    h = np.full(len(at), n, dtype=np.uint64)
-    for j in range(n):
-        h = (h + c.token[at + j]) * np.uint64(0xD6E8FEB86659FD93 | 1)
-        h ^= h >> np.uint64(32)
-    return at, mix(h)
-
-
-def _rows(c: Canonical, at: np.ndarray, h: np.ndarray, n: int, first: np.ndarray) -> list[pa.Array]:
+    inside, slots = c.owner[:m] == c.owner[n - 1:], held[n:] - held[:m]
+    every, templates = np.flatnonzero(inside), np.flatnonzero(inside & (slots > 0) & (2 * slots <= n))
+    hashes = []
+    for at, words, seed in ((every, c.surface, n + (1 << 32)), (templates, c.token, n)):
+        h = np.full(len(at), seed, dtype=np.uint64)
+        for j in range(n):
+            h = (h + words[at + j]) * np.uint64(0xD6E8FEB86659FD93 | 1)
+            h ^= h >> np.uint64(32)
+        hashes.append(mix(h))
+    return np.concatenate([every, templates]), np.concatenate(hashes), np.arange(len(every) + len(templates)) < len(every)
+
+
+def _rows(c: Canonical, at: np.ndarray, h: np.ndarray, exact: np.ndarray, n: int, first: np.ndarray) -> list[pa.Array]:
+    """hash, n, place and slots; a window by its surface words has null slots."""
     surface = c.surface.view(np.int64)
-    slots = [surface[i:i + n][c.slot[i:i + n]] for i in at]
+    slots = [None if e else surface[i:i + n][c.slot[i:i + n]] for i, e in zip(at, exact)]
     return [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array((at - first[c.owner[at]]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))]
 
 
@@ -140,7 +147,7 @@ def _firsts(c: Canonical, texts: int) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, hash, n (words), place and slots of every window of the benchmark."""
+    """item_id, hash, n (words), place, slots and literal (half the words at least) of every window of the benchmark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 19):
             texts, ids = batch.column("text").to_pylist(), np.array(batch.column("item_id"))
@@ -148,14 +155,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             first = _firsts(c, len(texts))
             words = np.bincount(c.owner, minlength=len(texts))
             for n in sorted({min(WINDOW, w) for w in words.tolist()} - {0}):
-                at, h = window_hashes(c, n)
+                at, h, exact = window_hashes(c, n)
                 fits = np.minimum(words[c.owner[at]], WINDOW) == n
-                at, h = at[fits], h[fits]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[c.owner[at]], batch.column("item_id").type), *_rows(c, at, h, n, first)],
-                                                 names=["item_id", "hash", "n", "place", "slots"])
+                at, h, exact = at[fits], h[fits], exact[fits]
+                held = np.concatenate([[0], np.cumsum(c.slot)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[c.owner[at]], batch.column("item_id").type), *_rows(c, at, h, exact, n, first), pa.array(2 * (held[at + n] - held[at]) <= n)],
+                                                 names=["item_id", "hash", "n", "place", "slots", "literal"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    return items.mapInArrow(run, "item_id long, hash long, n int, place int, slots array<long>")
+    return items.mapInArrow(run, "item_id long, hash long, n int, place int, slots array<long>, literal boolean")
 
 
 def bitmap(windows: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -179,12 +187,12 @@ def document_windows(docs: DataFrame, present: np.ndarray, lengths: list[int]) -
             c = canonical(texts)
             first = _firsts(c, len(texts))
             for n in lengths:
-                at, h = window_hashes(c, n)
+                at, h, exact = window_hashes(c, n)
                 bit = h & np.uint64(size - 1)
                 hit = (held.value[(bit >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                at, h = at[hit], h[hit]
+                at, h, exact = at[hit], h[hit], exact[hit]
                 row = pa.array(c.owner[at])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), *_rows(c, at, h, n, first)],
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), *_rows(c, at, h, exact, n, first)],
                                                  names=["doc_id", "text_key", "hash", "n", "place", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).filter(F.col("text").isNotNull())
@@ -195,18 +203,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
     """doc_id, text_key (xxhash64 of the text), item_id, n_windows, item_windows, coverage, reparameterised for each contaminated document and item."""
     items = stored(item_windows(benchmark), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    side = items.select("item_id", "hash", F.col("n").alias("n"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    sizes = items.filter("slots is null").groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if("literal").alias("literal_windows"))
+    side = items.select("item_id", "hash", F.col("n").alias("n"), F.struct("place", "literal").alias("item_place"), F.col("slots").alias("item_slots"))
     pairs = document_windows(docs, bitmap(items), lengths).join(side, ["hash", "n"])
-    shifts = pairs.groupBy("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
+    changed = F.col("slots") != F.col("item_slots")
+    shifts = pairs.groupBy("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place.place")).alias("shift")).agg(
+        F.collect_set(F.when(F.col("slots").isNull(), F.col("item_place"))).alias("same"), F.collect_set(F.when(changed, F.col("item_place"))).alias("changed"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(changed, F.arrays_zip("item_slots", "slots"))))).alias("slots"))
     n = F.size("slots")
     consistent = (n == F.size(F.array_distinct("slots.item_slots"))) & (n == F.size(F.array_distinct("slots.slots")))
-    changed = F.exists("slots", lambda s: s["item_slots"] != s["slots"])
-    found = shifts.filter(consistent).groupBy("doc_id", "text_key", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"), F.max(changed).alias("reparameterised"))
-    return found.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(F.col("coverage") >= share).select(
-        "doc_id", "text_key", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
+    places = F.when(consistent, F.array_union("same", "changed"))
+    found = shifts.groupBy("doc_id", "text_key", "item_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(places))).alias("places"), F.max(consistent & (F.size("changed") > 0)).alias("reparameterised"))
+    found = found.select("*", F.size("places").alias("n_windows"), F.size(F.filter("places", lambda p: p["literal"])).alias("n_literal"))
+    found = found.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
+    # a window of mostly placeholders cannot match with changed values, so the literal windows alone may decide too
+    enough = (F.col("coverage") >= share) | ((F.col("literal_windows") > 0) & (F.col("n_literal") >= share * F.col("literal_windows")))
+    return found.filter(enough).select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -257,3 +257,15 @@ def test_decontamination(spark, folder, odd_docs, no_docs):
     assert decontaminate.clean(rows.select("doc_id", "text"), own).filter("doc_id = 70").count() == 0
     assert decontaminate.contamination(no_docs, own).count() == 0 and decontaminate.contamination(odd_docs, own.limit(0)).count() == 0
     assert decontaminate.clean(odd_docs, own.limit(0)).count() == odd_docs.count()
+
+
+def contaminated(spark, items, rows):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+
+
+def test_decontamination_of_items_mostly_of_placeholders(spark):
+    sums = "What is 12 + 7 and 15 * 4 and 81 / 9 and 66 - 13 and 5 * 8"
+    names = "the list: Anna Berta Carla Dora Emma Frida Gerda Hanna Ida Jana"
+    rows = [(1, f"so {sums} x"), (2, f"so {names} x"), (3, "so 3 7 11 x"), (4, sums.replace("1", "2").replace("8", "3").replace("6", "9")), (5, "so 3 7 12 x")]
+    assert contaminated(spark, [(1, sums), (2, names), (3, "3 7 11")], rows) == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): True}
