@@ -4,8 +4,8 @@ Words (runs without white space, stripped to letters and digits) are put into a
 the placeholder of numbers, words with only the first letter in upper case inside a sentence that of names, unit words
 after a number that of units, all others their lower case. Windows of WINDOW words are joined by hash between documents and
 benchmark items: all of them by their surface words (lower case, so copies in other case match), and those with placeholders, at least
-half of the words literal, by their canonical words too. Windows of one
-item at one shift inside one document count if the words under placeholders with changed values map one to
+half of the words literal, by their canonical words too. A window whose surface words are the item's counts by itself. Windows
+with changed values count, for one item at one shift inside one document, if the words under their placeholders map one to
 one (slot consistency): a re-parameterised question replaces every occurrence of a value by the same other value. A document
 is contaminated by an item if its windows cover at least ``share`` of all the item's windows, or of those that are half literal.
 
@@ -212,7 +212,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
         F.array_distinct(F.flatten(F.collect_set(F.when(changed, F.arrays_zip("item_slots", "slots"))))).alias("slots"))
     n = F.size("slots")
     consistent = (n == F.size(F.array_distinct("slots.item_slots"))) & (n == F.size(F.array_distinct("slots.slots")))
-    places = F.when(consistent, F.array_union("same", "changed"))
+    # windows with the item's own words count whatever the changed ones do
+    places = F.when(consistent, F.array_union("same", "changed")).otherwise(F.col("same"))
     found = shifts.groupBy("doc_id", "text_key", "item_id").agg(
         F.array_distinct(F.flatten(F.collect_list(places))).alias("places"), F.max(consistent & (F.size("changed") > 0)).alias("reparameterised"))
     found = found.select("*", F.size("places").alias("n_windows"), F.size(F.filter("places", lambda p: p["literal"])).alias("n_literal"))

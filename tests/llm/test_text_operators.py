@@ -269,3 +269,13 @@ def test_decontamination_of_items_mostly_of_placeholders(spark):
     names = "the list: Anna Berta Carla Dora Emma Frida Gerda Hanna Ida Jana"
     rows = [(1, f"so {sums} x"), (2, f"so {names} x"), (3, "so 3 7 11 x"), (4, sums.replace("1", "2").replace("8", "3").replace("6", "9")), (5, "so 3 7 12 x")]
     assert contaminated(spark, [(1, sums), (2, names), (3, "3 7 11")], rows) == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): True}
+
+
+def test_decontamination_counts_unchanged_windows(spark):
+    words = " ".join(f"word{c} stands near" for c in "abcdefghijklm").split()
+    item = " ".join([*words[:12], "12", *words[12:24], "12", *words[24:36], "34", *words[36:]])
+    first, last = item.replace(" 12 ", " 13 ", 1), item.replace(" 34 ", " 12 ")
+    question = "In May Tom bought 12 apples at the old market and Tom ate 12 of them before the evening came around."
+    rows = [(1, first), (2, last), (3, question.upper()), (4, question.lower())]
+    found = contaminated(spark, [(1, item), (2, question)], rows)
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2)} and not found[3, 2] and not found[4, 2]
