@@ -158,9 +158,9 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     """vec_id, label, code (entry of each part), dist (exact squared distance of each part) for ``vectors`` (vec_id, embedding, label), and the codebooks by
     (part, entry, position)."""
     rows, width = whole_numbers(vectors, parts)
+    if not width:
+        return rows.select("vec_id", "label", F.array().cast("array<int>").alias("code"), F.array().cast("array<long>").alias("dist")), np.zeros((parts, 0, 0), dtype=np.int64)
     books = first_codebooks(rows, parts, entries)
-    if not books.size:
-        return rows.limit(0).select("vec_id", "label", F.array().cast("array<int>").alias("code"), F.array().cast("array<long>").alias("dist")), books.reshape(parts, 0, width)
     found, books = fitted(rows, books, rounds)
     return found.select("vec_id", "label", "code", "dist"), books
 

@@ -278,7 +278,7 @@ def spectrum(spark: SparkSession, m: np.ndarray, top: int) -> tuple[np.ndarray,
         for r in dict.fromkeys(values):
             vectors += null_vectors(m, r, values.count(r))
         signed = [v * (1 if v[int(np.argmax(np.abs(v)))] > 0 else -1) for v in vectors]
-        return np.array([[float(x) for x in v] for v in signed]).reshape(len(values), -1).T, values
+        return np.array([[float(x) for x in v] for v in signed]).reshape(len(values), len(m)).T, values
 
 
 # --- whitened rows ----------------------------------------------------------------------------
