@@ -11,6 +11,7 @@ from formline.operators import normalise as n
 from formline.operators import ratings as e
 from formline.operators import selection as sel
 from formline.operators.evaluation import split_by_date
+from formline.operators.information import knn_mutual_information
 from formline.plans.base_sql import C, L, P
 from formline.plans.q_ratings import _elo_sql
 from formline.plans.registry import R, query, r6
@@ -362,6 +363,27 @@ def r07(spark, d):
     return sel.mutual_information(labelled(spark, d), FEATS, "y").select("feature", r6("mi").alias("mi"))
 
 
+def _psi(m: str) -> str:
+    """SQL twin of ``information.digamma``."""
+    z = f"(cast({m} as double) + 8)"
+    steps = " + ".join(f"1e0 / (cast({m} as double) + {i})" for i in range(8))
+    return f"(ln({z}) - 0.5e0 / {z} - 1 / ({z} * {z}) * (1e0 / 12 - 1 / ({z} * {z}) * (1e0 / 120 - 1 / ({z} * {z}) * (1e0 / 252 - 1 / ({z} * {z}) / 240))) - ({steps}))"
+
+
+_MI_CELLS = " union all ".join(f"select '{c}' feature, y, cast({c} as double) x, count(*) n from z where {c} is not null group by y, {c}" for c in FEATS)
+
+
+@query("r07b_knn_mutual_information", C(Y_SQL + f""", cells as ({_MI_CELLS}), sized as (select *, cast(sum(n) over (partition by feature, y) as bigint) size from cells),
+  around as (select feature, y, x, n, size, least(3, size - 1) w, unnest(list({{'x': x, 'n': n}}) over (partition by feature, y order by x rows between 3 preceding and 3 following)) o from sized where size > 1),
+  far as (select feature, y, x, n, size, w, abs(o.x - x) d, sum(o.n - cast(o.x = x as integer)) over (partition by feature, y, x order by abs(o.x - x)) got from around),
+  radius as (select feature, y, x, n, size, w, min(d) filter (where got >= w) d from far group by all),
+  ends as (select *, greatest(d - (abs(x) + d) * {2.0 ** -48!r}, 0) r from radius), m as (select e.feature, e.n, e.size, e.w, sum(p.n) m from ends e join ends p on p.feature = e.feature and p.x between e.x - e.r and e.x + e.r
+   group by e.feature, e.y, e.x, e.n, e.size, e.w)
+  select feature, {R(f"greatest({_psi('sum(n)')} + sum(n * {_psi('w')}) / sum(n) - sum(n * {_psi('size')}) / sum(n) - sum(n * {_psi('m')}) / sum(n), 0)")} mi from m group by feature"""))
+def r07b(spark, d):
+    return knn_mutual_information(labelled(spark, d), FEATS, "y").select("feature", r6("mi").alias("mi"))
+
+
 @query("r08_variance_filter", C(", z as (select *, 1e0 const from contests)" + " union all ".join(
     f"select '{c}' feature, {R(f'var_samp({c})')} variance, cast(var_samp({c}) >= 1e-10 as integer) keep from z" for c in (*FEATS, "const"))))
 def r08(spark, d):
