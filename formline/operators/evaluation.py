@@ -6,7 +6,8 @@ Metrics are algebra on class counts, so facts are read once and only k x k cells
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -203,6 +204,53 @@ def bootstrap_summary(scores: DataFrame) -> DataFrame:
                             "cohens_d": F.try_divide(F.abs(F.col("mean_a") - F.col("mean_b")), F.col("pooled"))})
 
 
+def poisson_limits(most: int = 20) -> list[int]:
+    """Of 2 ** 32 equal draws, how many give at most 0, 1, 2, ... for a Poisson law of mean one."""
+    share, total, out = math.exp(-1), 0.0, []
+    for i in range(most):
+        total += share
+        out.append(min(int(total * 2 ** 32), 2 ** 32 - 1))
+        share /= i + 1
+    return [x for i, x in enumerate(out) if i == 0 or x > out[i - 1]]
+
+
+def poisson_cells(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """(replicate, *by, w, *sums): weighted counts and sums of the rows of ``df`` in each of ``n`` bootstrap replicates.
+
+    A row's weight in a replicate is a Poisson(1) draw from md5(seed:key:replicate / 4), eight hex digits each, so any engine gives the same one wherever
+    the row lies, and no row is drawn by the driver. Only classes ``by`` travel: a row is folded into its replicates before the shuffle.
+    """
+    rows = df.select(F.col(key).cast("string").alias("_key"), *by, *[c.cast("double").alias(f"_{s}") for s, c in sums.items()])
+    groups = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(-(-n // 4) - 1))))
+    drawn = groups.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_key", F.col("_g").cast("string"))))
+
+    def weight(i: int) -> Column:
+        u = F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")
+        w = F.lit(len(poisson_limits()))
+        for m, limit in reversed(list(enumerate(poisson_limits()))):
+            w = F.when(u < limit, m).otherwise(w)
+        return F.struct((F.col("_g") * 4 + i).alias("replicate"), w.alias("_w"))
+
+    each = drawn.select(*by, *[f"_{s}" for s in sums], F.inline(F.array(*[weight(i) for i in range(4)]))).filter((F.col("_w") > 0) & (F.col("replicate") < n))
+    return each.groupBy("replicate", *by).agg(F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(f"_{s}")).alias(s) for s in sums])
+
+
+def replicate_scores(cells: DataFrame, actual: str = "actual", pred: str = "pred", loss: str = "loss") -> DataFrame:
+    """(replicate, accuracy, macro_f1, log_loss) from cells of (replicate, actual, pred, w, loss)."""
+    is_ = lambda c, k: F.col(c) == k
+    total = F.sum("w")
+    weight = lambda where: F.sum(F.when(where, F.col("w")).otherwise(0))
+    f1 = [F.coalesce(F.try_divide(2 * weight(is_(actual, k) & is_(pred, k)), weight(is_(actual, k)) + weight(is_(pred, k))), F.lit(0.0)) for k in CLASSES]
+    return cells.groupBy("replicate").agg((weight(F.col(actual) == F.col(pred)) / total).alias("accuracy"), (sum(f1[1:], f1[0]) / len(CLASSES)).alias("macro_f1"), (F.sum(loss) / total).alias("log_loss"))
+
+
+def score_intervals(scores: DataFrame, metrics: Sequence[str], level: float = 0.95) -> DataFrame:
+    """(metric, mean, std, lo, hi) over the replicates."""
+    low = (1 - level) / 2
+    long = scores.unpivot(["replicate"], list(metrics), "metric", "v")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.lit(low)).alias("lo"), F.percentile("v", F.lit(1 - low)).alias("hi"))
+
+
 def paired_t(folds: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     one = folds.agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"))

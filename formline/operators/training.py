@@ -17,10 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from formline.operators.evaluation import CLASSES, hit, row_log_loss, time_series_folds
-from formline.operators.ordered import BUCKETS, cut_points, with_bucket
+from formline.operators.neighbours import exact_neighbours
 from formline.session import stored
 
 # Fixed values.
@@ -154,54 +153,22 @@ def _unit(*parts: Column) -> Column:
 
 
 def oversample(df: DataFrame, features: Sequence[str], label: str, minority: int, key: str, copies: int = 1, k: int = 5,
-               seed: int = SEED, projections: int = 2) -> DataFrame:
-    """Synthetic minority rows on the segment to one of ``k`` near neighbours.
+               seed: int = SEED) -> DataFrame:
+    """Synthetic minority rows on the segment to one of the ``k`` nearest neighbours (exact, of features scaled by their deviations).
 
-    Neighbours are searched along random projections: each row looks at its 2k nearest rows in
-    projected order, so a row has at most 2 * k * projections candidates however dense its region.
-    Order is resolved inside near-equal cells; a cell that ties make too large is split by a hash
-    (rows that tie on the projection are interchangeable candidates).
+    Rows with a missing feature are left out; a row without neighbours gives none.
     """
-    rows = df.filter(F.col(label) == minority).select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    rows = stored(rows, "minority")
-    stats = rows.agg(F.struct(*[F.coalesce(F.nullif(F.stddev_pop(F.col("x")[i]), F.lit(0.0)), F.lit(1.0)).alias(f"s{i}")
-                                for i in range(len(features))]).alias("s")).scalar()
-    scaled = rows.withColumn("_s", stats).withColumn(
-        "z", F.array(*[F.col("x")[i] / F.col("_s")[f"s{i}"] for i in range(len(features))])).drop("_s")
-    found = None
-    for j in range(projections):
-        # Fixed pseudo-random directions from the seed.
-        weights = [((seed + 7919 * (j + 1) * (i + 1)) % 2003) / 1001.5 - 1.0 for i in range(len(features))]
-        line = sum((F.col("z")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
-        placed = scaled.withColumn("v", line)
-        placed = with_bucket(placed, "v", cut_points(placed, "v"))
-        # Neighbouring buckets are joined until each part has room for 2k candidates; a table of at most one row per bucket.
-        size = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        upto = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy()
-        total = F.sum("_n").over(whole)
-        room = F.greatest(F.ceil(total / BUCKETS), F.lit(16 * k))
-        last = F.greatest(F.floor(total / room) - 1, F.lit(0))
-        cell = F.least(F.floor(F.coalesce(F.sum("_n").over(upto), F.lit(0)) / room), last)
-        cells = size.select("_b", "_n", cell.alias("_cell"), room.alias("_room"))
-        parts = cells.select("_b", "_cell", F.ceil(F.sum("_n").over(W.partitionBy("_cell")) / (4 * F.col("_room"))).alias("_parts"))
-        placed = placed.join(F.broadcast(parts), "_b")
-        placed = placed.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.col("_parts")))
-        near = W.partitionBy("_cell", "_salt").orderBy("v", key)
-        around = F.concat(F.collect_list(F.struct(key, "x", "z")).over(near.rowsBetween(-k, -1)),
-                          F.collect_list(F.struct(key, "x", "z")).over(near.rowsBetween(1, k)))
-        part = placed.select(key, "x", "z", around.alias("c"))
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(key).agg(F.first("x").alias("x"), F.first("z").alias("z"),
-                                    F.array_distinct(F.flatten(F.collect_list("c"))).alias("c"))
-    dist = lambda p: F.aggregate(F.zip_with(p["z"], F.col("z"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    ranked = F.slice(F.array_sort(F.transform("c", lambda p: F.struct(dist(p).alias("d"), p[key].alias("id"), p["x"].alias("x")))), 1, k)
-    near = merged.select(key, "x", ranked.alias("nn")).filter(F.size("nn") > 0)
+    rows = df.filter(F.col(label) == minority).select(F.col(key).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+    rows = stored(rows.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c))), "minority")
+    spread = rows.agg(*[F.stddev_pop(F.col("v")[i]).alias(f"s{i}") for i in range(len(features))]).first()
+    scaled = F.array(*[F.col("v")[i] / F.lit(float(s or 1.0)) for i, s in enumerate(spread)])
+    near = exact_neighbours(rows.select("id", scaled.alias("x")), k).filter(F.size("nn") > 0)
     each = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    pick = F.get("nn", F.pmod(F.xxhash64(F.col(key), F.col("copy"), F.lit(seed)), F.size("nn").cast("long")).cast("int"))["x"]
-    step = _unit(F.col(key), F.col("copy"), F.lit(seed + 1))
-    synth = each.select(key, "copy", F.zip_with("x", pick, lambda a, b: a + (b - a) * step).alias("y"))
-    return synth.select(key, "copy", *[F.col("y")[i].alias(f) for i, f in enumerate(features)], F.lit(minority).alias(label))
+    pick = F.get("nn", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("nn").cast("long")).cast("int"))["id"]
+    ends = each.select("id", "copy", pick.alias("other")).join(rows, "id").join(rows.toDF("other", "w"), "other")
+    step = _unit(F.col("id"), F.col("copy"), F.lit(seed + 1))
+    synth = ends.select("id", "copy", F.zip_with("v", "w", lambda a, b: a + (b - a) * step).alias("y"))
+    return synth.select(F.col("id").alias(key), "copy", *[F.col("y")[i].alias(f) for i, f in enumerate(features)], F.lit(minority).alias(label))
 
 
 def undersample_centroids(df: DataFrame, features: Sequence[str], label: str, target: int, keep: Sequence[int] = (),

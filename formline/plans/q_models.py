@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from formline.operators import boosting as bo
 from formline.operators import evaluation as ev
 from formline.operators import training as tr
+from formline.operators.neighbours import exact_neighbours
 from formline.plans.base_sql import C
 from formline.plans.features import FeatureSet
 from formline.plans.fixtures import PRED_SQL, predictions
@@ -80,8 +82,46 @@ def m05(spark, d):
 
 @query("m06_train_boosted")
 def m06(spark, d):
+    """One softmax over the three classes; ``first`` and ``last`` are the training loss before and after all rounds."""
     train, test = _split(spark, d)
-    return tr.predict(tr.boosted("y", rounds=5).fit(train), test).agg(F.count(F.lit(1)).alias("n"), F.avg(ev.hit("y")).alias("accuracy"))
+    model = bo.boost(train, FEATURES, "y", rounds=20)
+    score = tr.evaluate(bo.predict_boosted(model, test), "y")
+    return score.withColumns({"first": F.lit(model.losses[0]), "last": F.lit(model.losses[-1])})
+
+
+BOOST_EDGES = {"home_xg": [i / 4 for i in range(1, 16)], "away_xg": [i / 4 for i in range(1, 16)], "home_shots": [float(i) for i in range(10, 150, 10)]}
+
+
+def _leaves_sql(depth: int = 2, rate: float = 0.1, l2: float = 1.0, least: float = 1.0) -> str:
+    """The trees of the first round, grown level by level: p is 1 / 3 for every class."""
+    bins = ", ".join(f"case when {c} is null then 0 else 1 + len(list_filter([{', '.join(repr(e) + 'e0' for e in edges)}], lambda e: e < {c})) end" for c, edges in BOOST_EDGES.items())
+    cuts = max(len(e) for e in BOOST_EDGES.values()) + 1
+    steps = [f", n0 as (select match_id, [{bins}] b, k, 0 node, 1e0 / 3 - cast(y = k as integer) g, 2e0 / 9 h from z, range(3) t(k))"]
+    ends = []
+    for level in range(depth + 1):
+        steps.append(f"""
+, s{level} as (select k, node, sum(g) g, sum(h) h from n{level} group by 1, 2)""")
+        if level < depth:
+            steps.append(f"""
+, c{level} as (select k, node, f, b[f + 1] b, sum(g) g, sum(h) h from n{level}, range({len(BOOST_EDGES)}) t(f) group by 1, 2, 3, 4)
+, l{level} as (select k, node, f, c, coalesce(sum(g) filter (where b <= c), 0) gl, coalesce(sum(h) filter (where b <= c), 0) hl from c{level}, range({cuts}) t(c) group by 1, 2, 3, 4)
+, w{level} as (select k, node, f, c, {R(f'gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2}) - g * g / (h + {l2})', 9)} gain from l{level} join s{level} using (k, node) where hl >= {least} and h - hl >= {least})
+, x{level} as (select k, node, f, c from (select *, row_number() over (partition by k, node order by gain desc, f, c) rn from w{level} where gain > 0) where rn = 1)
+, n{level + 1} as (select match_id, b, k, 2 * node + case when b[f + 1] <= c then 1 else 2 end node, g, h from n{level} join x{level} using (k, node))""")
+            ends.append(f"select k, node, cast(f as integer) feature, cast(c as integer) cut, 0e0 as value from x{level}")
+            ends.append(f"select k, node, -1, 0, {R(f'-{rate} * g / (h + {l2})', 9)} from s{level} anti join x{level} using (k, node)")
+        else:
+            ends.append(f"select k, node, -1, 0, {R(f'-{rate} * g / (h + {l2})', 9)} from s{level}")
+    return ", z as (select *, case result when 'H' then 0 when 'D' then 1 else 2 end y from contests)" + "".join(steps) + " select cast(k as integer) k, cast(node as integer) node, feature, cut, value from (" + " union all ".join(ends) + ")"
+
+
+@query("m06b_boosted_leaves", C(_leaves_sql()))
+def m06b(spark, d):
+    """Cuts and leaf values of the first round's trees, one a class, on measures of the contests themselves."""
+    y = F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2)
+    model = bo.boost(contests(spark, d, shots=True).withColumn("y", y), list(BOOST_EDGES), "y", rounds=1, depth=2, edges=BOOST_EDGES)
+    rows = spark.createDataFrame(bo.leaf_rows(model, 0), "k int, node int, feature int, cut int, value double")
+    return rows.withColumn("value", r6("value", 9))
 
 
 VOTE_SQL = PRED_SQL + """,
@@ -167,6 +207,21 @@ def m11(spark, d):
     return synth.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FEATURES])
 
 
+RAW = ["home_xg", "away_xg", "home_goals", "away_goals"]
+
+
+@query("m11b_exact_neighbours", C(f""", r as (select match_id, {', '.join(f'cast({c} as double) {c}' for c in RAW)} from contests where result = 'D' and home_xg is not null),
+  d as (select a.match_id, b.match_id other, {' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in RAW)} d from r a join r b on a.match_id <> b.match_id),
+  k as (select *, row_number() over (partition by match_id order by d, other) rn from d)
+  select match_id, string_agg(other, ',' order by rn) near, {R('sqrt(max(d))')} radius from k where rn <= 5 group by 1"""))
+def m11b(spark, d):
+    """The neighbours that oversampling draws from, on the measures of drawn contests as they are."""
+    m = contests(spark, d).filter("result = 'D' and home_xg is not null")
+    near = exact_neighbours(m.select(F.col("match_id").cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in RAW]).alias("x")), 5).filter(F.size("nn") > 0)
+    names = F.array_join(F.transform("nn", lambda c: c["id"].cast("string")), ",")
+    return near.select(F.col("id").alias("match_id"), names.alias("near"), r6(F.element_at("nn", -1)["d"]).alias("radius"))
+
+
 @query("m12_undersample_centroids")
 def m12(spark, d):
     out = tr.undersample_centroids(matrix(spark, d), FEATURES, "y", 20, keep=[1])
@@ -238,6 +293,29 @@ def m19(spark, d):
     return ev.bootstrap_summary(scores)
 
 
+REPLICATES = 400
+
+
+def _poisson_sql() -> str:
+    limits = ev.poisson_limits()
+    weight = "case " + " ".join(f"when u < {x} then {i}" for i, x in enumerate(limits)) + f" else {len(limits)} end"
+    f1 = [f"coalesce(2e0 * sum(w) filter (where actual = {k} and pred = {k}) / nullif(coalesce(sum(w) filter (where actual = {k}), 0) + coalesce(sum(w) filter (where pred = {k}), 0), 0), 0)" for k in (0, 1, 2)]
+    return f""", g as (select actual, pred, loss, g, md5('42:' || match_id || ':' || g) h from l, range({REPLICATES // 4}) t(g)),
+  u as (select actual, pred, loss, g * 4 + i replicate, cast('0x' || substr(h, 8 * i + 1, 8) as bigint) u from g, range(4) t(i)),
+  w as (select replicate, actual, pred, sum(w) w, sum(w * loss) loss from (select *, {weight} w from u) where w > 0 group by 1, 2, 3),
+  s as (select replicate, sum(w) filter (where actual = pred) / sum(w) accuracy, ({' + '.join(f1)}) / 3 macro_f1, sum(loss) / sum(w) log_loss from w group by 1)"""
+
+
+@query("m19b_poisson_bootstrap", C(LOSS_SQL + _poisson_sql() + " union all ".join(f"""{" " if c == "accuracy" else ""}select '{c}' metric, {R(f's.{c}'.join(['avg(', ')']))} mean,
+  {R(f'stddev_pop(s.{c})')} std, {R(f'quantile_cont(s.{c}, 0.025)')} lo, {R(f'quantile_cont(s.{c}, 0.975)')} hi from s""" for c in ("accuracy", "macro_f1", "log_loss"))))
+def m19b(spark, d):
+    """Intervals of accuracy, F1 and log loss by weights drawn for each row and replicate."""
+    loss = ev.row_log_loss(F.col("actual"), [F.col(c) for c in ev.PROBS])
+    cells = ev.poisson_cells(predictions(spark, d), "match_id", REPLICATES, 42, ["actual", "pred"], {"loss": loss})
+    out = ev.score_intervals(ev.replicate_scores(cells), ["accuracy", "macro_f1", "log_loss"])
+    return _r(out, ["mean", "std", "lo", "hi"], ["metric"])
+
+
 FOLD_SQL = PRED_SQL + """, f as (select season, avg(case when actual = pred then 1e0 else 0e0 end) a, avg(case when actual = 0 then 1e0 else 0e0 end) b from preds group by 1)"""
 
 
