@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from formline.operators import hooks as hk
 from formline.operators import history as h
@@ -186,6 +190,72 @@ def x02(spark, d):
     return out.select("match_id", "venue", r6("spread").alias("spread"))
 
 
+def _longest_run(state: tuple[int, int], rows: pa.RecordBatch) -> tuple[tuple[int, int], pa.Array]:
+    """Longest run of games without a loss before each row; the state is the open run and the longest one."""
+    run, best = state
+    lost = np.nan_to_num(rows.column("res").to_numpy(zero_copy_only=False).astype(np.float64)) < 0
+    n = np.arange(1, len(lost) + 1)
+    since = np.maximum.accumulate(np.where(lost, n, -run))  # where the open run began
+    length = n - since
+    longest = np.maximum.accumulate(np.maximum(length, best))
+    return (int(length[-1]), int(longest[-1])), pa.array(np.concatenate([[best], longest[:-1]]))
+
+
+@query("x02b_history_fold", L("""select match_id, venue, coalesce(max(run) over (partition by ent order by match_date, match_id, venue rows between unbounded preceding and 1 preceding), 0) longest
+  from (select *, row_number() over (partition by ent, g order by match_date, match_id, venue) - cast(g > 0 as integer) run from (
+   select *, sum(case when res < 0 then 1 else 0 end) over (partition by ent order by match_date, match_id, venue) g from long))"""))
+def x02b(spark, d):
+    """An expanding statistic over all of an entity's rows, by user code that carries two numbers."""
+    return hk.fold_history(contests_long(spark, d), "ent", ["match_date", "match_id", "venue"], ["res"], lambda: (0, 0), _longest_run, "longest", "long").select("match_id", "venue", "longest")
+
+
+def _run_columns(schema: StructType, options: dict) -> StructType:
+    """The entity as it is typed in the input, and the ends of the run by id, or by date as well."""
+    out = [schema["ent"], StructField("res", IntegerType()), StructField("games", LongType()), StructField("first_id", schema["match_id"].dataType), StructField("last_id", schema["match_id"].dataType)]
+    return StructType(out + ([StructField("first_day", schema["match_date"].dataType)] if options.get("days") else []))
+
+
+def _run_start(at_least: int = 1, days: bool = False) -> dict:
+    return {"least": at_least, "days": days, "open": None}
+
+
+def _runs(state: dict, rows: pa.Table | None) -> tuple[dict, pa.Table | None]:
+    """Runs of equal results that end in ``rows``; all that is open where there are none."""
+    ended = []
+    if rows is not None:
+        rows = rows.filter(pc.is_valid(rows.column("res")))
+        if not rows.num_rows:
+            return state, None
+        res = rows.column("res").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], res[1:] != res[:-1]]))
+        col = {c: rows.column(c) for c in ("ent", "match_id", "match_date")}
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(res)]):  # a step a run
+            run = {"ent": col["ent"][a], "res": int(res[a]), "games": b - a, "first_id": col["match_id"][a], "last_id": col["match_id"][b - 1], "first_day": col["match_date"][a]}
+            held = state["open"]
+            if held is not None and held["res"] == run["res"]:
+                run = {**held, "games": held["games"] + run["games"], "last_id": run["last_id"]}
+            elif held is not None:
+                ended.append(held)
+            state["open"] = run
+    elif state["open"] is not None:
+        ended.append(state["open"])
+    ended = [r for r in ended if r["games"] >= state["least"]]
+    if not ended:
+        return state, None
+    types = {"res": pa.int32(), "games": pa.int64()}
+    names = ["ent", "res", "games", "first_id", "last_id", *(["first_day"] if state["days"] else [])]
+    return state, pa.table({c: pa.array([r[c].as_py() if isinstance(r[c], pa.Scalar) else r[c] for r in ended], types.get(c) or ended[0][c].type) for c in names})
+
+
+@query("x03b_table_function", L("""select ent, res, games, first_id, last_id, first_day from (
+  select ent, res, count(*) games, arg_min(match_id, (match_date, match_id)) first_id, arg_max(match_id, (match_date, match_id)) last_id, min(match_date) first_day from (
+   select *, row_number() over (partition by ent order by match_date, match_id) - row_number() over (partition by ent, res order by match_date, match_id) g from long) group by ent, res, g) where games >= 3"""))
+def x03b(spark, d):
+    """Runs of three and more equal results, by a table function over ordered partitions; its columns follow the options."""
+    rows = contests_long(spark, d).select("ent", "match_date", "match_id", "res")
+    return hk.table_function(rows, ["ent"], ["match_date", "match_id"], _run_columns, _run_start, _runs, lambda state: _runs(state, None)[1], {"at_least": 3, "days": True})
+
+
 @query("x03_table_hook", L("select match_id, ent, venue, points from long"))
 def x03(spark, d):
     m = contests(spark, d)

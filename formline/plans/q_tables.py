@@ -17,6 +17,7 @@ from formline.plans.registry import R, query, r6
 from formline.session import scratch
 from formline.sources import readers as rd
 from formline.sources import sinks as sk
+from formline.sources import transactions as tx
 from formline.sources.contests import BOOKS, contests, contests_long, table
 
 BASE = ["match_id", "match_date", "season", "pool", "home", "away", "result", "home_goals", "away_goals", "home_xg", "away_xg"]
@@ -153,6 +154,17 @@ def s08(spark, d):
     return sk.read_latest(spark, base).groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.sum("home_goals").alias("goals"))
 
 
+@query("s08b_transactional_write", C("""select pool, count(*) n, cast(sum(home_goals) as bigint) goals, cast(1 as integer) same_rows from contests group by 1"""))
+def s08b(spark, d):
+    """Published in one step by a writer that hashes the rows as it writes them: twice in different splits, with equal fingerprints."""
+    base = scratch(spark, "transactions")
+    rows = contests(spark, d).select(*BASE)
+    one = tx.write_transaction(rows, base)
+    two = tx.write_transaction(rows.repartition(5, "match_id"), base)
+    same = int((one["fingerprint"], one["rows"]) == (two["fingerprint"], two["rows"]))
+    return tx.read_transaction(spark, base).groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.sum("home_goals").alias("goals"), F.lit(same).alias("same_rows"))
+
+
 @query("s09_content_fingerprint")
 def s09(spark, d):
     return sk.content_fingerprint(contests(spark, d).select(*BASE))
@@ -183,6 +195,19 @@ def s12(spark, d):
     return spark.read.schema("timestamp string, n bigint").json(path)
 
 
+@query("s12b_transactional_append", C("""select season, cast(sum(count(*)) over (order by season) as bigint) as rows, cast(sum(sum(home_goals)) over (order by season) as bigint) goals from contests group by season"""))
+def s12b(spark, d):
+    """One append a season; every version stays readable, and an append reads none of the rows before it."""
+    base = scratch(spark, "history")
+    log = contests(spark, d).select(*BASE)
+    found = None
+    for season in [r["season"] for r in log.select("season").distinct().orderBy("season").collect()]:  # one entry a year
+        told = tx.write_transaction(log.filter(F.col("season") == season), base, append=True)
+        part = tx.read_transaction(spark, base, told["version"]).agg(F.sum("home_goals").alias("goals")).select(F.lit(season).alias("season"), F.lit(told["rows"]).cast("long").alias("rows"), "goals")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query("s13_state_snapshot", L("""select ent, count(*) games, cast(sum(points) as bigint) points, cast(sum(gf) as bigint) goals_for
   from long where match_date < date '1998-08-01' group by 1"""))
 def s13(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,18 @@ def write_versioned(df: DataFrame, base: str, stamp: str | None = None) -> str:
     The pointer is written last, so a reader never follows it to a half-written version.
     """
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y_%m_%d_%H%M%S")
-    mark = content_fingerprint(df).first()["fingerprint"]
+    spark = df.sparkSession
+    # computed once: the hash is taken of the written rows, which then get their name
+    held = f"{base}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(held)
+    mark = content_fingerprint(spark.read.schema(df.schema).parquet(held)).first()["fingerprint"]
     path = f"{base}/version={stamp}_{mark}"
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{base}_latest")
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (held, path))
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(to, True)
+    if not files.rename(at, to):
+        raise OSError(f"{held} could not be renamed to {path}")
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{base}_latest")
     return path
 
 
