@@ -85,24 +85,38 @@ def t05(spark, d):
     return mark(good, 0).unionByName(mark(late, 1))
 
 
-def _event_slices():
+def _events(spark, d, cols, days):
+    """The event log as a stream that ends ``days`` days after its last event."""
     half = F.lit("2024-01-15").cast("timestamp")
-    return [F.col("ts") < half, F.col("ts") >= half]
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), *cols).withColumn("_end", F.lit(0))
+    log = rows.unionByName(st.closing_row(rows, "ts", days))
+    return st.replay(log, [(F.col("ts") < half) & F.col("_end").isNotNull(), (F.col("ts") >= half) & F.col("_end").isNotNull(), F.col("_end").isNull()]).drop("_end")
 
 
 @query("t06_windowed_counts", "select strftime(date_trunc('day', ts), '%Y-%m-%d') start, event_type, count(*) n from events group by 1, 2")
 def t06(spark, d):
-    stream = st.replay(table(spark, d, "events").select("ts", "event_type"), _event_slices())
-    out = st.run_complete(st.windowed_counts(stream, "ts", ["event_type"], "1 day"))
-    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    stream = _events(spark, d, ["event_type"], 3).withWatermark("ts", "0 seconds")
+    return st.run(st.windowed_counts(stream, "ts", ["event_type"], "1 day")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
-@query("t06b_sliding_counts", """select strftime(s, '%Y-%m-%d') start, count(*) n from (
-  select unnest(generate_series(date_trunc('day', ts) - interval 13 day, date_trunc('day', ts), interval 1 day)) s from events) group by 1""")
+def _sliding_sql(days: int) -> str:
+    return f"""select strftime(s, '%Y-%m-%d') start, count(*) n from (
+  select unnest(generate_series(date_trunc('day', ts) - interval {days - 1} day, date_trunc('day', ts), interval 1 day)) s from events) group by 1"""
+
+
+def _sliding(spark, d, days):
+    return st.run(st.sliding_append(_events(spark, d, [], days + 3), "ts", days)).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query("t06b_sliding_counts", _sliding_sql(14))
 def t06b(spark, d):
     """The sliding windows of the stream; ``sliding_counts`` is its batch twin."""
-    stream = st.replay(table(spark, d, "events").select("ts"), _event_slices())
-    return st.run_complete(st.windowed_counts(stream, "ts", [], "14 days", "1 day")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return _sliding(spark, d, 14)
+
+
+@query("t06c_sliding_month", _sliding_sql(30))
+def t06c(spark, d):
+    return _sliding(spark, d, 30)
 
 
 SESSION_SQL = """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') start, count(*) n from (
@@ -119,9 +133,8 @@ def t07(spark, d):
 
 @query("t07b_sessions_stream", SESSION_SQL)
 def t07b(spark, d):
-    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    stream = st.replay(rows, _event_slices()).withWatermark("ts", "1 day")
-    out = st.run_complete(st.sessions_stream(stream, "user_id", "ts", "6 hours"))
+    stream = _events(spark, d, ["user_id"], 3).withWatermark("ts", "1 day")
+    out = st.run(st.sessions_stream(stream, "user_id", "ts", "6 hours"))
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -123,21 +123,23 @@ def windowed_counts(df: DataFrame, t: str, keys: Sequence[str], size: str, slide
     return df.groupBy(win, *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def run_complete(stream: DataFrame) -> DataFrame:
-    """Final state of an aggregating stream: every trigger replaces the stored result."""
-    spark = stream.sparkSession
-    base = scratch(spark, "complete")
-    last = {"batch": -1}
+def sliding_append(stream: DataFrame, t: str, days: int, delay: str = "0 seconds") -> DataFrame:
+    """(start, n) of windows of ``days`` days that slide by one, in append mode: rows are counted by day, and only closed days go into the windows.
+
+    State holds the open days and ``days`` numbers, however many rows come; each window leaves once, when the watermark has passed its end.
+    """
+    daily = stream.withWatermark(t, delay).groupBy(F.window(t, "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return daily.groupBy(F.window(F.window_time("window"), f"{days} days", "1 day")).agg(F.sum("n").alias("n")).select(F.col("window.start").alias("start"), "n")
 
-    def each(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={i}")
-        last["batch"] = i
 
-    run_batches(stream, each, "complete")
-    return spark.read.parquet(f"{base}/batch={last['batch']}")
+def closing_row(rows: DataFrame, t: str, days: int) -> DataFrame:
+    """One row ``days`` days after the last one with no other value: it lets the watermark close every window before it, while its own stays open."""
+    last = rows.agg((F.max(t) + F.expr(f"interval {days} days")).alias(t)).filter(F.col(t).isNotNull())
+    return last.select(*[(F.col(t) if c == t else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
 
 def sessions_stream(stream: DataFrame, ent: str, t: str, gap: str) -> DataFrame:
+    """(ent, start, n) of bursts, each once it is over; with a watermark on ``t`` in append mode state holds open bursts only."""
     s = F.session_window(t, gap)
     return stream.groupBy(s, ent).agg(F.count(F.lit(1)).alias("n")).select(
         ent, F.col("session_window.start").alias("start"), "n")
