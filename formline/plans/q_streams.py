@@ -150,6 +150,62 @@ def t08(spark, d):
     return out.select("match_id", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"))
 
 
+@query("t08b_restart_from_state", _elo_sql() + f"select h.match_id, {R('rh', 4)} home_elo, {R('ra', 4)} away_elo from hist h join contests c on c.match_id = h.match_id where match_date >= date '{CUT}'")
+def t08b(spark, d):
+    """The later seasons, from the state that a stream over the earlier ones held."""
+    day, at = F.lit(CUT).cast("date"), scratch(spark, "ratings")
+    games = _games(spark, d)
+    early = games.filter(F.col("ts") < st.day_start(day))
+    st.run(st.elo(st.replay(early, [F.col("season") <= 1996, F.col("season") > 1996])), at=at)
+    opening = st.state_of(spark, at, "ratings")
+    later = games.filter(F.col("ts") >= st.day_start(day))
+    out = st.run(st.elo(st.replay(later, [F.col("season") <= 1999, F.col("season") > 1999]), opening))
+    return out.select("match_id", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"))
+
+
+@query("s13b_stream_snapshot", _elo_sql(f"match_date < date '{CUT}'") + f" select cast(pool as bigint) pool, ent, {R('elo', 4)} elo from final")
+def s13b(spark, d):
+    """Ratings as of a day out of the checkpoint of a stream that has long gone on: the state after the micro-batch of that season."""
+    at, slices = scratch(spark, "ratings"), seasons(spark, d)
+    st.run(st.elo(st.replay(_games(spark, d), slices)), at=at)
+    batch = contests(spark, d).filter(F.col("match_date") < F.lit(CUT).cast("date")).agg(F.count_distinct("season").alias("n")).first()["n"] - 1
+    return st.state_of(spark, at, "ratings", batch).select("pool", "ent", r6("elo", 4).alias("elo"))
+
+
+def _feature_stream(spark, d):
+    rows = contests(spark, d).select(_ts(), F.col("pool").cast("long").alias("pool"), "match_id", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "result",
+                                     F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0).alias("score"), "home_goals", "away_goals", "season")
+    log = rows.unionByName(st.closing_row(rows, "ts", 3))
+    stream = st.replay(log, [*seasons(spark, d), F.col("season").isNull()]).withWatermark("ts", "0 seconds")
+    return st.game_features(stream.filter("match_id is not null or ts is null"))  # the closing row only moves the watermark
+
+
+STREAM_SQL = _elo_sql() + """, form as (select match_id, venue, list_avg(list_reverse(list_reverse(coalesce(list(gf) over (partition by ent order by match_date, match_id
+    rows between unbounded preceding and 1 preceding), []))[1:5])) m from long),
+ met as (select match_id, count(case when w = 1 then 1 end) over o lo_wins, count(case when w = -1 then 1 end) over o hi_wins, count(case when w = 0 then 1 end) over o draws, count(*) over o games
+   from (select *, least(home, away) lo, greatest(home, away) hi, case when result = 'D' then 0 when (result = 'H') = (home < away) then 1 else -1 end w from contests)
+   window o as (partition by lo, hi order by match_date, match_id rows between unbounded preceding and 1 preceding))"""
+
+
+@query("t09b_stream_features", STREAM_SQL + f""" select c.match_id, {R('h.m')} home_mean, {R('a.m')} away_mean, lo_wins, hi_wins, draws, games, {R('rh', 4)} home_elo, {R('ra', 4)} away_elo
+  from contests c join form h on h.match_id = c.match_id and h.venue = 'H' join form a on a.match_id = c.match_id and a.venue = 'A' join met on met.match_id = c.match_id join hist on hist.match_id = c.match_id""")
+def t09b(spark, d):
+    """Features that arise inside one stream, row by row."""
+    out = st.run(_feature_stream(spark, d))
+    return out.select("match_id", r6("home_mean").alias("home_mean"), r6("away_mean").alias("away_mean"), "lo_wins", "hi_wins", "draws", "games", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"))
+
+
+@query("t09c_stream_scores", _elo_sql() + f""", p as (select c.match_date, case result when 'H' then 0 when 'D' then 1 else 2 end y, 0.75e0 / (1 + pow(10e0, (ra - rh) / 400e0)) ph from hist join contests c on c.match_id = hist.match_id)
+  select cast(match_date as varchar) as day, count(*) games, {R('avg(case when y = case when ph >= 0.375e0 then 0 else 2 end then 1e0 else 0e0 end)')} accuracy,
+   {R('avg(-ln(case y when 0 then ph when 1 then 0.25e0 else 0.75e0 - ph end))')} log_loss from p group by 1""")
+def t09c(spark, d):
+    """Predictions of each game before its outcome counts, scored by day in the same query that builds the features: ratings share three quarters, a draw has one."""
+    expected = 0.75 / (1 + F.pow(F.lit(10.0), (F.col("away_elo") - F.col("home_elo")) / 400.0))
+    scored = _feature_stream(spark, d).withColumns({"p_h": expected, "p_d": F.lit(0.25), "p_a": 0.75 - expected, "pred": F.when(expected >= 0.375, 0).otherwise(2),
+                                                    "actual": F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).when(F.col("result") == "A", 2)})
+    return st.run(st.daily_scores(scored)).select(F.col("day").cast("string").alias("day"), "games", r6("accuracy").alias("accuracy"), r6("log_loss").alias("log_loss"))
+
+
 @query("t09_prequential")
 def t09(spark, d):
     from formline.operators.aggregates import daily_accuracy

@@ -111,6 +111,48 @@ class PairCount(StatefulProcessor):
         pass
 
 
+class Carrying(StatefulProcessor):
+    """Another processor's results beside the rows they belong to, so that operators can follow each other."""
+
+    def __init__(self, inner: StatefulProcessor, new: list[str], kept: list[str]) -> None:
+        self.inner, self.new, self.kept = inner, new, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        games = ordered(rows)
+        for out in self.inner.handleInputRows(key, iter([games]), timerValues):
+            yield pd.concat([games[self.kept], out[self.new]], axis=1)
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+class BothSides(StatefulProcessor):
+    """Key: game. Holds the side that came first until the other one comes, then gives one row with both means."""
+
+    def __init__(self, kept: list[str]) -> None:
+        self.kept = kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "venue string, mean double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        sides = ordered(rows)
+        means = {r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}
+        means |= {v: None if m is None or m != m else float(m) for v, m in zip(sides["venue"], sides["mean"])}
+        if len(means) < 2:
+            self.held.put(list(means.items()))
+            return
+        self.held.clear()
+        one = sides[self.kept].iloc[:1].reset_index(drop=True)
+        yield one.assign(home_mean=pd.Series([means["H"]], dtype="float64"), away_mean=pd.Series([means["A"]], dtype="float64"))
+
+    def close(self) -> None:
+        pass
+
+
 class DayBarrier(StatefulProcessor):
     """Key: entity. Rows wait until the watermark passes the end of their day; the whole day is then
     answered from the state before it, and only afterwards folded into the state."""

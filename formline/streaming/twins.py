@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window as W
 
 from formline.session import scratch
-from formline.streaming.processors import DayBarrier, EloState, LastN, PairCount
+from formline.streaming.processors import BothSides, Carrying, DayBarrier, EloState, LastN, PairCount
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def replay(df: DataFrame, slices: Sequence[Column], rows_per_file: int = 500_000) -> DataFrame:
-    """A stored log as a stream: slice after slice, each one micro-batch, cut into files of ``rows_per_file`` rows by the largest slice."""
+def replay(df: DataFrame, slices: Sequence[Column], rows_per_file: int = 500_000, path: str | None = None) -> DataFrame:
+    """A stored log as a stream: slice after slice, each one micro-batch, cut into files of ``rows_per_file`` rows by the largest slice.
+
+    Slices given to a ``path`` of an earlier call come after the ones already there.
+    """
     spark = df.sparkSession
-    path = scratch(spark, "replay")
+    path = path or scratch(spark, "replay")
     counts = df.agg(*[F.count_if(where).alias(f"n{i}") for i, where in enumerate(slices)]).first() if slices else [0]
     files = max(1, -(-max(counts) // rows_per_file))
     for where in slices:
@@ -26,14 +29,28 @@ def replay(df: DataFrame, slices: Sequence[Column], rows_per_file: int = 500_000
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain a stream into files under the shared folder and read the result."""
+def run(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Drain a stream into files under the shared folder and read the result.
+
+    With ``at``, a folder of the caller's, a later call goes on where the one before it stopped: same state, new input only, all output.
+    """
     spark = stream.sparkSession
-    out, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", state).trigger(availableNow=True).start())
+    at = at or scratch(spark, "stream")
+    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out")
+         .option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
     _finish(q)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def state_of(spark: SparkSession, at: str, variable: str, batch: int | None = None, operator: int = 0) -> DataFrame:
+    """The keyed state that a stream run at ``at`` held after micro-batch ``batch`` (its last one by default), read from its checkpoint.
+
+    Nothing is computed again; a row is a key and one value (or one entry of a map) of the named state variable.
+    """
+    reader = spark.read.format("statestore").option("path", f"{at}/state").option("stateVarName", variable).option("operatorId", operator)
+    held = (reader if batch is None else reader.option("batchId", batch)).load()
+    values = ("user_map_key", "user_map_value") if "user_map_key" in held.columns else ("value",)
+    return held.select("key.*", *[f"{v}.*" for v in values])
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -50,12 +67,15 @@ def _finish(q) -> None:
 
 
 def stateful(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, out: str, time_mode: str = "None",
-             initial: DataFrame | None = None) -> DataFrame:
-    """Keyed state in the RocksDB store, so state size is bounded by local disk, not by memory."""
+             initial: DataFrame | None = None, event_time: str = "") -> DataFrame:
+    """Keyed state in the RocksDB store, so state size is bounded by local disk, not by memory.
+
+    ``event_time`` names the column of ``out`` by which the watermark goes on to the operators behind this one.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     opening = None if initial is None else initial.groupBy(*keys)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        processor, outputStructType=out, outputMode="Append", timeMode=time_mode, initialState=opening)
+        processor, outputStructType=out, outputMode="Append", timeMode=time_mode, initialState=opening, eventTimeColumnName=event_time)
 
 
 def day_start(date: Column) -> Column:
@@ -178,6 +198,33 @@ def prequential(stream: DataFrame, model, label: str) -> DataFrame:
     return run(scored.select("match_id", "match_date", F.col(label).alias("actual"), "pred", "p_h", "p_d", "p_a"))
 
 
+GAME = "ts timestamp, pool long, match_id long, home long, away long, result string, score double"
+
+
+def game_features(stream: DataFrame, n: int = 5) -> DataFrame:
+    """One query from games (``GAME`` and home_goals, away_goals, with a watermark on ts) to feature rows: means of each side's last ``n`` goals, the pair's meetings and
+    both ratings, all before the game. Four stateful operators in a row, keyed by entity, game, pair and pool; the watermark passes through them."""
+    goals = [F.struct(F.col(side).alias("ent"), F.lit(v).alias("venue"), F.col(f"{side}_goals").cast("double").alias("value")) for side, v in (("home", "H"), ("away", "A"))]
+    sides = stream.select(*[c.split()[0] for c in GAME.split(", ")], F.inline(F.array(*goals)))
+    chain = lambda df, keys, inner, new, before: (stateful(df, keys, Carrying(inner, [c.split()[0] for c in new.split(", ")], [c.split()[0] for c in before.split(", ")]), f"{before}, {new}", "EventTime", event_time="ts"), f"{before}, {new}")
+    formed, cols = chain(sides, ["ent"], LastN(n), "mean double, n int", f"{GAME}, ent long, venue string, value double")
+    both = f"{GAME}, home_mean double, away_mean double"
+    games = stateful(formed, ["match_id"], BothSides([c.split()[0] for c in GAME.split(", ")]), both, "EventTime", event_time="ts")
+    paired = games.withColumns({"lo": F.least("home", "away"), "hi": F.greatest("home", "away")})
+    met, cols = chain(paired, ["lo", "hi"], PairCount(), "lo_wins long, hi_wins long, draws long, games long", f"{both}, lo long, hi long")
+    return chain(met, ["pool"], EloState(), "home_elo double, away_elo double", cols)[0]
+
+
+def daily_scores(scored: DataFrame) -> DataFrame:
+    """(day, games, accuracy, log_loss) of scored rows (ts, actual, pred, p_h, p_d, p_a) of a stream with a watermark, each day once it is over."""
+    from formline.operators.evaluation import PROBS, row_log_loss
+
+    played = scored.filter(F.col("actual").isNotNull())
+    loss = row_log_loss(F.col("actual"), [F.col(p) for p in PROBS])
+    out = played.groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("games"), F.avg((F.col("actual") == F.col("pred")).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss"))
+    return out.select(F.to_date("window.start").alias("day"), "games", "accuracy", "log_loss")
+
+
 def refresh_stats(stream: DataFrame, cols: Sequence[str], every: int) -> DataFrame:
     """(rows, <col>_mean, <col>_std, <col>_min, <col>_max) each time another ``every`` rows have arrived.
 
