@@ -39,7 +39,7 @@ def side_stats(long: DataFrame, cols: Sequence[str]) -> DataFrame:
             aggs += [F.avg(own).alias(f"{c}_{tag}_mean"), F.stddev_samp(own).alias(f"{c}_{tag}_std"),
                      F.count(own).alias(f"{c}_{tag}_n")]
         aggs.append(F.avg(c).alias(f"{c}_mean"))
-    return long.groupBy("ent").agg(F.count(F.lit(1)).alias("games"), *aggs)
+    return long.groupBy("ent").agg(F.count("res").alias("games"), *aggs)
 
 
 def grand_mean(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,16 +48,17 @@ def grand_mean(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def appearances(long: DataFrame, new_below: int = NEW_ENTITY_GAMES) -> DataFrame:
-    return long.groupBy("ent").agg(F.count(F.lit(1)).alias("games")).withColumn(
+    """Games with a result of each entity in the log."""
+    return long.groupBy("ent").agg(F.count("res").alias("games")).withColumn(
         "is_new", (F.col("games") < new_below).cast("int"))
 
 
 def points_table(long: DataFrame, as_of=None) -> DataFrame:
     df = long if as_of is None else long.filter(F.col("match_date") < as_of)
+    res = F.col("res")
     return df.groupBy("season", "ent").agg(
-        F.count(F.lit(1)).alias("games"), F.sum((F.col("res") == 1).cast("int")).alias("wins"),
-        F.sum((F.col("res") == 0).cast("int")).alias("draws"), F.sum((F.col("res") == -1).cast("int")).alias("losses"),
-        F.sum("points").alias("points"), F.sum(F.col("gf") - F.col("ga")).alias("goal_diff"))
+        F.count(res).alias("games"), F.count_if(res == 1).alias("wins"), F.count_if(res == 0).alias("draws"), F.count_if(res == -1).alias("losses"),
+        F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("gf") - F.col("ga")), F.lit(0)).alias("goal_diff"))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -127,9 +128,11 @@ def daily_accuracy(pred: DataFrame, loss=None) -> DataFrame:
 
 
 def selection_frequency(runs: DataFrame, selected: str = "selected") -> DataFrame:
-    total = runs.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return runs.select(F.explode(selected).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "frequency", F.col("n") / total)
+    """Share of the runs that chose each feature. The runs themselves count under a null feature, so one pass gives both."""
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.filter(selected, lambda f: f.isNotNull()), F.array().cast("array<string>")))
+    counts = runs.select(F.explode(marked).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("feature").isNull(), F.col("n"))).over(W.partitionBy())  # one row a feature
+    return counts.withColumn("frequency", F.col("n") / total).filter("feature is not null")
 
 
 def weighted_mean(df: DataFrame, key: str, value, weight) -> DataFrame:

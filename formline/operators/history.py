@@ -171,7 +171,7 @@ def h2h_winrate(matches: DataFrame, min_games: int = 1) -> DataFrame:
 
 def windowed_winrate(matches: DataFrame, long: DataFrame, days: int = FLAT_WINRATE_DAYS,
                      min_games: int = FLAT_WINRATE_MIN) -> DataFrame:
-    ledger = sums_before(long, [ENT], T, {"games": F.count(F.lit(1)), "wins": F.sum((F.col("res") == 1).cast("int"))},
+    ledger = sums_before(long, [ENT], T, {"games": F.count("res"), "wins": F.sum((F.col("res") == 1).cast("int"))},
                          {"": days})
     out = attach_sides(matches, ledger, ["games", "wins"])
     ready = (F.col("home_games") >= min_games) & (F.col("away_games") >= min_games)
@@ -309,10 +309,9 @@ def row_neighbour(df: DataFrame, keys: Sequence[str], col: str, steps: Sequence[
 
 
 def cumulative_record(long: DataFrame) -> DataFrame:
-    """Games, wins, draws, losses, goals and points of the entity over all earlier days."""
-    one = F.lit(1)
+    """Games with a result, wins, draws, losses, goals and points of the entity over all earlier days."""
     ledger = sums_before(long, [ENT], T, {
-        "games": F.count(one), "wins": F.sum((F.col("res") == 1).cast("int")),
+        "games": F.count("res"), "wins": F.sum((F.col("res") == 1).cast("int")),
         "draws": F.sum((F.col("res") == 0).cast("int")), "losses": F.sum((F.col("res") == -1).cast("int")),
         "goals_for": F.sum("gf"), "goals_against": F.sum("ga"), "total_points": F.sum("points")})
     cols = ["games", "wins", "draws", "losses", "goals_for", "goals_against", "total_points"]

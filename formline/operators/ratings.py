@@ -288,11 +288,11 @@ def bounded_counter(long: DataFrame, up: float = UP, down: float = DOWN, decay:
 # --- snapshots ---------------------------------------------------------------------------------
 
 def state_as_of(matches: DataFrame, long: DataFrame, cutoff: str, w: int = 5) -> DataFrame:
-    """Per entity: rating, record and means of the last ``w`` games strictly before the cut-off."""
+    """Per entity: rating, record and means of the last ``w`` games with a result strictly before the cut-off."""
     from formline.functions.scalar import arr_mean, tail
 
     day = F.lit(cutoff).cast("date")
-    past = long.filter(F.col("match_date") < day)
+    past = long.filter((F.col("match_date") < day) & F.col("res").isNotNull())
     record = past.groupBy("ent").agg(
         F.count(F.lit(1)).alias("games"), F.sum((F.col("res") == 1).cast("int")).alias("wins"),
         F.sum((F.col("res") == 0).cast("int")).alias("draws"), F.sum((F.col("res") == -1).cast("int")).alias("losses"),
@@ -313,10 +313,10 @@ def pair_state(matches: DataFrame, cutoff: str) -> DataFrame:
     lo_home = F.col("home") < F.col("away")
     lo_won = F.when(lo_home, F.col("result") == "H").otherwise(F.col("result") == "A")
     hi_won = F.when(lo_home, F.col("result") == "A").otherwise(F.col("result") == "H")
-    past = matches.filter(F.col("match_date") < F.lit(cutoff).cast("date"))
+    past = matches.filter((F.col("match_date") < F.lit(cutoff).cast("date")) & F.col("result").isNotNull())
     return past.groupBy(F.least("home", "away").alias("lo"), F.greatest("home", "away").alias("hi")).agg(
         F.sum(lo_won.cast("int")).alias("lo_wins"), F.sum(hi_won.cast("int")).alias("hi_wins"),
-        F.sum((F.col("result") == "D").cast("int")).alias("draws"), F.count(F.lit(1)).alias("games"))
+        F.sum((F.col("result") == "D").cast("int")).alias("draws"), F.count("result").alias("games"))
 
 
 def state_summary(state: DataFrame, value: str = "elo") -> DataFrame:

@@ -65,3 +65,14 @@ def L(body: str) -> str:
 
 def P(body: str) -> str:
     return f"with {PAST}\n{body}"
+
+
+# The log with every seventh game not played yet.
+UNPLAYED = CONTESTS.replace("\ncontests as (", "\nall_contests as (") + """,
+contests as (select * replace (case when match_id % 7 <> 0 then result end as result, case when match_id % 7 <> 0 then home_goals end as home_goals,
+  case when match_id % 7 <> 0 then away_goals end as away_goals) from all_contests)"""
+
+
+def with_unplayed(sql: str) -> str:
+    """The same SQL over the log with unplayed games."""
+    return sql.replace(CONTESTS.strip(), UNPLAYED.strip())

@@ -20,6 +20,12 @@ def predictions(spark, d, shots: bool = False) -> DataFrame:
         "p_h": w[0] / total, "p_d": w[1] / total, "p_a": w[2] / total})
 
 
+def unplayed(spark, d) -> DataFrame:
+    """The contest log with every seventh game not played yet."""
+    m = contests(spark, d)
+    return m.withColumns({c: F.when(F.col("match_id") % 7 != 0, F.col(c)) for c in ("result", "home_goals", "away_goals")})
+
+
 PRED_SQL = """,
  wts as (select *, 1 + match_id % 7 wh, 1 + match_id % 3 wd, 1 + match_id % 5 wa from contests),
  preds as (select *, case result when 'H' then 0 when 'D' then 1 else 2 end actual,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formline.operators import history as h
-from formline.operators.shape import side_diff, to_wide
+from formline.operators.shape import side_diff, to_long, to_wide
 from formline.operators.standings import positions_before
-from formline.plans.base_sql import C, L, P
-from formline.plans.registry import R, query, r6
+from formline.plans.base_sql import C, L, P, with_unplayed
+from formline.plans.fixtures import unplayed
+from formline.plans.registry import ORACLES, R, query, r6
 from formline.sources.contests import contests, contests_long, table
 
 KEY = ["match_id", "venue"]
@@ -130,6 +131,12 @@ def w10(spark, d):
     return h.windowed_winrate(contests(spark, d), contests_long(spark, d)).select("match_id", r6("winrate").alias("winrate"))
 
 
+@query("w10b_winrate_unplayed", with_unplayed(ORACLES["w10_windowed_winrate"]))
+def w10b(spark, d):
+    m = unplayed(spark, d)
+    return h.windowed_winrate(m, to_long(m)).select("match_id", r6("winrate").alias("winrate"))
+
+
 @query("w11_days_rest", L("""select match_id, venue, cast(coalesce(match_date - lag(match_date) over
   (partition by ent order by match_date, match_id), 7) as integer) days_rest from long"""))
 def w11(spark, d):
@@ -282,6 +289,12 @@ def w25(spark, d):
         *KEY, "games", "wins", "draws", "losses", "goals_for", "goals_against", "total_points")
 
 
+@query("w25b_record_unplayed", with_unplayed(ORACLES["w25_cumulative_record"]))
+def w25b(spark, d):
+    return h.cumulative_record(to_long(unplayed(spark, d))).select(
+        *KEY, "games", "wins", "draws", "losses", "goals_for", "goals_against", "total_points")
+
+
 @query("w26_matchweek", C(f"""select match_id, cast(w as integer) as week, {R('(w - 1) / 37e0')} week_normalized, {R('w / 38e0')} week_share
   from (select match_id, dense_rank() over (partition by pool, season order by match_date) w from contests)"""))
 def w26(spark, d):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from formline.operators import aggregates as a
 from formline.operators import normalise as n
 from formline.operators import ratings as e
-from formline.operators.shape import top_bottom
-from formline.plans.base_sql import LONG, L
-from formline.plans.registry import R, query, r6
+from formline.operators.shape import to_long, top_bottom
+from formline.plans.base_sql import LONG, L, with_unplayed
+from formline.plans.fixtures import unplayed
+from formline.plans.registry import ORACLES, R, query, r6
 from formline.sources.contests import contests, contests_long
 
 # One recursive step per game of a pool; the state is the list of the pool's 20 ratings.
@@ -127,6 +128,20 @@ def e06b(spark, d):
     return e.pair_state(contests(spark, d), "1999-08-01")
 
 
+@query("e06c_state_unplayed", with_unplayed(ORACLES["e06_state_as_of"].replace("from long where match_date", "from long where res is not null and match_date").replace(
+    "on aw.match_id = c.match_id and aw.venue = 'A' where match_date", "on aw.match_id = c.match_id and aw.venue = 'A' where result is not null and match_date")))
+def e06c(spark, d):
+    m = unplayed(spark, d)
+    st = e.state_as_of(m, to_long(m), "1999-08-01")
+    return st.select("ent", r6("elo", 4).alias("elo"), "games", "wins", "draws", "losses", "points", "goals_for", "goals_against",
+                     F.col("last_day").cast("string").alias("last_day"), r6("points_mean_5").alias("points_mean_5"), r6("gf_mean_5").alias("gf_mean_5"))
+
+
+@query("e06d_pairs_unplayed", with_unplayed(ORACLES["e06b_pair_state"].replace("where match_date", "where result is not null and match_date")))
+def e06d(spark, d):
+    return e.pair_state(unplayed(spark, d), "1999-08-01")
+
+
 @query("e07_state_summary", _elo_sql() + f"""select 'all' part, cast(null as bigint) ent, count(*) entities, {R('avg(elo)', 3)} mean, {R('stddev_pop(elo)', 3)} std,
   {R('min(elo)', 3)} as min, {R('max(elo)', 3)} as max from final
   union all select * from (select 'top', ent, cast(null as bigint), {R('elo', 3)}, null, null, null from final order by final.elo desc, ent limit 5)""")

@@ -11,9 +11,10 @@ from formline.operators import joins as j
 from formline.operators import shape as s
 from formline.operators.ledger import as_of, attach, day_sums, sums_before
 from formline.operators.ordered import with_row_number
-from formline.plans.base_sql import C, L
-from formline.plans.fixtures import PRED_SQL, predictions
-from formline.plans.registry import R, query, r6
+from formline.operators.shape import to_long
+from formline.plans.base_sql import C, L, with_unplayed
+from formline.plans.fixtures import PRED_SQL, predictions, unplayed
+from formline.plans.registry import ORACLES, R, query, r6
 from formline.session import scratch
 from formline.sources import readers as rd
 from formline.sources import sinks as sk
@@ -493,6 +494,11 @@ def a07(spark, d):
     return a.points_table(contests_long(spark, d), F.lit("1998-01-01").cast("date"))
 
 
+@query("a07b_table_unplayed", with_unplayed(ORACLES["a07_points_table"].replace("count(*) games", "count(res) games").replace("cast(sum(gf - ga) as bigint)", "cast(coalesce(sum(gf - ga), 0) as bigint)")))
+def a07b(spark, d):
+    return a.points_table(to_long(unplayed(spark, d)), F.lit("1998-01-01").cast("date"))
+
+
 @query("a08_describe", C(" union all ".join(f"""select '{c}' col, count({c}) n, {R(f'avg({c})')} mean, {R(f'stddev_samp({c})')} std,
   {R(f'min({c})')} as min, {R(f'max({c})')} as max, count(*) - count({c}) nulls, count(case when {c} = 0 then 1 end) zeros,
   {R(f'quantile_cont({c}, 0.25)')} q25, {R(f'quantile_cont({c}, 0.5)')} q50, {R(f'quantile_cont({c}, 0.75)')} q75 from contests"""

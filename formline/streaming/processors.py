@@ -140,14 +140,20 @@ class BothSides(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         sides = ordered(rows)
-        means = {r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}
-        means |= {v: None if m is None or m != m else float(m) for v, m in zip(sides["venue"], sides["mean"])}
+        means = {v: None if m is None or m != m else float(m) for v, m in zip(sides["venue"], sides["mean"])}
+        if len(means) == 2:  # the usual case: both came at once, and no state is touched
+            yield self.both(sides, means)
+            return
+        means |= {r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}
         if len(means) < 2:
             self.held.put(list(means.items()))
             return
         self.held.clear()
+        yield self.both(sides, means)
+
+    def both(self, sides: pd.DataFrame, means: dict[str, float | None]) -> pd.DataFrame:
         one = sides[self.kept].iloc[:1].reset_index(drop=True)
-        yield one.assign(home_mean=pd.Series([means["H"]], dtype="float64"), away_mean=pd.Series([means["A"]], dtype="float64"))
+        return one.assign(home_mean=pd.Series([means["H"]], dtype="float64"), away_mean=pd.Series([means["A"]], dtype="float64"))
 
     def close(self) -> None:
         pass

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formline.functions import scalar as s
+from formline.operators import aggregates
 from formline.operators import evaluation as ev
 from formline.operators import history as h
 from formline.operators import joins as j
@@ -103,3 +104,22 @@ def test_fingerprint_depends_on_rows_only(spark):
 def test_baselines_and_auc_still_agree(spark):
     df = spark.createDataFrame([(0, 0.2), (0, 0.6), (1, 0.6), (1, 0.9)], "y int, p double")
     assert ev.roc_auc(df, F.col("y") == 1, "p").first().auc == 0.875
+
+
+def test_games_without_a_result_are_not_counted(spark):
+    m = games(spark, ["H", None, "A", None]).withColumns({"home_goals": F.when(F.col("result") == "H", 2).when(F.col("result") == "A", 0), "away_goals": F.when(F.col("result") == "H", 1).when(F.col("result") == "A", 1)})
+    long = shape.to_long(m)
+    assert {(r.lo_wins, r.hi_wins, r.draws, r.games) for r in e.pair_state(m, "2021-01-01").collect()} == {(1, 1, 0, 2)}
+    assert {r.ent: r.games for r in aggregates.points_table(long).collect()} == {1: 2, 2: 2}
+    assert {r.ent: r.games for r in aggregates.appearances(long).collect()} == {1: 2, 2: 2}
+    assert {r.games for r in aggregates.side_stats(long, ["gf"]).collect()} == {2}
+    assert {(r.match_id, r.games) for r in h.cumulative_record(long).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2)}
+    assert {r.match_id: r.winrate for r in h.windowed_winrate(m, long, 60, 2).collect()} == {1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5}
+    assert {r.match_id: r.winrate for r in h.windowed_winrate(m, long, 60, 1).collect()} == {1: 0.5, 2: 1.0, 3: 1.0, 4: 0.5}
+    state = {r.ent: r for r in e.state_as_of(m, long, "2021-01-01").collect()}
+    assert state[1].games == 2 and state[1].points_mean_5 == 1.5 and str(state[1].last_day) == "2020-01-03"
+
+
+def test_selection_frequency_counts_empty_runs(spark):
+    runs = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (None,)], "selected array<string>")
+    assert {r.feature: (r.n, r.frequency) for r in aggregates.selection_frequency(runs).collect()} == {"a": (2, 0.5), "b": (1, 0.25)}
