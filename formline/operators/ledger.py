@@ -43,16 +43,19 @@ def sums_before(df: DataFrame, keys: Sequence[str], t: str, aggs: Mapping[str, C
     return days.select(*keys, t, *cols)
 
 
-def day_tails(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int) -> DataFrame:
+def day_tails(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int, only: str | None = None) -> DataFrame:
     """(keys, t, tail): the last ``n`` rows of each key and day, oldest first.
 
     The rank filter is evaluated on the map side as well, so at most ``n`` rows per key, day and
-    map task reach the shuffle.
+    map task reach the shuffle. With ``only``, rows where that column is null leave their day in the ledger, but stand in no tail.
     """
-    latest = W.partitionBy(*keys, t).orderBy(F.desc(id))
-    top = df.select(*keys, t, id, *[c for c in cols if c not in (t, id)]).withColumn(
-        "_rn", F.row_number().over(latest)).filter(F.col("_rn") <= n)
+    missing = [] if only is None else [F.col(only).isNull()]
+    latest = W.partitionBy(*keys, t).orderBy(*missing, F.desc(id))
+    have = [c for c in dict.fromkeys([*cols, *([] if only is None else [only])]) if c not in (t, id, *keys)]
+    top = df.select(*keys, t, id, *have).withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= n)
     item = F.struct(F.col(id).alias("id"), *[F.col(c) for c in cols])
+    if only is not None:  # collect_list passes over nulls
+        item = F.when(F.col(only).isNotNull(), item)
     return top.groupBy(*keys, t).agg(F.array_sort(F.collect_list(item)).alias("tail"))
 
 
@@ -63,12 +66,11 @@ def last_n_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Seq
     Every ledger day holds at least one row, so ``n`` earlier days are always enough. With ``only``, rows
     where that column is null still have their day in the ledger but are no history themselves.
     """
+    days = day_tails(df, keys, t, id, cols, n, only)
     if only is None:
-        return _merged(day_tails(df, keys, t, id, cols, n), keys, t, (-n, -1), n, out)
-    held = day_tails(df.filter(F.col(only).isNotNull()), keys, t, id, cols, n)
-    days = df.select(*keys, t).distinct().join(held, [*keys, t], "left")
+        return _merged(days, keys, t, (-n, -1), n, out)
     # days with rows are numbered; a day without looks back from the number it has reached
-    full = F.col("tail").isNotNull()
+    full = F.size("tail") > 0
     days = days.withColumn("_i", F.sum(full.cast("long")).over(W.partitionBy(*keys).orderBy(t)))
     by_number = W.partitionBy(*keys).orderBy("_i")
     before = F.collect_list("tail").over(by_number.rangeBetween(-n, -1))

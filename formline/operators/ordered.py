@@ -65,8 +65,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """(col, p, q): linear-interpolated quantiles, the same rule as ``percentile``.
 
     ``percentile`` keeps every distinct value of the input in one task. Here a sketch brackets each
-    wanted rank; a second pass counts what lies below each bracket and keeps only the values inside
-    it, and those are ordered in buckets. No pass shuffles the rows.
+    wanted rank; one aggregate counts what lies below each bracket, and only the values inside one,
+    about one in 250 a probability, are grouped and ordered in buckets. No pass copies or shuffles the rows.
     """
     accuracy = 1_000
     eps = 2.0 / accuracy
@@ -84,35 +84,27 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
                 brackets[c, k] = ((st["total"] - 1) * p, st["vmin"] if low[k] <= 0 else st["lo"][k],
                                   st["vmax"] if high[k] >= 1 else st["hi"][k])
 
-    def place(c: str, k: int) -> Column:
+    if not brackets:
+        return df.sparkSession.createDataFrame([], "col string, p double, q double")
+    # What lies outside is counted where it is; only the few values inside a bracket leave their row.
+    outside = []
+    for c, k in brackets:
         _, lo, hi = brackets[c, k]
         x = F.col(c)
-        side = F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
-        return F.struct(F.lit(c).alias("col"), F.lit(k).alias("k"), side.alias("side"), x.alias("x"))
-
-    schema = "col string, k int, side int, value double, n long, most double, least double"
-    if brackets:
-        rows = numbers.select(F.inline(F.array(*[place(c, k) for c, k in brackets]))).filter(F.col("x").isNotNull())
-        cells = rows.groupBy("col", "k", "side", F.when(F.col("side") == 0, F.col("x")).alias("value")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("x").alias("most"), F.min("x").alias("least"))
-        cells = stored(cells, "quantile-cells")
-    else:
-        cells = df.sparkSession.createDataFrame([], schema)
+        outside.append(F.struct(F.count_if(x < lo).alias("skip"), F.max(F.when(x < lo, x)).alias("under"), F.min(F.when(x > hi, x)).alias("over")).alias(f"{c}|{k}"))
+    ends = numbers.agg(*outside).first()
+    held = [F.when(F.col(c).between(lo, hi), F.struct(F.lit(c).alias("col"), F.lit(k).alias("k"), F.col(c).alias("value"))) for (c, k), (_, lo, hi) in brackets.items()]
+    cells = numbers.select(F.inline(F.array_compact(F.array(*held)))).groupBy("col", "k", "value").agg(F.count(F.lit(1)).alias("n"))
+    # one row per column and probability: on few rows a wanted rank can be the neighbour of its bracket
     wanted = df.sparkSession.createDataFrame(
-        [(c, k, float(probs[k]), float(rank)) for (c, k), (rank, _, _) in brackets.items()], "col string, k int, p double, rank double")
-    # On few rows a wanted rank can be the neighbour of its bracket.
-    edges = cells.groupBy("col", "k").agg(
-        F.sum(F.when(F.col("side") == -1, F.col("n")).otherwise(0)).alias("skip"),
-        F.max(F.when(F.col("side") == -1, F.col("most"))).alias("under"),
-        F.min(F.when(F.col("side") == 1, F.col("least"))).alias("over")).join(F.broadcast(wanted), ["col", "k"])
-    placed = running_counts(cells.filter("side = 0").select("col", "k", "value", "n"), "value", ["n"], keys=["col", "k"])
-    placed = placed.join(F.broadcast(edges), ["col", "k"])
+        [(c, k, float(probs[k]), float(rank), *ends[f"{c}|{k}"]) for (c, k), (rank, _, _) in brackets.items()], "col string, k int, p double, rank double, skip long, under double, over double")
+    placed = running_counts(stored(cells, "quantile-cells"), "value", ["n"], keys=["col", "k"]).join(F.broadcast(wanted), ["col", "k"])
     start = F.col("skip") + F.col("n_before")
     inside = lambda at: F.max(F.when((start <= at) & (at < start + F.col("n")), F.col("value")))
-    outside = lambda at: F.when(at < F.first("skip"), F.first("under")).otherwise(F.first("over"))
-    pick = lambda at: F.coalesce(inside(at), outside(F.first(at)))
-    ends = placed.groupBy("col", "k", "p", "rank").agg(pick(F.floor("rank")).alias("a"), pick(F.ceil("rank")).alias("b"))
-    return ends.select("col", "p", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("q"))
+    beyond = lambda at: F.when(at < F.first("skip"), F.first("under")).otherwise(F.first("over"))
+    pick = lambda at: F.coalesce(inside(at), beyond(F.first(at)))
+    both = placed.groupBy("col", "k", "p", "rank").agg(pick(F.floor("rank")).alias("a"), pick(F.ceil("rank")).alias("b"))
+    return both.select("col", "p", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("q"))
 
 
 def narrow(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -175,13 +175,13 @@ def undersample_centroids(df: DataFrame, features: Sequence[str], label: str, ta
                           seed: int = SEED) -> DataFrame:
     """Each class not in ``keep`` is replaced by ``target`` cluster centres. A fit costs rows x target per round."""
     out = df.filter(F.col(label).isin(*keep)).select(*features, label) if keep else None
-    spark = df.sparkSession
     for c in CLASSES:
         if c in keep:
             continue
         data = stored(assemble(df.filter(F.col(label) == c).select(*features), features), "majority")
-        centers = KMeans(k=target, seed=seed, maxIter=20).fit(data).clusterCenters()
-        part = spark.createDataFrame([(*map(float, x), c) for x in centers], [*features, label])  # ``target`` rows
+        placed = KMeans(k=target, seed=seed, maxIter=20).fit(data).transform(data)
+        # the centres are means of the placed rows, so they never pass the driver
+        part = placed.groupBy("prediction").agg(*[F.avg(f).alias(f) for f in features]).select(*features, F.lit(c).alias(label))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -228,30 +228,31 @@ def daily_scores(scored: DataFrame) -> DataFrame:
 def refresh_stats(stream: DataFrame, cols: Sequence[str], every: int) -> DataFrame:
     """(rows, <col>_mean, <col>_std, <col>_min, <col>_max) each time another ``every`` rows have arrived.
 
-    A batch leaves one row of additive sums; a refresh combines those rows, never the data.
+    A batch leaves one row a column: count, mean, squared deviations from that mean, ends. A refresh merges those rows (the deviations of the
+    means from the common one are added), never the data, and nothing cancels. How far the refreshes have come is read from their folder.
     """
     spark = stream.sparkSession
     base = scratch(spark, "stats")
-    last = {"step": 0}
 
     def each(batch: DataFrame, i: int) -> None:
         aggs = [F.count(F.lit(1)).alias("rows")]
         for c in cols:
             x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"{c}_n"), F.sum(x).alias(f"{c}_s"), F.sum(x * x).alias(f"{c}_q"),
-                     F.min(x).alias(f"{c}_lo"), F.max(x).alias(f"{c}_hi")]
+            aggs.append(F.struct(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(c))
         batch.agg(*aggs).write.mode("overwrite").parquet(f"{base}/parts/batch={i}")
-        total = spark.read.parquet(f"{base}/parts").agg(F.sum("rows").alias("rows"), *[
-            (F.min if k == "lo" else F.max if k == "hi" else F.sum)(f"{c}_{k}").alias(f"{c}_{k}") for c in cols for k in ("n", "s", "q", "lo", "hi")])
-        step = (total.first()["rows"] or 0) // every
-        if step > last["step"]:
-            last["step"] = step
-            out = ["rows"]
+        parts = spark.read.parquet(f"{base}/parts").filter(F.col("batch") <= i)
+        seen = parts.agg(F.sum("rows").alias("now"), F.sum(F.when(F.col("batch") < i, F.col("rows"))).alias("was")).first()
+        step = (seen["now"] or 0) // every
+        if step > (seen["was"] or 0) // every:
+            n = {c: F.sum(F.col(c)["n"]) for c in cols}
+            means = parts.agg(*[F.try_divide(F.sum(F.col(c)["n"] * F.col(c)["m"]), n[c]).alias(c) for c in cols]).select(F.struct("*")).scalar()
+            with_mean = parts.withColumn("_m", means)
+            out = [F.sum("rows").alias("rows")]
             for c in cols:
-                mean = F.try_divide(F.col(f"{c}_s"), F.col(f"{c}_n"))
-                var = F.greatest(F.try_divide(F.col(f"{c}_q"), F.col(f"{c}_n")) - mean * mean, F.lit(0.0))
-                out += [mean.alias(f"{c}_mean"), F.sqrt(var).alias(f"{c}_std"), F.col(f"{c}_lo").alias(f"{c}_min"), F.col(f"{c}_hi").alias(f"{c}_max")]
-            total.select(*out).write.mode("overwrite").parquet(f"{base}/stats/step={step}")
+                part, mean = F.col(c), F.col("_m")[c]
+                apart = F.sum(part["q"] + part["n"] * (part["m"] - mean) * (part["m"] - mean))
+                out += [F.first(mean).alias(f"{c}_mean"), F.sqrt(F.try_divide(apart, n[c])).alias(f"{c}_std"), F.min(part["lo"]).alias(f"{c}_min"), F.max(part["hi"]).alias(f"{c}_max")]
+            with_mean.agg(*out).write.mode("overwrite").parquet(f"{base}/stats/step={step}")
 
     run_batches(stream, each)
     return spark.read.parquet(f"{base}/stats").drop("step")
