@@ -11,7 +11,7 @@ from formline.functions import market as mk
 from formline.functions import scalar as s
 from formline.operators import history as h
 from formline.operators.ledger import attach_sides, last_n_before, sums_before
-from formline.operators.ratings import elo_history, shifted_diff
+from formline.operators.ratings import bounded_counter, elo_history, shifted_diff
 
 # Neutral prices and fatigue defaults.
 NEUTRAL_MARKET = 0.5
@@ -55,6 +55,8 @@ class FeatureSet:
     normalize: bool = True
     rest: bool = False
     market: bool = False
+    state: bool = False
+    context: bool = False
 
     def build(self, matches: DataFrame, long: DataFrame, w: int = 5) -> DataFrame:
         out = matches
@@ -85,6 +87,12 @@ class FeatureSet:
             books = [F.col(c) for c in ("B365H", "B365D", "B365A")]
             fair = mk.margin_free(books)
             out = out.withColumns({"p_home": fair[0], "p_draw": fair[1], "p_away": fair[2], "market_entropy": mk.entropy(fair)})
+        if self.state:
+            counter = bounded_counter(long)
+            side = lambda v: F.max(F.when(F.col("venue") == v, F.col("counter")))
+            out = out.join(counter.groupBy("match_id").agg(((side("H") - side("A") + 1) / 2).alias("momentum")), "match_id", "left")
+        if self.context:
+            out = h.match_week(out)
         if self.normalize:
             ranges = {"points_diff": (-3.0, 3.0), "gf_diff": (-2.0, 2.0), "xg_diff": (-2.0, 2.0)}
             norm = {f"{c}_normalized": s.clip((F.col(c) - lo) / (hi - lo), 0.0, 1.0) for c, (lo, hi) in ranges.items() if c in out.columns}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,8 +17,9 @@ from formline.operators import ratings as e
 from formline.operators import training as tr
 from formline.plans.base_sql import C, L, P
 from formline.plans.features import FeatureSet
+from formline.plans import q_history, q_scalar  # noqa: F401  their SQL is part of a query here
 from formline.plans.q_ratings import HIST, _elo_sql
-from formline.plans.registry import R, query, r6
+from formline.plans.registry import ORACLES, R, query, r6
 from formline.sources import sinks as sk
 from formline.sources.contests import contests, contests_long, table
 from formline.session import scratch
@@ -361,6 +364,27 @@ def x05(spark, d):
     return df.select("match_id", *[r6(c).alias(c) for c in cols])
 
 
+_ALL = ["home_points_5", "away_points_5", "points_diff", "points_diff_normalized", "gf_diff", "gf_diff_normalized", "xg_diff", "xg_diff_normalized", "h2h", "home_season_points",
+        "away_season_points", "season_points_diff", "elo_diff_normalized", "rest_advantage", "congestion", "fatigue", "p_home", "p_draw", "p_away", "market_entropy", "momentum", "week_normalized"]
+_FAIR = [f"(1 / {b}) / (1 / B365H + 1 / B365D + 1 / B365A)" for b in ("B365H", "B365D", "B365A")]
+_DIFFS_SQL = P(f""", f as (select l.match_id, l.venue, avg(p.xg) xg, avg(p.gf) gf from long l left join past p on p.match_id = l.match_id and p.venue = l.venue and p.rn <= 5 group by 1, 2)
+   select h.match_id, {R('h.xg - a.xg')} xg_diff, {R('case when h.xg - a.xg is not null then greatest(0e0, least(1e0, (h.xg - a.xg + 2) / 4)) end')} xg_diff_normalized,
+    {R('case when h.gf - a.gf is not null then greatest(0e0, least(1e0, (h.gf - a.gf + 2) / 4)) end')} gf_diff_normalized
+   from f h join f a on a.match_id = h.match_id and h.venue = 'H' and a.venue = 'A'""")
+_MARKET_SQL = C(f"""select match_id, {R(_FAIR[0])} p_home, {R(_FAIR[1])} p_draw, {R(_FAIR[2])} p_away,
+   {R('-(' + ' + '.join(f'{p} * ln({p} + 1e-10)' for p in _FAIR) + ') / ln(3e0)')} market_entropy from contests""")
+_PARTS = [ORACLES[n] for n in ("w13_season_points_before", "e04_elo_diff_normalized", "f19_rest_and_fatigue", "e05_bounded_counter", "w26_matchweek")] + [_DIFFS_SQL, _MARKET_SQL]
+
+
+@query("x05b_all_switches", f"""select match_id, {', '.join('shifted elo_diff_normalized' if c == 'elo_diff_normalized' else c for c in _ALL)}
+  from ({ORACLES['x05_feature_set']}) """ + " ".join(f"join ({p}) using (match_id)" for p in _PARTS))
+def x05b(spark, d):
+    """Every switch on."""
+    every = FeatureSet.only(*[f.name for f in fields(FeatureSet)])
+    df = every.build(contests(spark, d, odds=True), contests_long(spark, d))
+    return df.select("match_id", *[F.col(c) if c.endswith("_points") or c in ("season_points_diff", "rest_advantage") else r6(c).alias(c) for c in _ALL])
+
+
 @query("x06_leakage_guard", C(f"select match_id, case when match_date < date '{CUT}' then 'train' else 'test' end part from contests"))
 def x06(spark, d):
     from formline.operators.evaluation import split_by_date
