@@ -51,6 +51,12 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.withColumnRenamed("r", "rho")
 
 
+def strongest_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(f1, f2, r): the larger size of Pearson's and Spearman's correlation of each pair."""
+    both = pearson_pairs(df, cols).join(spearman_pairs(df, cols), ["f1", "f2"])  # one row a pair
+    return both.select("f1", "f2", F.greatest(F.coalesce(F.abs("r"), F.lit(0.0)), F.coalesce(F.abs("rho"), F.lit(0.0))).alias("r"))
+
+
 def cross_block_keep(df: DataFrame, new: Sequence[str], base: Sequence[str], limit: float = 0.75) -> DataFrame:
     """Largest |r| of each new column against the baseline block, and whether it is kept."""
     r = pearson_pairs(df, new, base)

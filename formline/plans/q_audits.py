@@ -12,7 +12,7 @@ from formline.operators import ratings as e
 from formline.operators import selection as sel
 from formline.operators.evaluation import split_by_date
 from formline.operators.information import knn_mutual_information
-from formline.plans.base_sql import C, L, P
+from formline.plans.base_sql import C, CONTESTS, L, P
 from formline.plans.q_ratings import _elo_sql
 from formline.plans.registry import R, query, r6
 from formline.sources.contests import contests, contests_long
@@ -247,11 +247,19 @@ def v23(spark, d):
     return rows(v.state_cutoff(st, contests(spark, d).filter(F.col("match_date") >= day), day))
 
 
-@query("v24_determinism", "select 'deterministic' as check, 'rows' subject, 1e0 as value, 1e0 threshold, 1 passed")
+@query("v24_determinism", P(f""", w as (select l.match_id, l.venue, {R('coalesce(sum(p.points) / (3e0 * count(p.points)), 0.5e0)')} form
+   from long l left join past p on p.match_id = l.match_id and p.venue = l.venue and p.rn <= 5 group by 1, 2),
+  g as (select cast(sum(cast('0x' || substr(md5(concat_ws('|', match_id, venue, cast(floor(form * 1e6 + 0.5) as bigint))), 1, 7) as bigint)) as double) s from w)
+  select 'deterministic' as check, 'rows' subject, 1e0 as value, 1e0 threshold, 1 passed union all select 'digest', 'rows', s, s, 1 from g"""))
 def v24(spark, d):
+    """Two computations agree, and the digest of their rows is the one that any engine finds."""
     one = h.form_points(contests_long(spark, d)).select("match_id", "venue", "form")
     two = h.form_points(contests_long(spark, d).repartition(13, "match_id")).select("match_id", "venue", "form")
-    return rows(v.determinism(one, two))
+    text = F.concat_ws("|", "match_id", "venue", F.floor(r6("form") * 1e6 + 0.5).cast("long").cast("string"))
+    digest = F.sum(F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")).cast("double")
+    both = one.agg(digest.alias("value")).withColumn("threshold", two.agg(digest.alias("threshold")).scalar())
+    row = both.select(F.lit("digest").alias("check"), F.lit("rows").alias("subject"), "value", "threshold", (F.col("value") == F.col("threshold")).cast("int").alias("passed"))
+    return rows(v.determinism(one, two)).unionByName(row)
 
 
 @query("v25_predict_before_update", P(""", s as (select l.match_id, l.venue, count(p.res) b,
@@ -340,14 +348,33 @@ def r04(spark, d):
     return out.select("grp", r6("mean_r").alias("mean_r"), "pairs")
 
 
-@query("r05_greedy_prune")
+PRUNE = [*FEATS, "away_goals", "home_corners", "away_corners"]
+_NINE = lambda x: R(x, 9)
+
+
+def _prune_sql() -> str:
+    ranks = f"k as (select {', '.join(_RANK(c) for c in PRUNE)} from (select * from contests where {' and '.join(c + ' is not null' for c in PRUNE)}))"
+    pairs = " union all ".join(f"select '{a}' f1, '{b}' f2, {_NINE(f'greatest(coalesce(abs((select corr({a}, {b}) from contests)), 0), coalesce(abs((select corr({a}, {b}) from k)), 0))')} r" for a, b in sel.column_pairs(PRUNE))
+    info = " union all ".join(f"""select '{c}' feature, {_NINE('sum(n / t * ln(n * t / (nb * ny)))')} mi from (
+   select cast(n as double) n, cast(sum(n) over () as double) t, cast(sum(n) over (partition by b) as double) nb, cast(sum(n) over (partition by y) as double) ny from (
+   select coalesce(least(cast(floor(({c} - lo) * 10 / nullif(cast(hi - lo as double), 0)) as bigint), 9), 0) b, y, count(*) n from z, (select cast(min({c}) as double) lo, cast(max({c}) as double) hi from z) where {c} is not null group by 1, 2))""" for c in PRUNE)
+    return "with recursive " + CONTESTS.strip() + Y_SQL + f""", {ranks}, pairs as ({pairs}), info as ({info}),
+ strong as (select *, row_number() over (order by r desc, f1, f2) rn from pairs where r >= 0.7),
+ walk as (select cast(0 as bigint) rn, cast([] as varchar[]) gone union all
+  select s.rn, case when list_contains(gone, f1) or list_contains(gone, f2) then gone when a.mi < b.mi or (a.mi = b.mi and f1 < f2) then list_append(gone, f1) else list_append(gone, f2) end
+  from walk w join strong s on s.rn = w.rn + 1 join info a on a.feature = f1 join info b on b.feature = f2)
+ select feature, {R('mi')} mi from info where not list_contains((select arg_max(gone, rn) from walk), feature)"""
+
+
+@query("r05_greedy_prune", _prune_sql())
 def r05(spark, d):
+    """Pairs count by the larger of both correlations; of each strong pair the column that tells less about the result goes."""
     m = labelled(spark, d)
-    feats = [*FEATS, "away_goals", "home_corners", "away_corners"]
-    pairs = [(r["f1"], r["f2"], r["r"]) for r in sel.pearson_pairs(m, feats).collect()]  # k(k-1)/2 rows
-    info = {r["feature"]: r["mi"] for r in sel.mutual_information(m, feats, "y").collect()}
+    strength = lambda v: F.floor(F.col(v) * 1e9 + 0.5) / 1e9
+    pairs = [(r["f1"], r["f2"], r["r"]) for r in sel.strongest_pairs(m, PRUNE).withColumn("r", strength("r")).collect()]  # k(k-1)/2 rows
+    info = {r["feature"]: r["mi"] for r in sel.mutual_information(m, PRUNE, "y").withColumn("mi", strength("mi")).collect()}
     kept = sel.greedy_prune(pairs, info, 0.7)
-    return spark.createDataFrame([(f, info[f]) for f in kept], "feature string, mi double")
+    return spark.createDataFrame([(f, info[f]) for f in kept], "feature string, mi double").select("feature", r6("mi").alias("mi"))
 
 
 @query("r06_anova_f", C(Y_SQL + " union all ".join(f"""select '{c}' feature, {R('(sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))', 3)} f

@@ -171,6 +171,15 @@ def s09(spark, d):
     return sk.content_fingerprint(contests(spark, d).select(*BASE))
 
 
+MARKED = ["match_id", "match_date", "season", "pool", "home", "away", "result", "home_goals", "away_goals"]
+
+
+@query("s09b_text_fingerprint", C(f"""select n, md5(concat_ws('|', n, s0, s1, s2, s3)) fingerprint from (select count(*) n, {', '.join(f"sum(cast('0x' || substr(h, {8 * i + 1}, 8) as bigint)) s{i}" for i in range(4))} from (
+  select md5(concat_ws('|', {', '.join(f"coalesce(cast({c} as varchar), '~')" for c in MARKED)})) h from contests))"""))
+def s09b(spark, d):
+    return sk.text_fingerprint(contests(spark, d).select(*MARKED))
+
+
 @query("s10_split_export", C("""select match_id, home_goals, away_goals,
   case result when 'H' then 0 when 'D' then 1 else 2 end target from contests"""))
 def s10(spark, d):

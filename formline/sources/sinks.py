@@ -18,6 +18,14 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     return body.select("n", F.substring(F.md5(text), 1, 8).alias("fingerprint"))
 
 
+def text_fingerprint(df: DataFrame) -> DataFrame:
+    """(n, fingerprint) over all rows as texts, in any order: sums of the md5 parts of each row, so other engines find the same. Nulls count as ``~``."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
+    part = lambda i: F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    body = df.agg(F.count(F.lit(1)).alias("n"), *[part(i).alias(f"s{i}") for i in range(4)])
+    return body.select("n", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")])).alias("fingerprint"))
+
+
 def write_versioned(df: DataFrame, base: str, stamp: str | None = None) -> str:
     """Write ``<base>/version=<stamp>_<hash>`` and a one-row pointer to it; returns the path.
 
