@@ -243,6 +243,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-5)
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-@query("op4_near_vectors")
+#: Every pair compared; for tables of the size of the tests.
+SQL = """
+with recursive rows as (select row_number() over () rid, vec_id, embedding::double[] v from embeddings),
+good as (select rid, vec_id, v, sqrt(list_dot_product(v, v)) size from rows
+  where vec_id is not null and len(v) > 0 and len(list_filter(v, lambda c: c is null or not isfinite(c))) = 0 and list_dot_product(v, v) > 0),
+pairs as materialized (select a.rid x, b.rid y from good a join good b on a.rid < b.rid and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / a.size / b.size >= 0.9),
+both_ways as materialized (select x, y from pairs union all select y, x from pairs),
+reach as (select distinct x n, x m from both_ways union select r.n, b.y from reach r join both_ways b on r.m = b.x),
+least as (select r.n rid, min(g.vec_id) component_id from reach r join good g on g.rid = r.m group by 1),
+links as (select x rid, count(*) n from both_ways group by 1)
+select vec_id, coalesce(n, 0) n_links, coalesce(component_id, vec_id) component_id, vec_id is not distinct from coalesce(component_id, vec_id) kept
+from rows left join links using (rid) left join least using (rid)"""
+
+
+@query("op4_near_vectors", SQL)
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

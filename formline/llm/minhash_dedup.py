@@ -261,6 +261,20 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.dropDuplicates(["class"])
 
 
-@query("op6_near_documents")
+#: Shingles joined as texts; for tables of the size of the tests.
+SQL = r"""
+with recursive rows as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sets as materialized (select rid, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s from rows),
+each as materialized (select rid, len(s) n, unnest(s) g from sets where doc_id is not null),
+met as (select a.rid x, b.rid y, a.n nx, b.n ny, count(*) c from each a join each b on a.g = b.g and a.rid < b.rid group by all),
+pairs as materialized (select x, y from met where 100 * c >= 85 * (nx + ny - c)),
+both_ways as materialized (select x, y from pairs union all select y, x from pairs),
+reach as (select distinct x n, x m from both_ways union select r.n, b.y from reach r join both_ways b on r.m = b.x),
+least as (select r.n rid, min(g.doc_id) component_id from reach r join sets g on g.rid = r.m group by 1)
+select doc_id, len(s) n_shingles, coalesce(component_id, doc_id) component_id, doc_id is not distinct from coalesce(component_id, doc_id) kept from sets left join least using (rid)"""
+
+
+@query("op6_near_documents", SQL)
 def op6_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
