@@ -4,8 +4,11 @@ Texts become ids and an end token, cut into sequences of ``length`` ids. Sequenc
 task, then the place in it, as stored), and a keyed Feistel permutation with cycle-walking gives each number its global
 slot: a bijection of [0, n) that needs no sort and no table. A range of ``per_shard`` slots is one shard: a row with
 the ids of its slots one after another, little-endian unsigned 16-bit, ``length`` ids for each, padded with the end token. The
-sequence at a slot is therefore at byte (slot % per_shard) * length * 2 of shard slot // per_shard, and reading goes
-on at any slot (``read_from``).
+sequence at a slot is therefore at byte (slot % per_shard) * length * 2 of shard slot // per_shard.
+
+Slots are dense, so the borders of the ranges are known without a sample: ``per_file`` shards are one range, one task and one
+file, whose number is that of the range, with its shards in order. Reading goes on at any slot and opens no file before it
+(``read_from``, ``sequences_from``). More input gives more files of the same size.
 
 Defined results: a null or empty text is one sequence that holds the end token alone; ids may be null or repeated, each
 row is materialised by itself; an empty table gives no shards.
@@ -13,6 +16,7 @@ row is materialised by itself; an empty table gives no shards.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +30,8 @@ from formline.llm.byte_tokens import END, encode, vocabulary_files
 from formline.llm.common import id_text, query, slices, table
 from formline.session import scratch
 
-LENGTH, PER_SHARD, ROUNDS = 512, 512, 6
+LENGTH, PER_SHARD, PER_FILE, ROUNDS = 512, 512, 32, 6
+SHARDS = "shard long, first_slot long, ids binary, doc_id array<long>, piece array<int>, n array<int>"
 
 
 def mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -75,7 +80,7 @@ def tokenised(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, "part int, first long, doc_id long, n long, ids binary")
 
 
-def materialise(docs: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
+def materialise(docs: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, per_file: int = PER_FILE) -> None:
     """Writes the shards of ``docs`` to ``path``."""
     spark = docs.sparkSession
     kept = scratch(spark, "tokenised")
@@ -97,22 +102,54 @@ def materialise(docs: DataFrame, path: str, key: int, length: int = LENGTH, per_
                        F.substring("ids", F.col("piece") * (2 * length) + 1, F.lit(2 * length)).alias("ids"))
     each = each.withColumn("slot", slot("number")).drop("number")
 
-    def shard(group: pa.Table) -> pa.Table:
-        group = group.sort_by("slot")
-        pad = np.full(length, END, dtype="<u2").tobytes()
-        ids = b"".join((x + pad)[:2 * length] for x in group["ids"].to_pylist())
-        names = ["doc_id", "piece", "n"]
-        return pa.table({"shard": [group["shard"][0].as_py()], "first_slot": [group["slot"][0].as_py()], "ids": pa.array([ids], pa.binary()),
-                         **{x: pa.array([group[x].to_pylist()], pa.list_(group[x].type)) for x in names}})
-
-    each = each.withColumn("shard", F.floor(F.col("slot") / per_shard))
-    each.groupBy("shard").applyInArrow(shard, "shard long, first_slot long, ids binary, doc_id array<long>, piece array<int>, n array<int>") \
-        .write.option("compression", "zstd").parquet(path)
+    pad = np.full(length, END, dtype="<u2").tobytes()
 
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        ids = b"".join((x + pad)[:2 * length] for x in rows["ids"].to_pylist())
+        first = rows["slot"][0].as_py()
+        return pa.RecordBatch.from_pydict({"shard": [first // per_shard], "first_slot": [first], "ids": pa.array([ids], pa.binary()),
+                                           **{x: pa.array([rows[x].to_pylist()], pa.list_(rows[x].type)) for x in ("doc_id", "piece", "n")}})
 
-def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """The shards from the one that holds ``slot`` on, in training order."""
-    return spark.read.parquet(path).filter(F.col("shard") >= slot // per_shard).orderBy("shard")
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by slot; a shard goes out when the next one begins."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            numbers = batch.column("slot").to_numpy() // per_shard
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                if held and held[-1]["slot"][0].as_py() // per_shard != numbers[low]:
+                    yield packed(pa.concat_tables(held))
+                    held = []
+                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+        if held:
+            yield packed(pa.concat_tables(held))
+
+    files = max(1, -(-total // (per_shard * per_file)))
+    ranges = each.repartitionById(files, F.floor(F.col("slot") / (per_shard * per_file)).cast("int")).sortWithinPartitions("slot")
+    ranges.mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(path)
+
+
+def files_from(spark: SparkSession, path: str, shard: int, per_file: int = PER_FILE) -> list[str]:
+    """The files that hold ``shard`` and those after it, in order."""
+    numbered = sorted((int(re.search(r"part-(\d+)", f.rsplit("/", 1)[1])[1]), f) for f in spark.read.schema(SHARDS).parquet(path).inputFiles())
+    return [f for k, f in numbered if k >= shard // per_file]
+
+
+def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD, per_file: int = PER_FILE) -> DataFrame:
+    """The shards from the one that holds ``slot`` on, read from their files alone; in training order inside each file."""
+    shard = slot // per_shard
+    files = files_from(spark, path, shard, per_file)
+    return (spark.read.schema(SHARDS).parquet(*files) if files else spark.createDataFrame([], SHARDS)).filter(F.col("shard") >= shard)
+
+
+def sequences_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD, per_file: int = PER_FILE) -> Iterator[tuple[int, bytes]]:
+    """(slot, ids) of all sequences from ``slot`` on in training order; one file is held at a time."""
+    for file in files_from(spark, path, slot // per_shard, per_file):
+        for r in sorted(spark.read.schema(SHARDS).parquet(file).filter(F.col("shard") >= slot // per_shard).collect(), key=lambda r: r.shard):
+            for i in range(max(0, slot - r.first_slot), len(r.n)):
+                yield r.first_slot + i, bytes(r.ids[2 * length * i:2 * length * (i + 1)])
 
 
 @query("op1_training_order")

@@ -251,8 +251,8 @@ def test_slots_are_a_permutation():
 
 def test_training_order_round_trip(spark, odd_docs, no_docs, library):
     path = scratch(spark, "shards")
-    training_order.materialise(odd_docs, path, key=5, length=64, per_shard=32)
-    shards = training_order.read_from(spark, path, 0, per_shard=32).collect()
+    training_order.materialise(odd_docs, path, key=5, length=64, per_shard=32, per_file=3)
+    shards = sorted(training_order.read_from(spark, path, 0, per_shard=32, per_file=3).collect(), key=lambda s: s.shard)
     assert [s.first_slot for s in shards] == [32 * i for i in range(len(shards))]
     assert all(len(s.ids) == 128 * len(s.n) for s in shards) and all(len(s.n) == 32 for s in shards[:-1])
     found = sorted((s.doc_id[i], s.piece[i], bytes(s.ids[i * 128:i * 128 + 2 * n])) for s in shards for i, n in enumerate(s.n) if s.doc_id[i] is not None)
@@ -262,7 +262,17 @@ def test_training_order_round_trip(spark, odd_docs, no_docs, library):
         if d is not None:
             want += [(d, i, ids[128 * i:128 * i + 128]) for i in range(-(-len(ids) // 128))]
     assert found == sorted(want)
-    assert [s.shard for s in training_order.read_from(spark, path, 70, per_shard=32).collect()] == list(range(2, len(shards)))
+    assert sorted(s.shard for s in training_order.read_from(spark, path, 70, per_shard=32, per_file=3).collect()) == list(range(2, len(shards)))
+    files = spark.read.parquet(path).inputFiles()
+    assert len(files) == -(-len(shards) // 3) > 2
+    later = training_order.read_from(spark, path, 32 * 6 + 5, per_shard=32, per_file=3)
+    assert len(later.inputFiles()) == len(files) - 2 and min(s.shard for s in later.collect()) == 6  # no file before the slot is opened
+    assert "Exchange" not in later._jdf.queryExecution().toString()
+    for f in files:
+        assert len({r.shard // 3 for r in spark.read.parquet(f).collect()}) == 1
+    whole = [(s.first_slot + i, bytes(s.ids[128 * i:128 * i + 128])) for s in shards for i in range(len(s.n))]
+    assert list(training_order.sequences_from(spark, path, 199, 64, 32, 3)) == whole[199:]
+    assert list(training_order.sequences_from(spark, path, len(whole), 64, 32, 3)) == []
     empty = scratch(spark, "shards")
     training_order.materialise(no_docs, empty, key=5)
     assert spark.read.parquet(empty).count() == 0
