@@ -1,13 +1,11 @@
 """Order-dependent state (E family): ratings, clamped counters, snapshots.
 
-A rating chain is sequential inside a pool. Games stream through Arrow batches in (t, id) order
-and the only thing kept is one rating per entity, so a pool of any size needs bounded memory.
-
-A pool too large for one task is cut into blocks of time that run side by side: each block is
-replayed from a guess of its opening ratings, the closing ratings become the openings of the next
-block, and only blocks whose openings changed are replayed. After r rounds the first r blocks are
-exact, so the loop ends at exactly the sequential result; because a rating forgets its opening
-quickly it normally ends after a few rounds.
+A rating chain is sequential inside a pool. Games stream through Arrow batches in (t, id) order and the only thing kept is one
+rating per entity, so a pool of any size needs bounded memory. Inside a batch, games are cut into runs in which no entity plays
+twice: games of a run do not depend on each other and are rated as one numpy step.
+
+A pool with more than ``rows_per_task`` games is cut into blocks of time. A block takes the ratings its forerunner closed with from
+a written table and hands its own on, so every game is replayed once, and a lost executor costs the block at hand, not the chain.
 """
 
 from __future__ import annotations
@@ -15,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,62 +43,120 @@ class EloRule:
     count_mode: str = "so_far"      # or 'total': games in the whole table, which looks ahead
 
 
-HISTORY = "pool long, match_id long, home long, away long, home_elo double, away_elo double"
-CLOSING = "pool long, blk long, ent long, elo double"
-
-
-def _replay(rule: EloRule, closing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stream of rows ordered by (pool, blk, kind, t, id). kind 0 opens an entity (home, score = rating,
-    games); kind 1 is a game (score of the home side)."""
-
-    def start(new: bool) -> float:
-        return rule.init_new if new and rule.k_new is not None else rule.init
-
-    def step(new: bool) -> float:
-        return rule.k_new if new and rule.k_new is not None else rule.k
+# kind 1: a game and the ratings before it; kind 0: an entity (home), its rating and games after the last one
+ROWS = "kind int, pool long, match_id long, home long, away long, home_elo double, away_elo double, games long"
+NO_ENTITY = np.iinfo(np.int64).min  # stands for a null entity inside a task
+
+
+class _Pool:
+    """Ratings and games of the entities of one pool; ids are sorted, a rating not yet set is NaN."""
+
+    def __init__(self, rule: EloRule) -> None:
+        self.rule = rule
+        self.ids, self.elo, self.games = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def admit(self, ids: np.ndarray) -> None:
+        merged = np.union1d(self.ids, ids)
+        if len(merged) > len(self.ids):
+            at = np.searchsorted(merged, self.ids)
+            elo, games = np.full(len(merged), np.nan), np.zeros(len(merged), np.int64)
+            elo[at], games[at] = self.elo, self.games
+            self.ids, self.elo, self.games = merged, elo, games
+
+    def open(self, ids: np.ndarray, elo: np.ndarray, games: np.ndarray) -> None:
+        self.admit(ids)
+        at = np.searchsorted(self.ids, ids)
+        self.elo[at], self.games[at] = elo, games
+
+    def play(self, home: np.ndarray, away: np.ndarray, score: np.ndarray, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ratings of both sides before each game; games in order, NaN scores change nothing."""
+        rule = self.rule
+        self.admit(np.concatenate([home, away]))
+        h, a = np.searchsorted(self.ids, home), np.searchsorted(self.ids, away)
+        before = np.empty(len(h)), np.empty(len(h))
+        cuts = _runs(h, a)
+        for start, end in zip(cuts, cuts[1:]):
+            sides = h[start:end], a[start:end]
+            if rule.count_mode == "total":
+                new = [t[start:end] < rule.new_below for t in totals]
+            else:
+                new = [self.games[x] < rule.new_below for x in sides]
+            rated = []
+            for x, fresh in zip(sides, new):
+                opening = np.where(fresh, rule.init_new, rule.init) if rule.k_new is not None else rule.init
+                rated.append(np.where(np.isnan(self.elo[x]), opening, self.elo[x]))
+            rh, ra = rated
+            before[0][start:end], before[1][start:end] = rh, ra
+            s = score[start:end]
+            done = ~np.isnan(s)
+            expected = 1.0 / (1.0 + np.power(10.0, (ra - rh) / SCALE))
+            steps = [np.where(fresh, rule.k_new, rule.k) if rule.k_new is not None else rule.k for fresh in new]
+            after = rh + steps[0] * (s - expected), ra + steps[1] * ((1.0 - s) - (1.0 - expected))
+            for x, value in zip(sides, after):
+                self.elo[x[done]] = value[done]
+                self.games[x[done]] += 1
+        return before
+
+    def close(self, pool: int | None) -> pa.RecordBatch:
+        known = ~np.isnan(self.elo)
+        n, ids = int(known.sum()), self.ids[known]
+        none = pa.nulls(n, pa.int64())
+        return _batch(0, [pool] * n, none, pa.array(ids, mask=ids == NO_ENTITY), none, pa.array(self.elo[known]),
+                      pa.nulls(n, pa.float64()), pa.array(self.games[known]))
+
+
+def _runs(h: np.ndarray, a: np.ndarray) -> list[int]:
+    """Borders of the longest runs of games, from the left, in which no entity stands in two games."""
+    flat = np.stack([h, a], 1).ravel()
+    order = np.argsort(flat, kind="stable")
+    again = flat[order[1:]] == flat[order[:-1]]
+    last = np.full(len(flat), -1)
+    last[order[1:][again]] = order[:-1][again] // 2
+    last[last == np.arange(len(flat)) // 2] = -1  # an entity against itself is one game
+    cuts = [0]
+    for i, game in enumerate(last.reshape(-1, 2).max(1).tolist() if len(flat) else []):
+        if game >= cuts[-1]:
+            cuts.append(i)
+    return [*cuts, len(h)]
+
+
+def _batch(kind: int, pool, match_id, home, away, home_elo, away_elo, games) -> pa.RecordBatch:
+    n = len(home)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.array(pool, pa.int64()), match_id, home, away, home_elo, away_elo, games],
+        names=[c.split()[0] for c in ROWS.split(", ")])
+
+
+def _replay(rule: EloRule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stream of rows ordered by (pool, kind, t, id) -> ``ROWS``. kind 0 opens an entity (home, score = rating, hg = games); kind 1 is a
+    game (score of the home side, hg and ag the total games of its sides)."""
+
+    def ints(column: pa.Array, missing: int) -> np.ndarray:
+        return pc.fill_null(column.cast(pa.int64()), missing).to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ratings, games = None, {}, {}
-
-        def close() -> pa.RecordBatch:
-            ents = list(ratings)
-            return pa.RecordBatch.from_pydict({"pool": [key[0]] * len(ents), "blk": [key[1]] * len(ents), "ent": ents,
-                                               "elo": [ratings[e] for e in ents]})
-
+        key, state = None, None
         for batch in batches:
-            c = batch.to_pydict()
-            out: dict[str, list] = {n: [] for n in ("pool", "match_id", "home", "away", "home_elo", "away_elo")}
-            for pool, blk, kind, mid, h, a, s, hg, ag in zip(
-                    c["pool"], c["blk"], c["kind"], c["match_id"], c["home"], c["away"], c["score"], c["hg"], c["ag"]):
-                if (pool, blk) != key:
-                    if closing and ratings:
-                        yield close()
-                    key, ratings, games = (pool, blk), {}, {}
-                if kind == 0:
-                    if s is not None:
-                        ratings[h] = s
-                    games[h] = hg
+            if not batch.num_rows:
+                continue
+            pools, kinds = ints(batch["pool"], NO_ENTITY), ints(batch["kind"], 1)
+            parts = np.flatnonzero(np.diff(pools) | np.diff(kinds)) + 1
+            for start, end in zip([0, *parts], [*parts, batch.num_rows]):
+                rows = batch.slice(start, end - start)
+                if state is None or pools[start] != key:
+                    if state is not None:
+                        yield state.close(None if key == NO_ENTITY else key)
+                    key, state = pools[start], _Pool(rule)
+                home, score = ints(rows["home"], NO_ENTITY), rows["score"].to_numpy(zero_copy_only=False)
+                if kinds[start] == 0:
+                    state.open(home, score, ints(rows["hg"], 0))
                     continue
-                if rule.count_mode == "total":
-                    h_new, a_new = hg < rule.new_below, ag < rule.new_below
-                else:
-                    h_new, a_new = games.get(h, 0) < rule.new_below, games.get(a, 0) < rule.new_below
-                rh = ratings[h] if h in ratings else start(h_new)
-                ra = ratings[a] if a in ratings else start(a_new)
-                if not closing:
-                    for name, value in zip(out, (pool, mid, h, a, rh, ra)):
-                        out[name].append(value)
-                if s is None:  # a row without a result is answered and changes nothing
-                    continue
-                expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / SCALE))
-                ratings[h] = rh + step(h_new) * (s - expected)
-                ratings[a] = ra + step(a_new) * ((1.0 - s) - (1.0 - expected))
-                games[h] = games.get(h, 0) + 1
-                games[a] = games.get(a, 0) + 1
-            if not closing and out["pool"]:
-                yield pa.RecordBatch.from_pydict(out)
-        if closing and ratings:
-            yield close()
+                totals = ints(rows["hg"], 0), ints(rows["ag"], 0)
+                rh, ra = state.play(home, ints(rows["away"], NO_ENTITY), score, totals)
+                yield _batch(1, rows["pool"], rows["match_id"].cast(pa.int64()), rows["home"].cast(pa.int64()), rows["away"].cast(pa.int64()),
+                             pa.array(rh), pa.array(ra), pa.nulls(len(rh), pa.int64()))
+        if state is not None:
+            yield state.close(None if key == NO_ENTITY else key)
 
     return run
 
@@ -107,94 +165,62 @@ def _games(df: DataFrame, rule: EloRule) -> DataFrame:
     score = F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0)  # null: not played yet
     g = df.select(F.col("pool").cast("long").alias("pool"), "match_id", "match_date", "home", "away", score.alias("score"))
     if rule.count_mode == "total":
-        sides = g.filter(F.col("score").isNotNull()).select(F.explode(F.array("home", "away")).alias("ent"))
-        total = sides.groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
+        sides = g.filter(F.col("score").isNotNull()).select("pool", F.explode(F.array("home", "away")).alias("ent"))
+        total = sides.groupBy("pool", "ent").agg(F.count(F.lit(1)).alias("n"))
         for side in ("home", "away"):
-            part = total.select(F.col("ent").alias(side), F.col("n").alias(f"{side[0]}g"))
-            g = g.join(part, side, "left")
+            part = total.select("pool", F.col("ent").alias(side), F.col("n").alias(f"{side[0]}g"))
+            g = g.join(part, ["pool", side], "left")
         return g
     return g.withColumns({"hg": F.lit(0).cast("long"), "ag": F.lit(0).cast("long")})
 
 
-def _ordered(games: DataFrame, openings: DataFrame | None) -> DataFrame:
-    rows = games.withColumn("kind", F.lit(1))
+def _replayed_once(games: DataFrame, openings: DataFrame | None, rule: EloRule) -> DataFrame:
+    cols = ["pool", "kind", "match_date", "match_id", "home", "away", "score", "hg", "ag"]
+    rows = games.withColumn("kind", F.lit(1)).select(*cols)
     if openings is not None:
-        rows = rows.unionByName(openings.select(
-            "pool", "blk", F.col("ent").alias("home"), F.col("elo").alias("score"), F.col("games").alias("hg"),
-            F.lit(0).alias("kind")), allowMissingColumns=True)
-    cols = ["pool", "blk", "kind", "match_date", "match_id", "home", "away", "score", "hg", "ag"]
-    return rows.select(*cols).repartition("pool", "blk").sortWithinPartitions("pool", "blk", "kind", "match_date", "match_id")
+        rows = rows.unionByName(openings.select("pool", "kind", "home", F.col("home_elo").alias("score"), F.col("games").alias("hg")),
+                                allowMissingColumns=True)
+    ordered = rows.repartition("pool").sortWithinPartitions("pool", "kind", "match_date", "match_id")
+    return ordered.mapInArrow(_replay(rule), ROWS)
 
 
-def _blocks(games: DataFrame, rows_per_task: int) -> DataFrame:
-    """(pool, match_date, blk): consecutive days grouped so that a block holds about ``rows_per_task`` games."""
+def _in_blocks(games: DataFrame, rows_per_task: int) -> DataFrame:
+    """``games`` plus blk: consecutive days of a pool, closed by the day with which it passes ``rows_per_task`` games."""
     days = games.groupBy("pool", "match_date").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("pool").orderBy("match_date").rowsBetween(W.unboundedPreceding, -1)
-    return days.select("pool", "match_date", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / rows_per_task).alias("blk"))
+    blk = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / rows_per_task).alias("blk")
+    cut = days.select(F.col("pool").alias("_pool"), F.col("match_date").alias("_day"), blk)
+    here = F.col("pool").eqNullSafe(F.col("_pool")) & F.col("match_date").eqNullSafe(F.col("_day"))
+    return games.join(cut, here).drop("_pool", "_day")
 
 
-def _with_blocks(games: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
+def _replayed(df: DataFrame, rule: EloRule, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """(games with the ratings before them, entities with their last ones), both as ``ROWS``."""
+    games = _games(df, rule)
     largest = games.groupBy("pool").count().agg(F.max("count").alias("n")).first()["n"] or 0
     if largest <= rows_per_task:
-        return games.withColumn("blk", F.lit(0).cast("long")), 1
-    cut = games.join(_blocks(games, rows_per_task), ["pool", "match_date"])
-    return cut, int(_blocks(games, rows_per_task).agg(F.max("blk").alias("b")).first()["b"]) + 1
-
-
-def _openings(games: DataFrame, rule: EloRule, rounds: int, tolerance: float = 0.0) -> DataFrame:
-    """Opening state (pool, blk, ent, elo, games) of every block, by replaying blocks side by side.
-
-    With ``tolerance`` 0 the result is exact; a positive one stops once no opening moves by more.
-    """
+        rows = _replayed_once(games, None, rule)
+        return rows.filter("kind = 1"), rows.filter("kind = 0")
     spark = games.sparkSession
     home = scratch(spark, "elo-blocks")
-    games.write.parquet(f"{home}/games")
-    games = spark.read.parquet(f"{home}/games")
-    sides = games.select("pool", "blk", F.explode(F.array("home", "away")).alias("ent"))
-    earlier = W.partitionBy("pool", "ent").orderBy("blk")
-    played = sides.groupBy("pool", "blk", "ent").agg(F.count(F.lit(1)).alias("n")).select(
-        "pool", "blk", "ent", F.coalesce(F.sum("n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("games"))
-    played.write.parquet(f"{home}/played")
-    played = spark.read.parquet(f"{home}/played")
-    opening = played.withColumn("elo", F.lit(None).cast("double"))
-    todo, closing = games, None
-    for i in range(rounds + 1):
-        fresh = _ordered(todo, opening.join(todo.select("pool", "blk").distinct(), ["pool", "blk"], "left_semi")
-                         if closing is not None else opening).mapInArrow(_replay(rule, True), CLOSING)
-        if closing is not None:
-            kept = closing.join(fresh_keys, ["pool", "blk"], "left_anti")
-            fresh = fresh.unionByName(kept)
-        # Only entities that play in a block hand a rating on, so each reads its own previous block.
-        fresh = fresh.join(played.select("pool", "blk", "ent"), ["pool", "blk", "ent"], "left_semi")
-        fresh.write.parquet(f"{home}/closing-{i}")
-        closing = spark.read.parquet(f"{home}/closing-{i}")
-        handed = closing.withColumn("elo", F.lag("elo").over(earlier)).filter(F.col("elo").isNotNull())
-        nxt = played.join(handed, ["pool", "blk", "ent"], "left")
-        old = opening.select("pool", "blk", "ent", F.col("elo").alias("was"))
-        nxt.join(old, ["pool", "blk", "ent"], "left").write.parquet(f"{home}/opening-{i}")
-        state = spark.read.parquet(f"{home}/opening-{i}")
-        same = F.col("elo").eqNullSafe(F.col("was")) | (F.abs(F.col("elo") - F.col("was")) <= tolerance)
-        fresh_keys = state.filter(~F.coalesce(same, F.lit(False))).select("pool", "blk").distinct()
-        opening = state.drop("was")
-        if fresh_keys.isEmpty():
-            break
-        todo = games.join(fresh_keys, ["pool", "blk"], "left_semi")
-    return opening
-
-
-def elo_history(df: DataFrame, rule: EloRule = EloRule(), rows_per_task: int = ROWS_PER_TASK, tolerance: float = 0.0) -> DataFrame:
+    _in_blocks(games, rows_per_task).write.partitionBy("blk").parquet(f"{home}/games")
+    cut = spark.read.parquet(f"{home}/games")
+    state = None
+    for blk in sorted(r.blk for r in cut.select("blk").distinct().collect()):
+        path = f"{home}/rows/blk={blk}"
+        _replayed_once(cut.filter(F.col("blk") == blk), state, rule).write.parquet(path)
+        state = spark.read.parquet(path).filter("kind = 0")  # a pool without games in this block passes through
+    return spark.read.parquet(f"{home}/rows").filter("kind = 1"), state
+
+
+def elo_history(df: DataFrame, rule: EloRule = EloRule(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(pool, match_id, home, away, home_elo, away_elo): ratings before each game."""
-    games, blocks = _with_blocks(_games(df, rule), rows_per_task)
-    openings = _openings(games, rule, blocks, tolerance) if blocks > 1 else None
-    return _ordered(games, openings).mapInArrow(_replay(rule, False), HISTORY)
+    return _replayed(df, rule, rows_per_task)[0].select("pool", "match_id", "home", "away", "home_elo", "away_elo")
 
 
 def elo_final(df: DataFrame, rule: EloRule = EloRule(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(pool, ent, elo): rating of each entity after its last game."""
-    games, blocks = _with_blocks(_games(df, rule), rows_per_task)
-    openings = _openings(games, rule, blocks) if blocks > 1 else None
-    closing = _ordered(games, openings).mapInArrow(_replay(rule, True), CLOSING)
-    return closing.groupBy("pool", "ent").agg(F.max_by("elo", "blk").alias("elo"))
+    """(pool, ent, elo): rating of each entity after its last game with a result."""
+    return _replayed(df, rule, rows_per_task)[1].select("pool", F.col("home").alias("ent"), F.col("home_elo").alias("elo"))
 
 
 def elo_warm_start(df: DataFrame, cutoff: str, months: int = LOOKBACK_MONTHS, rule: EloRule = EloRule()) -> DataFrame:
