@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import arr_mean, arr_std, arr_sum, clip, tail
-from formline.operators.ledger import (attach, attach_sides, last_n_before, last_n_state, last_rows_before,
-                                       sums_before)
+from formline.operators.ledger import (RANGE_ROWS, attach, attach_sides, day_ranges, last_n_before, last_n_state,
+                                       last_rows_before, sums_before)
 
 ENT, T, ID = "ent", "match_date", "match_id"
 
@@ -279,20 +279,24 @@ def season_elapsed(df: DataFrame, t: str = T) -> DataFrame:
                             "pressure": F.when(days > PRESSURE_DAYS, 1.0).otherwise(days / float(PRESSURE_DAYS))}).drop("_y", "_first")
 
 
-def row_neighbour(df: DataFrame, keys: Sequence[str], col: str, steps: Sequence[int], t: str = T, id: str = ID) -> DataFrame:
-    """``<col>_lag<k>`` / ``<col>_lead<k>`` in (t, id) order with only one (key, day) ordered per task.
+def row_neighbour(df: DataFrame, keys: Sequence[str], col: str, steps: Sequence[int], t: str = T, id: str = ID,
+                  rows: int = RANGE_ROWS) -> DataFrame:
+    """``<col>_lag<k>`` / ``<col>_lead<k>`` in (t, id) order with only one (key, day), or one id range of a day
+    of more than ``rows`` rows, ordered per task.
 
-    Values across a day border come from the ledger of the nearest days.
+    Values across a border come from the ledger of the nearest days and ranges.
     """
     back = max([k for k in steps if k > 0], default=0)
     ahead = max([-k for k in steps if k < 0], default=0)
     item = F.struct(F.col(id).alias("id"), F.col(col))
     out = df
     if back:
-        out = last_rows_before(out, keys, t, id, [col], back, "_back")
+        out = last_rows_before(out, keys, t, id, [col], back, "_back", rows)
     if ahead:
+        out = day_ranges(out, keys, t, id, rows)
+        t = "_t"
         first = W.partitionBy(*keys, t).orderBy(F.asc(id))
-        heads = (df.select(*keys, t, id, col).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= ahead)
+        heads = (out.select(*keys, t, id, col).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= ahead)
                  .groupBy(*keys, t).agg(F.array_sort(F.collect_list(item)).alias("head")))
         frame = W.partitionBy(*keys).orderBy(t).rowsBetween(1, ahead)
         nxt = heads.select(*keys, t, F.flatten(F.collect_list("head").over(frame)).alias("_next"))
@@ -305,7 +309,7 @@ def row_neighbour(df: DataFrame, keys: Sequence[str], col: str, steps: Sequence[
             cols[f"{col}_lag{k}"] = F.when(F.size("_back") >= k, F.get("_back", F.size("_back") - k)[col])
         else:
             cols[f"{col}_lead{-k}"] = F.when(F.size("_ahead") >= -k, F.get("_ahead", F.lit(-k - 1))[col])
-    return out.withColumns(cols).drop("_back", "_ahead")
+    return out.withColumns(cols).drop("_back", "_ahead", "_t")
 
 
 def cumulative_record(long: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import tail
+from formline.session import stored
+
+RANGE_ROWS = 1_000_000  # rows of one key that one ordered pass may hold
 
 
 def day_sums(df: DataFrame, keys: Sequence[str], t: str, aggs: Mapping[str, Column]) -> DataFrame:
@@ -98,22 +101,44 @@ def last_n_state(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequ
     return _merged(days, keys, t, (-(n - 1), 0), n, out)
 
 
+def day_ranges(df: DataFrame, keys: Sequence[str], t: str, id: str, rows: int = RANGE_ROWS, out: str = "_t") -> DataFrame:
+    """``df`` plus ``out``, a finer time: the day, or (day, range of ids) once some key has a day of more than ``rows`` rows.
+
+    Ranges follow the order of ids, so (key, out) in order is (key, day, id) in order, and as many are cut as the largest day
+    needs. Days within ``rows`` stay one range. Ids are numbers or times; equal ids share a range, null ids stand in the first.
+    """
+    days = df.groupBy(*keys, t).agg(F.count(F.lit(1)).alias("_n"))
+    largest = days.agg(F.max("_n").alias("n")).first()["n"] or 0
+    if largest <= rows:
+        return df.withColumn(out, F.col(t))
+    parts = -(-largest // rows)
+    probs = [i / parts for i in range(1, parts)]
+    hot = days.filter(F.col("_n") > rows).select(*keys, t)
+    edges = df.select(*keys, t, id).join(hot, [*keys, t], "left_semi").groupBy(*keys, t).agg(
+        F.array_distinct(F.percentile_approx(id, probs, 20 * parts)).alias("_edges"))
+    edges = stored(edges, "day-ranges")  # a sketch may come out different when it runs again, and all readers must cut at the same places
+    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(id))), F.lit(0))
+    return df.join(edges, [*keys, t], "left").withColumn(
+        out, F.struct(F.col(t).alias("day"), F.greatest(below, F.lit(0)).alias("range"))).drop("_edges")
+
+
 def last_rows_before(df: DataFrame, keys: Sequence[str], t: str, id: str, cols: Sequence[str], n: int,
-                     out: str = "past") -> DataFrame:
+                     out: str = "past", rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` plus the last ``n`` rows before each row in (t, id) order, same day included.
 
-    The carry from earlier days comes from the ledger; only rows of one key and one day are
-    ordered together.
+    The carry from earlier days comes from the ledger; only rows of one key and one day (or one id range of a day
+    of more than ``rows`` rows, which inherits the tail of the range before it) are ordered together.
     """
-    carry = last_n_before(df, keys, t, id, cols, n, out="_carry")
+    df = day_ranges(df, keys, t, id, rows)
+    carry = last_n_before(df, keys, "_t", id, cols, n, out="_carry")
     item = F.struct(F.col(id).alias("id"), *[F.col(c) for c in cols])
-    frame = W.partitionBy(*keys, t).orderBy(id).rowsBetween(-n, -1)
+    frame = W.partitionBy(*keys, "_t").orderBy(id).rowsBetween(-n, -1)
     today = df.withColumn("_today", F.collect_list(item).over(frame))
-    joined = today.join(carry, [*keys, t], "left")
+    joined = today.join(carry, [*keys, "_t"], "left")
     # Most rows are the only one of their day and take the carried list as it is.
     full = F.concat("_carry", "_today")
     past = F.when(F.size("_today") == 0, F.col("_carry")).otherwise(tail(full, n))
-    return joined.withColumn(out, past).drop("_carry", "_today")
+    return joined.withColumn(out, past).drop("_carry", "_today", "_t")
 
 
 def attach(df: DataFrame, ledger: DataFrame, keys: Sequence[str], t: str) -> DataFrame:

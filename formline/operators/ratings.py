@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from formline.operators.ledger import RANGE_ROWS, day_ranges
 from formline.session import scratch
 
 # Fixed values of the reference ratings.
@@ -247,29 +248,29 @@ def _clamp(x: float) -> float:
 
 
 def _fold_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ent, day, id, delta) in order -> one map x -> min(hi, max(lo, x + c)) per (ent, day)."""
+    """(ent, cell, id, delta) in order -> one map x -> min(hi, max(lo, x + c)) per (ent, cell)."""
     key, c, lo, hi = None, 0.0, 0.0, 1.0
 
     def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("ent", "day", "c", "lo", "hi"), (*key, c, lo, hi))})
+        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("ent", "day", "range", "c", "lo", "hi"), (*key, c, lo, hi))})
 
     for batch in batches:
         d = batch.to_pydict()
         done: list[tuple] = []
-        for ent, day, delta in zip(d["ent"], d["day"], d["delta"]):
-            if (ent, day) != key:
+        for *cell, delta in zip(d["ent"], d["day"], d["range"], d["delta"]):
+            if tuple(cell) != key:
                 if key is not None:
                     done.append((*key, c, lo, hi))
-                key, c, lo, hi = (ent, day), 0.0, 0.0, 1.0
+                key, c, lo, hi = tuple(cell), 0.0, 0.0, 1.0
             c, lo, hi = c + delta, _clamp(lo + delta), _clamp(hi + delta)
         if done:
-            yield pa.RecordBatch.from_pydict(dict(zip(("ent", "day", "c", "lo", "hi"), map(list, zip(*done)))))
+            yield pa.RecordBatch.from_pydict(dict(zip(("ent", "day", "range", "c", "lo", "hi"), map(list, zip(*done)))))
     if key is not None:
         yield emit()
 
 
 def _open_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Day maps of an entity in day order -> its counter before each day."""
+    """Maps of an entity's cells in order -> its counter before each cell."""
     who, x = None, COUNTER_START
     for batch in batches:
         d = batch.to_pydict()
@@ -279,7 +280,7 @@ def _open_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 who, x = ent, COUNTER_START
             before.append(x)
             x = min(hi, max(lo, x + c))
-        yield pa.RecordBatch.from_pydict({"ent": d["ent"], "day": d["day"], "x": before})
+        yield pa.RecordBatch.from_pydict({"ent": d["ent"], "day": d["day"], "range": d["range"], "x": before})
 
 
 def _inside_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,49 +288,54 @@ def _inside_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d = batch.to_pydict()
         before = []
-        for ent, day, start, delta in zip(d["ent"], d["day"], d["x"], d["delta"]):
-            if (ent, day) != key:
-                key, x = (ent, day), start
+        for *cell, start, delta in zip(d["ent"], d["day"], d["range"], d["x"], d["delta"]):
+            if cell != key:
+                key, x = cell, start
             before.append(x)
             x = _clamp(x + delta)
         yield pa.RecordBatch.from_pydict({"match_id": d["match_id"], "venue": d["venue"], "ent": d["ent"], "counter": before})
 
 
-def bounded_counter(long: DataFrame, up: float = UP, down: float = DOWN, decay: float = DECAY) -> DataFrame:
+def bounded_counter(long: DataFrame, up: float = UP, down: float = DOWN, decay: float = DECAY, rows: int = RANGE_ROWS) -> DataFrame:
     """(match_id, venue, ent, counter): the clamped momentum of each side before each game.
 
     Clamped steps compose into one clamped step, so each (entity, day) folds on its own, the days
     of an entity chain on a small ledger, and the games of a day replay from the day's opening value.
+    A day of more than ``rows`` games of one entity is cut into id ranges, which fold and replay like days.
     """
     delta = F.when(F.col("res") == 1, up).when(F.col("res") == -1, down).when(F.col("res") == 0, decay).otherwise(0.0)
-    rows = long.select("ent", F.unix_date("match_date").cast("long").alias("day"), "match_id", "venue", delta.alias("delta"))
-    fold = rows.repartition("ent", "day").sortWithinPartitions("ent", "day", "match_id").mapInArrow(
-        _fold_days, "ent long, day long, c double, lo double, hi double")
-    opened = fold.repartition("ent").sortWithinPartitions("ent", "day").mapInArrow(_open_days, "ent long, day long, x double")
-    joined = rows.join(opened, ["ent", "day"])
-    return joined.repartition("ent", "day").sortWithinPartitions("ent", "day", "match_id").mapInArrow(
+    steps = day_ranges(long.select("ent", F.unix_date("match_date").cast("long").alias("day"), "match_id", "venue", delta.alias("delta")),
+                       ["ent"], "day", "match_id", rows)
+    part = F.col("_t")["range"] if steps.schema["_t"].dataType.typeName() == "struct" else F.lit(0)
+    steps = steps.withColumn("range", part.cast("long")).drop("_t")
+    cell = ["ent", "day", "range"]
+    fold = steps.repartition(*cell).sortWithinPartitions(*cell, "match_id").mapInArrow(
+        _fold_days, "ent long, day long, range long, c double, lo double, hi double")
+    opened = fold.repartition("ent").sortWithinPartitions(*cell).mapInArrow(_open_days, "ent long, day long, range long, x double")
+    joined = steps.join(opened, cell)
+    return joined.repartition(*cell).sortWithinPartitions(*cell, "match_id").mapInArrow(
         _inside_days, "match_id long, venue string, ent long, counter double")
 
 
 # --- snapshots ---------------------------------------------------------------------------------
 
 def state_as_of(matches: DataFrame, long: DataFrame, cutoff: str, w: int = 5) -> DataFrame:
-    """Per entity: rating, record and means of the last ``w`` games with a result strictly before the cut-off."""
+    """Per pool and entity: rating, record and means of the last ``w`` games with a result strictly before the cut-off."""
     from formline.functions.scalar import arr_mean, tail
 
     day = F.lit(cutoff).cast("date")
     past = long.filter((F.col("match_date") < day) & F.col("res").isNotNull())
-    record = past.groupBy("ent").agg(
+    record = past.groupBy("pool", "ent").agg(
         F.count(F.lit(1)).alias("games"), F.sum((F.col("res") == 1).cast("int")).alias("wins"),
         F.sum((F.col("res") == 0).cast("int")).alias("draws"), F.sum((F.col("res") == -1).cast("int")).alias("losses"),
         F.sum("points").alias("points"), F.sum("gf").alias("goals_for"), F.sum("ga").alias("goals_against"),
         F.max("match_date").alias("last_day"))
-    newest = W.partitionBy("ent").orderBy(F.desc("match_date"), F.desc("match_id"))
-    last = (past.select("ent", "match_date", "match_id", "points", "gf").withColumn("rn", F.row_number().over(newest))
-            .filter(F.col("rn") <= w).groupBy("ent").agg(F.array_sort(F.collect_list(
+    newest = W.partitionBy("pool", "ent").orderBy(F.desc("match_date"), F.desc("match_id"))
+    last = (past.select("pool", "ent", "match_date", "match_id", "points", "gf").withColumn("rn", F.row_number().over(newest))
+            .filter(F.col("rn") <= w).groupBy("pool", "ent").agg(F.array_sort(F.collect_list(
                 F.struct("match_date", "match_id", "points", "gf"))).alias("last")))
-    elo = elo_final(matches.filter(F.col("match_date") < day)).select("ent", "elo")
-    out = record.join(last, "ent").join(elo, "ent", "left")
+    elo = elo_final(matches.filter(F.col("match_date") < day))
+    out = record.join(last, ["pool", "ent"]).join(elo, ["pool", "ent"], "left")
     means = {f"{c}_mean_{w}": arr_mean(F.transform(tail(F.col("last"), w), lambda x: x[c])) for c in ("points", "gf")}
     return out.withColumns(means)
 
