@@ -1,10 +1,11 @@
 """Global order without a global sort task: exact quantiles, ranks and row numbers.
 
-Rows are cut into a fixed number of near-equal buckets whose edges come from a mergeable quantile
-sketch. Bucket totals are a few hundred rows, so their running sum is cheap, and the exact order is
-resolved inside each bucket in parallel. The sketch only places the cuts; results are exact.
+Rows are counted and cut into as many near-equal buckets as their number needs (about ``SMALL`` rows
+each, so one bucket is the plain ordered pass); edges come from a mergeable quantile sketch. Bucket
+totals are one row a bucket, so their running sum is cheap, and the exact order is resolved inside
+each bucket in parallel. The sketch only places the cuts; results are exact.
 
-Edges are fetched once (a few hundred numbers) and used as constants: a sketch may come out a
+Edges are fetched once (one number a bucket) and used as constants: a sketch may come out a
 little different when it runs again, and every branch of a plan must cut at the same places.
 """
 
@@ -18,39 +19,43 @@ from pyspark.sql.window import Window as W
 
 from formline.session import stored
 
-BUCKETS = 256
 SMALL = 500_000  # rows one ordered pass may hold
 
 
-def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
+def buckets_for(rows: int, small: int) -> int:
+    return max(1, -(-rows // max(1, small)))
+
+
+def cut_points(df: DataFrame, col: str, buckets: int) -> Column:
     """Sorted bucket edges of ``col`` as a constant array of at most ``buckets - 1`` values."""
     probs = [i / buckets for i in range(1, buckets)]
     kind = df.schema[col].dataType
+    if not probs:
+        return F.array().cast(f"array<{kind.simpleString()}>")
     edges = df.agg(F.array_distinct(F.percentile_approx(F.col(col), probs, 10 * buckets)).alias("e")).first()["e"]
     return F.array(*[F.lit(e) for e in edges or []]).cast(f"array<{kind.simpleString()}>")
 
 
-def with_bucket(df: DataFrame, col: str, edges: Column, out: str = "_b", step: int = 16) -> DataFrame:
-    """``df`` plus the number of edges below each value, looked up in two short hops."""
-    v = F.col(col)
+def with_bucket(df: DataFrame, col: str, edges: Column, buckets: int, out: str = "_b") -> DataFrame:
+    """``df`` plus the number of edges below each value, looked up in two hops of about the root of ``buckets`` steps."""
+    if buckets == 1:
+        return df.withColumn(out, F.lit(0))
+    v, step = F.col(col), max(1, round(buckets ** 0.5))
     below = lambda arr: F.size(F.filter(arr, lambda e: e < v))
     coarse = df.withColumn("_edges", edges).withColumn(
         "_c", below(F.filter("_edges", lambda e, i: (i % step) == step - 1)) * step)
     return coarse.withColumn(out, F.col("_c") + below(F.slice("_edges", F.col("_c") + 1, step))).drop("_edges", "_c")
 
 
-def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), buckets: int = BUCKETS,
-                   small: int = SMALL) -> DataFrame:
+def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), small: int = SMALL) -> DataFrame:
     """``counts`` plus ``<s>_before`` for each summed column: total over all smaller values.
 
     ``counts`` has one row per (keys, value), already written (see ``stored``): it is passed over
-    several times. Keys name a small set of series (columns, folds). Up to ``small`` rows one
-    ordered pass per series is enough; beyond that the order is resolved bucket by bucket.
+    several times. Keys name a small set of series (columns, folds). The order is resolved bucket by bucket,
+    in buckets of about ``small`` rows of all series together.
     """
-    if counts.count() <= small:
-        inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return counts.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
-    cut = with_bucket(counts, value, cut_points(counts, value, buckets))
+    buckets = buckets_for(counts.count(), small)
+    cut = with_bucket(counts, value, cut_points(counts, value, buckets), buckets)
     totals = cut.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
@@ -134,21 +139,21 @@ def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") ->
     return out
 
 
-def _largest_day(df: DataFrame, t: str) -> int:
-    return df.groupBy(t).count().agg(F.max("count").alias("n")).first()["n"] or 0
+def _largest_day(df: DataFrame, t: str) -> tuple[object, int]:
+    """The day with most rows and their number."""
+    top = df.groupBy(t).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", t)).alias("d")).first()["d"]
+    return (top[t], top["n"]) if top else (None, 0)
 
 
-def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", small: int = SMALL) -> DataFrame:
     """Exact 1-based position in (t, id) order.
 
-    Rows are ordered inside their day. Where some day is too large for one task, inside (day, id
-    range): never more than a fixed share of the rows each, whatever one day or one key holds.
-    Offsets need one small ledger of days x id ranges.
+    Rows are ordered inside (day, id range). Ranges follow the ids of the largest day, about ``small`` of its rows each,
+    so no task orders much more than that whatever one day holds. Offsets need one small ledger of days x id ranges.
     """
-    if _largest_day(df, t) <= small:
-        cut = df.withColumn("_b", F.lit(0))
-    else:
-        cut = with_bucket(df, id, cut_points(df, id, buckets))
+    day, n = _largest_day(df, t)
+    buckets = buckets_for(n, small)
+    cut = with_bucket(df, id, cut_points(df.filter(F.col(t).eqNullSafe(F.lit(day))), id, buckets), buckets)
     ledger = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy(t, "_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = ledger.select(t, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -157,11 +162,11 @@ def with_row_number(df: DataFrame, t: str, id: str, out: str = "rn", buckets: in
             .withColumn(out, (F.col("_o") + F.row_number().over(inside)).cast("long")).drop("_b", "_o"))
 
 
-def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, small: int = SMALL) -> DataFrame:
     """(rank, t, id) of the rows at the given 1-based positions in (t, id) order.
 
     ``ranks`` is a short array. Days are counted first; only the days that hold a wanted position
-    are looked into, and of a day too large for one task only the id ranges that hold one.
+    are looked into, and of their id ranges only those that hold one.
     """
     inside = lambda lo, n: F.filter("_ranks", lambda r: (r > lo) & (r <= lo + n))
     before = W.orderBy(t).rowsBetween(W.unboundedPreceding, -1)
@@ -170,15 +175,13 @@ def keys_at_ranks(df: DataFrame, t: str, id: str, ranks: Column, buckets: int =
     hit = stored(hit, "days")
     # At most one day, and below at most one cell, per wanted rank.
     rows = df.select(t, id).join(F.broadcast(hit.select(t, "_o", "_ranks")), t)
-    if (hit.agg(F.max("_n").alias("n")).first()["n"] or 0) > small:
-        cut = with_bucket(rows, id, cut_points(rows, id, buckets))
-        cells = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_o").alias("_o"), F.first("_ranks").alias("_ranks"))
-        run = W.partitionBy(t).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-        cells = cells.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
-        wanted = cells.withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
-        near = cut.drop("_o", "_ranks").join(F.broadcast(wanted.select(t, "_b", "_o", "_ranks")), [t, "_b"])
-    else:
-        near = rows.withColumn("_b", F.lit(0))
+    buckets = buckets_for(hit.agg(F.sum("_n").alias("n")).first()["n"] or 0, small)
+    cut = with_bucket(rows, id, cut_points(rows, id, buckets), buckets)
+    cells = cut.groupBy(t, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_o").alias("_o"), F.first("_ranks").alias("_ranks"))
+    run = W.partitionBy(t).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    wanted = cells.withColumn("_ranks", inside(F.col("_o"), F.col("_n"))).filter(F.size("_ranks") > 0)
+    near = cut.drop("_o", "_ranks").join(F.broadcast(wanted.select(t, "_b", "_o", "_ranks")), [t, "_b"])
     placed = near.withColumn("rank", F.col("_o") + F.row_number().over(W.partitionBy(t, "_b").orderBy(id)))
     return placed.filter(F.array_contains("_ranks", F.col("rank"))).select("rank", t, id)
 

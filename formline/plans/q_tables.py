@@ -19,7 +19,7 @@ from formline.session import scratch
 from formline.sources import readers as rd
 from formline.sources import sinks as sk
 from formline.sources import transactions as tx
-from formline.sources.contests import BOOKS, contests, contests_long, table
+from formline.sources.contests import BOOKS, contests, contests_long, season_days, table
 
 BASE = ["match_id", "match_date", "season", "pool", "home", "away", "result", "home_goals", "away_goals", "home_xg", "away_xg"]
 ODDS = [b[0] for b in BOOKS]
@@ -47,10 +47,10 @@ def s01(spark, d):
   cast(sum(case when season < 1998 then 0 else home_goals end) as bigint) goals from contests group by 1"""))
 def s02(spark, d):
     # Season files of two generations: the older ones have no goal column.
-    m, base = contests(spark, d), scratch(spark, "seasons")
+    old, new, base = contests(spark, d, **season_days(last=1997)), contests(spark, d, **season_days(1998)), scratch(spark, "seasons")
     cols = ["match_id", "home_xg"]
-    m.filter("season < 1998").select("season", *cols).write.partitionBy("season").option("header", True).csv(f"{base}/old")
-    m.filter("season >= 1998").select("season", *cols, "home_goals").write.partitionBy("season").option("header", True).csv(f"{base}/new")
+    old.select("season", *cols).write.partitionBy("season").option("header", True).csv(f"{base}/old")
+    new.select("season", *cols, "home_goals").write.partitionBy("season").option("header", True).csv(f"{base}/new")
     field = {f.name: f for f in rd.CONTEST_SCHEMA}
     old = T.StructType([field[c] for c in cols])
     df = rd.read_mixed_seasons(spark, [(f"{base}/old/*", old), (f"{base}/new/*", T.StructType([*old, field["home_goals"]]))])
@@ -61,9 +61,8 @@ def s02(spark, d):
 @query("s03_latest_file", C("select pool, count(*) n from contests where season >= 1998 group by 1"))
 def s03(spark, d):
     base = scratch(spark, "stamped")
-    m = contests(spark, d).select("match_id", "pool", "season")
-    m.filter("season < 1998").write.parquet(f"{base}/log_2024_01_01")
-    m.filter("season >= 1998").write.parquet(f"{base}/log_2024_02_01")
+    for days, stamp in ((season_days(last=1997), "2024_01_01"), (season_days(1998), "2024_02_01")):
+        contests(spark, d, **days).select("match_id", "pool", "season").write.parquet(f"{base}/log_{stamp}")
     newest = rd.latest_file(spark, f"{base}/log_*").rsplit("/", 1)[0]
     return spark.read.parquet(newest).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
@@ -232,7 +231,7 @@ def s13(spark, d):
 
 @query("p01_filter_in", C("select match_id, season from contests where season in (1996, 1997, 1998)"))
 def p01(spark, d):
-    return contests(spark, d).filter(F.col("season").isin(1996, 1997, 1998)).select("match_id", "season")
+    return contests(spark, d, **season_days(1996, 1998)).filter(F.col("season").isin(1996, 1997, 1998)).select("match_id", "season")
 
 
 @query("p02_filter_period", C("""select match_id, cast(match_date as varchar) match_date from contests
@@ -403,9 +402,8 @@ def j08(spark, d):
   select home, away, 'unseen' kind from te where not exists (select 1 from tr where tr.home = te.home and tr.away = te.away)
   union all select home, away, 'known' from te where exists (select 1 from tr where tr.home = te.home and tr.away = te.away)"""))
 def j09(spark, d):
-    m = contests(spark, d)
-    train = m.filter("season < 1999").select("home", "away").distinct()
-    test = m.filter("season >= 1999").select("home", "away").distinct()
+    train = contests(spark, d, **season_days(last=1998)).select("home", "away").distinct()
+    test = contests(spark, d, **season_days(1999)).select("home", "away").distinct()
     unseen = test.join(train, ["home", "away"], "left_anti").withColumn("kind", F.lit("unseen"))
     return unseen.unionByName(test.join(train, ["home", "away"], "left_semi").withColumn("kind", F.lit("known")))
 
@@ -689,8 +687,8 @@ def o07(spark, d):
 
 @query("u01_union_all", C("select season, count(*) n from (select season from contests where season < 1997 union all select season from contests where season >= 1997) group by 1"))
 def u01(spark, d):
-    m = contests(spark, d).select("match_id", "season")
-    return m.filter("season < 1997").unionByName(m.filter("season >= 1997")).groupBy("season").agg(F.count(F.lit(1)).alias("n"))
+    old, new = (contests(spark, d, **days).select("match_id", "season") for days in (season_days(last=1996), season_days(1997)))
+    return old.unionByName(new).groupBy("season").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("u02_set_operations", C(""", l as (select home, away from contests where season < 1998), r as (select home, away from contests where season >= 1998)
@@ -698,8 +696,7 @@ def u01(spark, d):
   union all select 'left', home, away from (select * from l except select * from r)
   union all select 'right', home, away from (select * from r except select * from l)"""))
 def u02(spark, d):
-    m = contests(spark, d).select("home", "away", "season")
-    left, right = m.filter("season < 1998").select("home", "away"), m.filter("season >= 1998").select("home", "away")
+    left, right = (contests(spark, d, **days).select("home", "away") for days in (season_days(last=1997), season_days(1998)))
     parts = {"both": left.intersect(right), "left": left.subtract(right), "right": right.subtract(left)}
     out = None
     for kind, df in parts.items():

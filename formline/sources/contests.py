@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.functions.scalar import season_start
+from formline.functions.scalar import SEASON_START_MONTH, season_start
 from formline.operators.shape import to_long
 
 # Fixed values: (column, multiplier, gap) of each bookmaker price.
@@ -21,6 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def season_days(first: int | None = None, last: int | None = None) -> dict[str, str | None]:
+    """``start`` and ``end`` of the seasons first to last (both inclusive, None: open), for ``contests``."""
+    start = None if first is None else f"{first}-{SEASON_START_MONTH:02d}-01"
+    end = None if last is None else f"{last + 1}-{SEASON_START_MONTH - 1:02d}-31"  # July
+    return {"start": start, "end": end}
+
+
 def line_measures(spark: SparkSession, folder: str) -> DataFrame:
     """Per order: quantity and line count on odd (home) and even (away) line numbers."""
     lines = table(spark, folder, "lineitem")

@@ -123,3 +123,29 @@ def test_games_without_a_result_are_not_counted(spark):
 def test_selection_frequency_counts_empty_runs(spark):
     runs = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (None,)], "selected array<string>")
     assert {r.feature: (r.n, r.frequency) for r in aggregates.selection_frequency(runs).collect()} == {"a": (2, 0.5), "b": (1, 0.25)}
+
+
+def test_season_days_reach_the_scan(spark, folder):
+    from formline.sources.contests import contests, season_days
+
+    m = contests(spark, folder)
+    for first, last in ((1996, 1998), (None, 1995), (1997, None)):
+        cut = contests(spark, folder, **season_days(first, last))
+        want = m.filter((F.col("season") >= (first or 0)) & (F.col("season") <= (last or 9999)))
+        assert cut.count() == want.count() > 0 and cut.select("match_id").exceptAll(want.select("match_id")).isEmpty()
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(o_orderdate" in plan or "LessThan(o_orderdate" in plan
+
+
+def test_buckets_follow_the_number_of_rows(spark):
+    from formline.operators import ordered as o
+
+    assert [o.buckets_for(n, 10) for n in (0, 1, 10, 11, 1_000)] == [1, 1, 1, 2, 100]
+    rows = [(i, DAY + datetime.timedelta(days=0 if i % 3 else i % 5), float(i % 97)) for i in range(400)]
+    df = spark.createDataFrame(rows, "match_id long, match_date date, x double")
+    want = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    for small in (1, 7, 60, 1_000):
+        assert {r.match_id: r.rn for r in o.with_row_number(df, "match_date", "match_id", small=small).collect()} == want
+        found = o.keys_at_ranks(df, "match_date", "match_id", F.array(F.lit(1), F.lit(250), F.lit(400)), small=small).collect()
+        assert {r["rank"]: r.match_id for r in found} == {k: i for i, k in want.items() if k in (1, 250, 400)}
+    assert o.with_row_number(df.limit(0), "match_date", "match_id").count() == 0
