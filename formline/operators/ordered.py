@@ -124,19 +124,23 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
                    for c in cols for i, p in enumerate(probs)])
 
 
-def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
-    """``df`` plus the tie-averaged rank of each column over its non-null values.
+def ranks_by_row(rows: DataFrame, row: str, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """(row, <col><suffix>...): the tie-averaged rank of each column over its non-null values; null for rows with nulls only.
 
-    Ranks are computed per distinct value and joined back by value; the value side is as small as
-    the column's domain and Spark broadcasts it when its measured size allows.
+    All columns are ranked together: one table of distinct (column, value), one ordered pass, one join back. ``rows`` is
+    written (see ``stored``) and ``row`` names each of its rows once.
     """
-    out = df
-    for c in cols:
-        counts = df.groupBy(F.col(c).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("_v").isNotNull())
-        ranked = running_counts(stored(counts, "ranks"), "_v", ["n"]).select(
-            F.col("_v").alias(f"_v_{c}"), (F.col("n_before") + (F.col("n") + 1) / 2).alias(c + suffix))
-        out = out.join(ranked, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-    return out
+    long = rows.select(row, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([row], list(cols), "_c", "_v").filter(F.col("_v").isNotNull())
+    counts = stored(long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("n")), "ranks")
+    ranked = running_counts(counts, "_v", ["n"], keys=["_c"]).select("_c", "_v", (F.col("n_before") + (F.col("n") + 1) / 2).alias("_r"))
+    placed = long.join(ranked, ["_c", "_v"])
+    return placed.groupBy(row).agg(*[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(c + suffix) for c in cols])
+
+
+def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """``df`` plus the tie-averaged rank of each column over its non-null values."""
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rank-rows")
+    return rows.join(ranks_by_row(rows, "_row", cols, suffix), "_row", "left").drop("_row")
 
 
 def _largest_day(df: DataFrame, t: str) -> tuple[object, int]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formline.functions.scalar import safe_corr
-from formline.operators.ordered import average_ranks
+from formline.operators.ordered import ranks_by_row
 from formline.session import stored
 
 MIN_VARIANCE = 1e-10  # fixed value
@@ -45,10 +45,9 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], others: Sequence[str] | No
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    # Every column is passed over several times, so the narrow input is written once.
-    ranked = average_ranks(stored(df.select(*cols).dropna(), "spearman"), cols)
-    out = pearson_pairs(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols)
-    return out.withColumnRenamed("r", "rho")
+    """(f1, f2, rho) over the rows without a null; all columns are ranked in one pass."""
+    rows = stored(df.select(*cols).dropna().withColumn("_row", F.monotonically_increasing_id()), "spearman")
+    return pearson_pairs(ranks_by_row(rows, "_row", cols, ""), cols).withColumnRenamed("r", "rho")
 
 
 def strongest_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -66,6 +66,16 @@ def t03(spark, d):
     return st.run(st.pair_counts(st.replay(rows, seasons(spark, d)))).select("match_id", "lo_wins", "hi_wins", "draws", "games")
 
 
+@query("t01b_out_of_order", _elo_sql("season > (select min(season) from contests)") + f"""select match_id, {R('rh', 4)} home_elo, {R('ra', 4)} away_elo, 0 as late from hist
+  union all select match_id, null, null, 1 from contests where season = (select min(season) from contests)""")
+def t01b(spark, d):
+    """The first season arrives after all others: it goes to the late rows and changes no rating."""
+    first, *others = seasons(spark, d)
+    played, late = st.in_order(st.run(st.elo(st.replay(_games(spark, d), [*others, first]))))
+    both = played.withColumn("_late", F.lit(0)).unionByName(late.withColumn("_late", F.lit(1)))
+    return both.select("match_id", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"), F.col("_late").alias("late"))
+
+
 @query("t04_day_barrier", P("""select l.match_id, l.venue, count(p.res) games, cast(coalesce(sum(p.points), 0) as bigint) points
   from long l left join past p on p.match_id = l.match_id and p.venue = l.venue group by 1, 2"""))
 def t04(spark, d):

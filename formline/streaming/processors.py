@@ -1,8 +1,12 @@
 """Keyed state for the streaming twins. One instance handles one key at a time; rows of a micro-batch
-are put in (t, id) order, and state is read and written once per touched entry."""
+are put in (t, id) order, and state is read and written once per touched entry.
+
+The order also holds across micro-batches: each key keeps the place (t, id) it has reached, and a row of an earlier place that
+comes later is marked ``late``, gets no answer (nulls) and changes nothing."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +19,30 @@ def ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "match_id"], kind="stable", ignore_index=True)
 
 
+class Place:
+    """The last (t, id) of a key in its state."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("place", "t long, id long")
+
+    def late(self, games: pd.DataFrame) -> int:
+        """How many of the ordered rows stand before the place (they come first); moves the place to the last row."""
+        places = list(zip(games["ts"].astype("datetime64[ns]").astype("int64").tolist(), games["match_id"].astype("int64").tolist()))
+        reached = tuple(self.state.get()) if self.state.exists() else None
+        n = 0 if reached is None else bisect_left(places, reached)
+        if n < len(places):
+            self.state.update(places[-1])
+        return n
+
+
 class EloState(StatefulProcessor):
     """Key: pool. State: entity -> rating. Emits the ratings before each game."""
 
-    OUT = "pool long, match_id long, home_elo double, away_elo double"
+    OUT = "pool long, match_id long, home_elo double, away_elo double, late boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ratings = handle.getMapState("ratings", "ent long", "elo double")
+        self.place = Place(handle)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for ent, elo in zip(initialState["ent"], initialState["elo"]):
@@ -29,6 +50,7 @@ class EloState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         games = ordered(rows)
+        late = self.place.late(games)
         seen: dict[int, float] = {}
 
         def get(ent: int) -> float:
@@ -36,8 +58,9 @@ class EloState(StatefulProcessor):
                 seen[ent] = self.ratings.getValue((ent,))[0] if self.ratings.containsKey((ent,)) else INIT
             return seen[ent]
 
-        before = []
-        for h, a, s in zip(games["home"].astype(int), games["away"].astype(int), games["score"]):
+        before = [(None, None)] * late
+        played = games.iloc[late:]
+        for h, a, s in zip(played["home"].astype(int), played["away"].astype(int), played["score"]):
             rh, ra = get(h), get(a)
             before.append((rh, ra))
             if s is None or s != s:  # no result yet: answered, and nothing changes
@@ -47,8 +70,8 @@ class EloState(StatefulProcessor):
             seen[a] = ra + K * ((1.0 - s) - (1.0 - expected))
         for ent, elo in seen.items():
             self.ratings.updateValue((ent,), (float(elo),))
-        yield pd.DataFrame({"pool": key[0], "match_id": games["match_id"], "home_elo": [b[0] for b in before],
-                            "away_elo": [b[1] for b in before]})
+        home, away = (pd.Series([b[i] for b in before], dtype="float64") for i in (0, 1))
+        yield pd.DataFrame({"pool": key[0], "match_id": games["match_id"], "home_elo": home, "away_elo": away, "late": games.index < late})
 
     def close(self) -> None:
         pass
@@ -57,26 +80,28 @@ class EloState(StatefulProcessor):
 class LastN(StatefulProcessor):
     """Key: entity. State: the last ``n`` values; a missing value leaves the list untouched."""
 
-    OUT = "ent long, match_id long, venue string, mean double, n int"
+    OUT = "ent long, match_id long, venue string, mean double, n int, late boolean"
 
     def __init__(self, n: int = 5) -> None:
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "items array<double>")
+        self.place = Place(handle)
 
     def handleInputRows(self, key, rows, timerValues):
         games = ordered(rows)
+        late = self.place.late(games)
         items = [float(x) for x in self.last.get()[0]] if self.last.exists() else []
-        means, sizes = [], []
-        for x in games["value"]:
+        means, sizes = [None] * late, [None] * late
+        for x in games["value"].iloc[late:]:
             means.append(sum(items) / len(items) if items else None)
             sizes.append(len(items))
             if x is not None and x == x:
                 items = (items + [float(x)])[-self.n:]
         self.last.update((items,))
         yield pd.DataFrame({"ent": key[0], "match_id": games["match_id"], "venue": games["venue"],
-                            "mean": pd.Series(means, dtype="float64"), "n": pd.Series(sizes, dtype="int32")})
+                            "mean": pd.Series(means, dtype="float64"), "n": pd.Series(sizes, dtype="Int32"), "late": games.index < late})
 
     def close(self) -> None:
         pass
@@ -85,17 +110,19 @@ class LastN(StatefulProcessor):
 class PairCount(StatefulProcessor):
     """Key: unordered pair. State: wins of each side, draws, games. Emits the counts before each meeting."""
 
-    OUT = "lo long, hi long, match_id long, lo_wins long, hi_wins long, draws long, games long"
+    OUT = "lo long, hi long, match_id long, lo_wins long, hi_wins long, draws long, games long, late boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getValueState("counts", "lo_wins long, hi_wins long, draws long, games long")
+        self.place = Place(handle)
 
     def handleInputRows(self, key, rows, timerValues):
         games = ordered(rows)
+        late = self.place.late(games)
         c = [int(v) for v in self.counts.get()] if self.counts.exists() else [0, 0, 0, 0]
-        out = []
-        for mid, home, result in zip(games["match_id"], games["home"], games["result"]):
-            out.append((key[0], key[1], mid, *c))
+        out = [(None,) * 4] * late
+        for home, result in zip(games["home"].iloc[late:], games["result"].iloc[late:]):
+            out.append(tuple(c))
             if result not in ("H", "D", "A"):  # answered, but no meeting yet
                 continue
             if result == "D":
@@ -105,7 +132,8 @@ class PairCount(StatefulProcessor):
                 c[0 if lo_won else 1] += 1
             c[3] += 1
         self.counts.update(tuple(c))
-        yield pd.DataFrame(out, columns=["lo", "hi", "match_id", "lo_wins", "hi_wins", "draws", "games"])
+        counts = pd.DataFrame(out, columns=["lo_wins", "hi_wins", "draws", "games"], dtype="Int64")
+        yield pd.concat([pd.DataFrame({"lo": key[0], "hi": key[1], "match_id": games["match_id"]}), counts], axis=1).assign(late=games.index < late)
 
     def close(self) -> None:
         pass

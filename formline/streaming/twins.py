@@ -83,6 +83,11 @@ def day_start(date: Column) -> Column:
     return F.timestamp_seconds(F.unix_date(date).cast("long") * 86_400)
 
 
+def in_order(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answered rows, rows that came after a later one of their key) of ``elo``, ``last_n`` or ``pair_counts``."""
+    return answers.filter(~F.col("late")), answers.filter("late")
+
+
 def elo(stream: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """``stream``: pool, ts, match_id, home, away, score. ``opening``: pool, ent, elo of a snapshot."""
     return stateful(stream, ["pool"], EloState(), EloState.OUT, initial=opening)
