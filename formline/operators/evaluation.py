@@ -204,6 +204,9 @@ def bootstrap_summary(scores: DataFrame) -> DataFrame:
                             "cohens_d": F.try_divide(F.abs(F.col("mean_a") - F.col("mean_b")), F.col("pooled"))})
 
 
+DRAWS_PER_TASK = 8_000_000  # weights of a bootstrap that one task draws
+
+
 def poisson_limits(most: int = 20) -> list[int]:
     """Of 2 ** 32 equal draws, how many give at most 0, 1, 2, ... for a Poisson law of mean one."""
     share, total, out = math.exp(-1), 0.0, []
@@ -221,15 +224,17 @@ def poisson_cells(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str],
     the row lies, and no row is drawn by the driver. Only classes ``by`` travel: a row is folded into its replicates before the shuffle.
     """
     rows = df.select(F.col(key).cast("string").alias("_key"), *by, *[c.cast("double").alias(f"_{s}") for s, c in sums.items()])
+    # a row makes ``n`` draws, so the rows are spread by their draws and not by their bytes
+    rows = rows.repartition(max(1, -(-df.count() * n // DRAWS_PER_TASK)))
     groups = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(-(-n // 4) - 1))))
     drawn = groups.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_key", F.col("_g").cast("string"))))
 
     def weight(i: int) -> Column:
-        u = F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")
-        w = F.lit(len(poisson_limits()))
-        for m, limit in reversed(list(enumerate(poisson_limits()))):
-            w = F.when(u < limit, m).otherwise(w)
-        return F.struct((F.col("_g") * 4 + i).alias("replicate"), w.alias("_w"))
+        u = F.substring("_h", 8 * i + 1, 8)  # eight hex digits stand in the order of their number
+        w = F.when(u < f"{poisson_limits()[0]:08x}", 0)
+        for m, limit in enumerate(poisson_limits()[1:], 1):
+            w = w.when(u < f"{limit:08x}", m)
+        return F.struct((F.col("_g") * 4 + i).alias("replicate"), w.otherwise(len(poisson_limits())).alias("_w"))
 
     each = drawn.select(*by, *[f"_{s}" for s in sums], F.inline(F.array(*[weight(i) for i in range(4)]))).filter((F.col("_w") > 0) & (F.col("replicate") < n))
     return each.groupBy("replicate", *by).agg(F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(f"_{s}")).alias(s) for s in sums])

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -35,3 +36,17 @@ def test_intervals_cover_the_score_and_follow_the_sample_size(spark):
         width.append(r["accuracy"]["hi"] - r["accuracy"]["lo"])
     assert 1.6 < width[0] / width[1] < 2.4
     assert abs(width[0] - 2 * 1.96 * math.sqrt(0.21 / 400)) < 0.02
+
+
+def test_draws_are_spread_over_tasks_by_their_number(spark):
+    rows = spark.range(50_000).coalesce(1).select("id", (F.col("id") % 3).cast("int").alias("actual"), (F.col("id") % 2).cast("int").alias("pred"))
+    text = ev.poisson_cells(rows, "id", 400, 1, ["actual", "pred"], {"loss": F.lit(1.0)})._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning(3)" in text and "conv(" not in text
+
+
+def test_weights_are_the_numbers_of_the_hex_digits(spark):
+    limits = ev.poisson_limits()
+    got = {r["replicate"]: r["w"] for r in ev.poisson_cells(spark.range(7, 8), "id", 200, 5, [], {"loss": F.lit(1.0)}).collect()}
+    for replicate in range(200):
+        u = int(hashlib.md5(f"5:7:{replicate // 4}".encode()).hexdigest()[replicate % 4 * 8:][:8], 16)
+        assert got.get(replicate, 0) == sum(u >= x for x in limits)
