@@ -5,9 +5,9 @@ bounded sample, and from the same spans as people disguise or mistype them (``di
 or bracketed dots, digits in dotted groups, a phone number without its plus), each in its own surroundings. Plain digits
 that fail the base rules stay outside. The sample is ``sample_rows`` rows expected (chosen by a hash of the text), of
 their windows the ``windows`` with the smallest hash.
-It reads every text in windows of WIDTH characters, one each STRIDE. A window without a digit, ``@``, a bracketed
-``at`` or the word ``dot`` cannot hold any of them, is outside throughout and is not decoded. Globally a character takes
-its tag from the window in which it stands most centrally; runs of a kind are the spans. A tagger's span is added if each
+It learns from windows of WIDTH characters, one each STRIDE: all that hold a digit, ``@``, a bracketed ``at`` or the word ``dot``,
+and one in PLAIN of the others. It reads every text whole, whatever it holds, in even windows of READ characters at most, of which
+neighbours share LAP or more. Globally a character takes its tag from the window in which it stands most centrally; runs of a kind are the spans. A tagger's span is added if each
 of its characters has a marginal of at least ``sure``, it has MIN_ADDED characters, overlaps no base span and is ``sound``:
 its digits keep the rules of its kind (Luhn, parts up to 255, 10 to 15 digits), an address reads as one with its signs put back.
 
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from formline.llm.bilstm_crf import KINDS, Tagger, char_ids, train
 from formline.llm.common import id_text, query, slices, table
 
-WIDTH, STRIDE, MIN_ADDED = 96, 48, 6
+WIDTH, STRIDE, PLAIN, MIN_ADDED = 96, 48, 32, 6
+READ, LAP, ROWS = 240, 48, 256  # characters of a window that is read, those it shares with the next, windows read at once
 WAYS, SURE = 4, 0.5  # disguises shown of each base span; least marginal of an added span's characters
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +38,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]|\bdot\b", re.IGNORECASE)
+BASE = re.compile("[0-9@]")
 DIGITS = re.compile(r"[^0-9]")
 AT_SIGN = re.compile(r" ?[\[({](?:at|@)[\])}] ?| at | @ |@", re.IGNORECASE)
 DOT_SIGN = re.compile(r" ?[\[({](?:dot|\.)[\])}] ?| dot | \. |\.", re.IGNORECASE)
@@ -71,7 +73,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def base_spans(text: str) -> list[Span]:
-    if not TRIGGER.search(text):
+    if not BASE.search(text):
         return []
     spans = [(a, 0, b) for a, b in emails(text)]
     for m in IP.finditer(text):
@@ -130,15 +132,23 @@ def lessons(text: str) -> Iterator[tuple[str, list[Span]]]:
                 yield whole, sorted([*old, (at, kind, at + len(new))])
 
 
+def characters(text: str) -> np.ndarray:
+    return char_ids(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).astype(np.uint8)
+
+
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that TRIGGER is found in, and their character ids."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    hit = np.array([m.start() for m in TRIGGER.finditer(text)], dtype=np.int64)
-    index = np.unique(np.concatenate([hit // STRIDE, np.maximum(hit // STRIDE - 1, 0)]))
-    index = index[(index == 0) | (index * STRIDE + STRIDE < len(code))]  # the last window reaches the end
-    starts = index * STRIDE
-    padded = np.concatenate([code, np.zeros(WIDTH, dtype=np.uint32)])
-    return starts, char_ids(padded[starts[:, None] + np.arange(WIDTH)])
+    """Starts of all windows to learn from, and their character ids."""
+    code = characters(text)
+    starts = np.arange(max(1, -(-len(code) // STRIDE) - 1)) * STRIDE  # the last window reaches the end
+    padded = np.concatenate([code, np.zeros(WIDTH + STRIDE, dtype=np.uint8)])
+    return starts, padded[starts[:, None] + np.arange(WIDTH)]
+
+
+def cut_evenly(length: int) -> tuple[np.ndarray, int]:
+    """Starts and width of the windows in which a text of ``length`` characters is read: all of it, the last one up to its end."""
+    n = max(1, -(-(length - LAP) // (READ - LAP)))
+    width = -(-(length + (n - 1) * LAP) // n)
+    return np.minimum(np.arange(n) * (width - LAP), length - width), width
 
 
 def gold_tags(length: int, spans: list[Span]) -> np.ndarray:
@@ -159,8 +169,12 @@ def fit(docs: DataFrame, sample_rows: int = 8000, windows: int = 4096) -> Tagger
         for batch in slices(batches, 1 << 20):
             found = []
             for text in batch.column("text").to_pylist():
-                for shown, spans in lessons(text) if TRIGGER.search(text) else ():
+                for shown, spans in lessons(text):
                     starts, ids = windows_of(shown)
+                    hit = np.unique([m.start() // STRIDE for m in TRIGGER.finditer(shown)]).astype(np.int64)
+                    learned = np.array([zlib.crc32(row.tobytes()) % PLAIN == 0 for row in ids])
+                    learned[np.intersect1d(np.concatenate([hit, hit - 1]), np.arange(len(ids)))] = True
+                    starts, ids = starts[learned], ids[learned]
                     tags = gold_tags(len(shown), spans)
                     for s, row in zip(starts, ids):
                         mine = tags[s:s + WIDTH].copy()
@@ -169,7 +183,7 @@ def fit(docs: DataFrame, sample_rows: int = 8000, windows: int = 4096) -> Tagger
                             n += 1
                         if n:
                             mine[0] -= 1
-                        found.append(row.astype(np.uint8).tobytes() + mine.astype(np.uint8).tobytes())
+                        found.append(row.tobytes() + mine.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["pair"])
 
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -178,13 +192,14 @@ def fit(docs: DataFrame, sample_rows: int = 8000, windows: int = 4096) -> Tagger
     return train(pairs[:, :WIDTH], pairs[:, WIDTH:])
 
 
-def stitched(starts: np.ndarray, tags: np.ndarray, sure: np.ndarray, length: int) -> list[tuple[Span, float]]:
-    """Spans of one text from its decoded windows, with the least marginal of their characters."""
+def stitched(windows: list[tuple[int, np.ndarray, np.ndarray]], starts: np.ndarray, width: int) -> list[tuple[Span, float]]:
+    """Spans of one text from those of its decoded windows (number, tags, marginals) that hold any, with the least marginal of their characters."""
     spans: list[tuple[Span, float]] = []
     open_: list | None = None  # start, kind, end, least
-    for s, row, prob in zip(starts, tags, sure):
-        low = 0 if s == 0 else s + (WIDTH - STRIDE) // 2
-        high = length if s + WIDTH >= length else s + (WIDTH + STRIDE) // 2
+    for w, row, prob in windows:
+        s = int(starts[w])
+        low = 0 if w == 0 else (s + int(starts[w - 1]) + width) // 2  # the middle of what two windows share
+        high = s + width if w == len(starts) - 1 else (int(starts[w + 1]) + s + width) // 2
         for i in np.flatnonzero(row[low - s:high - s]) + low:
             tag = int(row[i - s])
             kind = (tag - 1) // 2
@@ -200,21 +215,25 @@ def stitched(starts: np.ndarray, tags: np.ndarray, sure: np.ndarray, length: int
 
 
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]], sure: float) -> list[list[Span]]:
-    cut = [windows_of(t) if TRIGGER.search(t) else (np.zeros(0, dtype=int), np.zeros((0, WIDTH), dtype=int)) for t in texts]
-    sizes = [len(s) for s, _ in cut]
+    codes = [characters(t) for t in texts]
+    cuts = [cut_evenly(len(c)) for c in codes]
+    order = sorted(((width, i, w) for i, (starts, width) in enumerate(cuts) if width for w in range(len(starts))))  # windows of like width are read together
+    tagged: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    for at in range(0, len(order), ROWS):
+        some = order[at:at + ROWS]
+        ids = np.zeros((len(some), some[-1][0]), dtype=np.uint8)
+        for row, (width, i, w) in zip(ids, some):
+            start = cuts[i][0][w]
+            row[:width] = codes[i][start:start + width]
+        tags, prob = model.decode(ids)
+        for r in np.flatnonzero(tags.any(axis=1)):
+            width, i, w = some[r]
+            tagged[i].append((w, tags[r, :width], prob[r, :width]))
     out: list[list[Span]] = [[] for _ in texts]
-    if not sum(sizes):
-        return out
-    ids = np.concatenate([x for _, x in cut])
-    decoded = [model.decode(ids[i:i + 1024]) for i in range(0, len(ids), 1024)]
-    tags, prob = np.concatenate([d[0] for d in decoded]), np.concatenate([d[1] for d in decoded])
-    at = 0
-    for i, (text, (starts, _)) in enumerate(zip(texts, cut)):
-        n = len(starts)
-        for (a, kind, b), least in stitched(starts, tags[at:at + n], prob[at:at + n], len(text)):
+    for i, (text, found) in enumerate(zip(texts, tagged)):
+        for (a, kind, b), least in stitched(sorted(found, key=lambda x: x[0]), *cuts[i]):
             if least >= sure and b - a >= MIN_ADDED and sound(text[a:b], kind) and not any(x < b and a < y for x, _, y in base[i]):
                 out[i].append((a, kind, b))
-        at += n
     return out
 
 

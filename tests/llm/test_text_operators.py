@@ -326,3 +326,46 @@ def test_decontamination_counts_unchanged_windows(spark):
     rows = [(1, first), (2, last), (3, question.upper()), (4, question.lower())]
     found = contaminated(spark, [(1, item), (2, question)], rows)
     assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2)} and not found[3, 2] and not found[4, 2]
+
+
+class AtSigns:
+    """Stands in for a tagger: finds ``ann at home.org`` wherever it is shown, and notes how many characters it saw."""
+
+    WORD = "ann at home.org"
+
+    def __init__(self):
+        self.seen = 0
+
+    def decode(self, ids):
+        self.seen += int((ids > 0).sum())
+        word = personal_data.characters(self.WORD)
+        tags, sure = np.zeros(ids.shape, dtype=np.int64), np.ones(ids.shape)
+        for row, tag in zip(ids, tags):
+            for i in range(len(row) - len(word) + 1):
+                if (row[i:i + len(word)] == word).all():
+                    tag[i:i + len(word)] = [1] + [2] * (len(word) - 1)
+        return tags, sure
+
+
+def test_tagger_reads_every_character():
+    """No digit, sign or dot word marks these texts, and a span may stand anywhere, also where windows meet."""
+    for length in (0, 1, 15, 47, 96, 240, 241, 432, 433, 2000, 5001):
+        model, text = AtSigns(), "x" * length
+        assert personal_data.added_spans(model, [text], [[]], 0.5) == [[]] and model.seen >= length
+    for at in range(0, 900):
+        text = "x " * (at // 2) + " " * (at % 2) + AtSigns.WORD + " y" * 300
+        assert personal_data.added_spans(AtSigns(), ["plain words", text], [[], []], 0.5) == [[], [(at, 0, at + len(AtSigns.WORD))]]
+
+
+def test_rows_plainly_outside_are_outside():
+    rng = np.random.default_rng(1)
+    model = bilstm_crf.Tagger.fresh()
+    model.weights["out_b"][0] = 1.5
+    ids = rng.integers(0, 100, size=(300, 40))
+    assert np.allclose(model.read(ids), model.emissions(ids), atol=1e-5)
+    e = model.read(ids)
+    clear = model.plainly_outside(e)
+    assert 0 < clear.sum() and not model.best(e[:, clear])[0].any()
+    tags, sure = model.decode(ids)
+    want = model.best(e)
+    assert (tags == want[0]).all() and np.allclose(sure[~clear], want[1][~clear])
