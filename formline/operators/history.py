@@ -241,26 +241,34 @@ def perf_momentum(long: DataFrame, include_current: bool = False) -> DataFrame:
     ``include_current=True`` keeps the row's own result in the window: the leaking variant, for audits.
     """
     past = with_past(long, ["res"], 11, "row")
-    items = field(F.col("past"), "res")
+    held = field(F.col("past"), "res")
     if include_current:
-        items = F.concat(items, F.array(F.col("res")))
-
-    def mean_at(w: int, back: int) -> Column:
-        stop = F.size(items) - back
-        start = F.greatest(stop - w + 1, F.lit(1))
-        return F.when(stop >= 1, arr_mean(F.slice(items, start, F.greatest(stop - start + 1, F.lit(0)))))
-
-    def mom(w: int, shift: int = 0) -> Column:
-        return F.coalesce(mean_at(w, shift) - mean_at(w, shift + w), F.lit(0.0))
-
-    out = past
-    ok = F.size(items) >= PERF_MIN
+        held = F.concat(held, F.array(F.col("res")))
+
+    def values(items: Column) -> Column:
+        def mean_at(w: int, back: int) -> Column:
+            stop = F.size(items) - back
+            start = F.greatest(stop - w + 1, F.lit(1))
+            return F.when(stop >= 1, arr_mean(F.slice(items, start, F.greatest(stop - start + 1, F.lit(0)))))
+
+        def mom(w: int, shift: int = 0) -> Column:
+            return F.coalesce(mean_at(w, shift) - mean_at(w, shift + w), F.lit(0.0))
+
+        zero = F.lit(0.0)
+        ok = F.lit(True) if include_current else F.size(items) >= PERF_MIN
+        return F.struct(F.when(ok, mom(3)).otherwise(zero).alias("momentum_3"), F.when(ok, mom(5)).otherwise(zero).alias("momentum_5"),
+                        F.when(ok & (F.size(items) >= 2), mom(3) - mom(3, 1)).otherwise(zero).alias("acceleration"))
+
+    names = ["momentum_3", "momentum_5", "acceleration"]
+    # the list is built once a row, and only finished numbers go on
+    out = past.withColumn("_v", F.element_at(F.transform(F.array(held), values), 1)).drop("past")
+    out = out.withColumns({c: F.col("_v")[c] for c in names}).drop("_v")
     if include_current:
-        out = past.join(long.groupBy(ENT).agg(F.count(F.lit(1)).alias("_games")), ENT)
-        ok = F.col("_games") >= PERF_MIN
-    values = {"momentum_3": F.when(ok, mom(3)).otherwise(0.0), "momentum_5": F.when(ok, mom(5)).otherwise(0.0),
-              "acceleration": F.when(ok & (F.size(items) >= 2), mom(3) - mom(3, 1)).otherwise(0.0)}
-    return out.withColumns(values).drop("past", "_games")
+        # only entities of too few games travel to the rows
+        few = long.groupBy(ENT).agg(F.count(F.lit(1)).alias("_games")).filter(F.col("_games") < PERF_MIN)
+        out = out.filter(F.col(ENT).isNotNull()).join(few, ENT, "left")
+        out = out.withColumns({c: F.when(F.col("_games").isNull(), F.col(c)).otherwise(0.0) for c in names}).drop("_games")
+    return out
 
 
 def unshifted_mean(long: DataFrame, col: str, w: int) -> DataFrame:
