@@ -158,30 +158,74 @@ class Carrying(StatefulProcessor):
 
 
 class BothSides(StatefulProcessor):
-    """Key: game. Holds the side that came first until the other one comes, then gives one row with both means."""
+    """Key: bucket of games. Holds the side of a game that came first until the other one comes, then gives one row with both means."""
 
     def __init__(self, kept: list[str]) -> None:
         self.kept = kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "venue string, mean double")
+        self.held = handle.getMapState("held", "match_id long", "venue string, mean double")
 
     def handleInputRows(self, key, rows, timerValues):
         sides = ordered(rows)
-        means = {v: None if m is None or m != m else float(m) for v, m in zip(sides["venue"], sides["mean"])}
-        if len(means) == 2:  # the usual case: both came at once, and no state is touched
-            yield self.both(sides, means)
-            return
-        means |= {r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}
-        if len(means) < 2:
-            self.held.put(list(means.items()))
-            return
-        self.held.clear()
-        yield self.both(sides, means)
+        means = {v: sides[sides["venue"] == v].drop_duplicates("match_id", keep="last").set_index("match_id")["mean"] for v in ("H", "A")}
+        games = sides.drop_duplicates("match_id", ignore_index=True)
+        got = pd.DataFrame({v: games["match_id"].map(m).astype("float64") for v, m in means.items()})
+        came = pd.DataFrame({v: games["match_id"].isin(m.index) for v, m in means.items()})
+        whole = came["H"] & came["A"]  # the usual case: both came at once, and no state is touched
+        for i in games.index[~whole]:
+            game, own = (int(games["match_id"][i]),), "H" if came["H"][i] else "A"
+            if not self.held.containsKey(game):
+                mean = got[own][i]
+                self.held.updateValue(game, (own, None if mean != mean else float(mean)))
+                continue
+            venue, mean = self.held.getValue(game)
+            if venue != own:
+                got.loc[i, venue], whole[i] = float("nan") if mean is None else mean, True
+                self.held.removeKey(game)
+        if whole.any():
+            yield games.loc[whole, self.kept].assign(home_mean=got["H"][whole], away_mean=got["A"][whole]).reset_index(drop=True)
+
+    def close(self) -> None:
+        pass
+
+
+class BucketPairs(StatefulProcessor):
+    """``PairCount`` for a bucket of pairs at once: key, the bucket; state, by pair its counts and the place it has reached."""
+
+    NEW = ["lo_wins", "hi_wins", "draws", "games"]
+
+    def __init__(self, kept: list[str]) -> None:
+        self.kept = kept
 
-    def both(self, sides: pd.DataFrame, means: dict[str, float | None]) -> pd.DataFrame:
-        one = sides[self.kept].iloc[:1].reset_index(drop=True)
-        return one.assign(home_mean=pd.Series([means["H"]], dtype="float64"), away_mean=pd.Series([means["A"]], dtype="float64"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "lo long, hi long", "lo_wins long, hi_wins long, draws long, games long, t long, id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        games = ordered(rows)
+        times, ids = games["ts"].astype("datetime64[ns]").astype("int64").tolist(), games["match_id"].astype("int64").tolist()
+        opened: dict[tuple, tuple | None] = {}  # the place each pair had reached before this batch
+        state: dict[tuple, list] = {}  # counts, then the place reached
+        moved, out = set(), []
+        for lo, hi, home, result, *place in zip(games["lo"].tolist(), games["hi"].tolist(), games["home"].tolist(), games["result"].tolist(), times, ids):
+            pair = (lo, hi)
+            if pair not in opened:
+                held = [int(v) for v in self.counts.getValue(pair)] if self.counts.containsKey(pair) else None
+                opened[pair], state[pair] = (None, [0] * 6) if held is None else (tuple(held[4:]), held)
+            c = state[pair]
+            if opened[pair] is not None and tuple(place) < opened[pair]:  # late
+                out.append((None,) * 4)
+                continue
+            out.append(tuple(c[:4]))
+            c[4:] = place
+            moved.add(pair)
+            if result not in ("H", "D", "A"):  # answered, but no meeting yet
+                continue
+            c[2 if result == "D" else 0 if (result == "H") == (home == lo) else 1] += 1
+            c[3] += 1
+        for pair in moved:
+            self.counts.updateValue(pair, tuple(state[pair]))
+        yield pd.concat([games[self.kept], pd.DataFrame(out, columns=self.NEW, dtype="Int64")], axis=1)
 
     def close(self) -> None:
         pass
