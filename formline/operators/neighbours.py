@@ -1,13 +1,13 @@
 """Exact k nearest neighbours by pivots and triangle inequalities.
 
 Rows with equal vectors are one point. Each point belongs to the cell of its nearest pivot; a cell over ``rows_per_cell`` gets pivots of its own from among its
-points until none is larger, so no dense region makes a large task (up to MAX_PIVOTS, beyond which cells grow with the data). From each cell's radius
-and the k + 1 points nearest to each pivot follows a bound on the distance of the k-th neighbour of anything in a cell. A point is sent to each further cell
-in which it could be within that bound: neither its distance to the pivot less the radius, nor to the plane between the two pivots, exceeds it.
-So every neighbour meets its point, and distances are computed within cells only.
+points until none is larger, so no dense region makes a large task (up to MAX_PIVOTS, beyond which cells grow with the data). The points of a
+cell meet first, so each knows its k-th distance there; the cell's radius and the k + 1 points nearest to each pivot give another bound, and the smaller one counts. Then
+a point asks each further cell in which something could be nearer: neither its distance to the pivot less the radius, nor to the plane between the two pivots, exceeds its bound.
+So every neighbour meets its point, and distances are computed between a cell's points and those who ask it only.
 
 A cell's own points are held, the others pass by in batches; per point the best k + 1 (distance, id) stay. Distances are sums of squared
-differences in the order of the components, so ties are exact and go to the smaller id.
+differences in the order of the components, so ties are exact and go to the smaller id. Cells are dealt to tasks by their number, not by their bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql.window import Window as W
 from formline.session import stored
 
 MAX_PIVOTS, PAIRS = 4096, 1 << 21
-FIELDS = "cell int, guest boolean, point long, x array<double>, ids array<long>"
+CELLS_PER_TASK, PAIRS_PER_TASK = 4, 1 << 27
+BEST = "array<struct<d:double,id:long>>"  # squared distances
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -38,6 +39,11 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def spread(points: DataFrame, pairs: int) -> DataFrame:
+    """The rows in tasks of about PAIRS_PER_TASK distances; small files are no measure of this work."""
+    return points.repartition(max(1, -(-pairs // PAIRS_PER_TASK)))
+
+
 def in_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``points`` (point, x, ids) with their cell and distance to its pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +66,7 @@ def choose_pivots(points: DataFrame, rows_per_cell: int) -> tuple[DataFrame, np.
     first = min(MAX_PIVOTS, max(1, -(-2 * n // rows_per_cell)))
     pivots = np.array([r["x"] for r in points.select("x", mark.alias("h")).orderBy("h", "x").limit(first).collect()])
     while True:
-        placed = stored(in_cells(points, pivots), "cells")
+        placed = stored(in_cells(spread(points, n * len(pivots)), pivots), "cells")
         large = placed.groupBy("cell").count().filter(F.col("count") > rows_per_cell)
         room = MAX_PIVOTS - len(pivots)
         split = large.orderBy(F.desc("count"), "cell").limit(max(1, room // 4)).withColumn("more", F.least(F.ceil(2 * F.col("count") / rows_per_cell), F.lit(room)))
@@ -88,8 +94,8 @@ def reach_of_cells(placed: DataFrame, pivots: np.ndarray, k: int) -> tuple[np.nd
     return radius, bound
 
 
-def dealt(placed: DataFrame, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> DataFrame:
-    """Each point for its own cell, and as a guest for every cell where it may be a neighbour."""
+def asking(inside: DataFrame, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> DataFrame:
+    """(cell, at, x): each point for every further cell in which it may have a neighbour."""
     between = np.sqrt(squared(pivots, pivots)) if len(pivots) <= 2048 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +109,14 @@ def dealt(placed: DataFrame, pivots: np.ndarray, radius: np.ndarray, bound: np.n
                 own = d2[np.arange(len(cell)), cell]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.nan_to_num((d2 - own[:, None]) / (2 * gap), nan=0.0, posinf=0.0)
-                slack = bound * (1 + 1e-9) + 1e-12
+                slack = np.minimum(np.sqrt(some.column("reach").to_numpy()), bound[cell])[:, None] * (1 + 1e-9) + 1e-12
                 may = (np.sqrt(d2) - radius <= slack) & (plane <= slack) & (radius >= 0)
-                may[np.arange(len(cell)), cell] = True
+                may[np.arange(len(cell)), cell] = False
                 row, to = np.nonzero(may)
                 out = some.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(to != cell[row]), out.column("point"), out.column("x"), out.column("ids")],
-                                                 names=["cell", "guest", "point", "x", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), out.column("at"), out.column("x")], names=["cell", "at", "x"])
 
-    return placed.mapInArrow(run, FIELDS)
+    return inside.mapInArrow(run, "cell int, at long, x array<double>")
 
 
 def best_of(d: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,72 +136,114 @@ def best_of(d: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.n
     return out_d, out_i
 
 
+def _lists(d: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """(d, id) by row, nearest first, without the empty places."""
+    used = d < np.inf
+    ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(d[used]), pa.array(ids[used])], names=["d", "id"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
 class Cell:
-    """One cell's own points with their best neighbours so far."""
+    """One cell's own points."""
 
     def __init__(self, key: int, keep: int) -> None:
-        self.key, self.keep, self.own, self.x = key, keep, [], None
+        self.key, self.keep, self.own, self.rows = key, keep, [], None
 
     def add(self, rows: pa.RecordBatch) -> None:
-        if rows.num_rows:
-            self.own.append(rows)
+        self.own.append(rows)
 
     def close(self) -> None:
-        """All own points are here: compare them with each other."""
-        if self.x is None:
-            held = pa.Table.from_batches(self.own).combine_chunks()
-            self.points, self.x = held["point"].to_numpy(), _matrix(held["x"].combine_chunks())
-            self.d, self.ids = np.full((len(self.x), self.keep), np.inf), np.full((len(self.x), self.keep), np.iinfo(np.int64).max)
-            for part in self.own:
-                self.compare(part)
-
-    def compare(self, rows: pa.RecordBatch) -> None:
-        x, ids = _matrix(rows.column("x")), rows.column("ids")
-        count, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
-        step = max(1, PAIRS // max(1, len(flat)))
-        for at in range(0, len(self.x), step):
-            d = np.repeat(squared(self.x[at:at + step], x), count, axis=1)
-            both = np.concatenate([self.d[at:at + step], d], axis=1)
-            names = np.concatenate([self.ids[at:at + step], np.broadcast_to(flat, d.shape)], axis=1)
-            self.d[at:at + step], self.ids[at:at + step] = best_of(both, names, self.keep)
-
-    def result(self) -> pa.RecordBatch:
+        if self.rows is None:
+            self.rows = pa.Table.from_batches(self.own).combine_chunks().to_batches()[0]
+            ids = self.rows.column("ids")
+            self.x, self.flat = _matrix(self.rows.column("x")), ids.flatten().to_numpy()
+            self.count = np.diff(ids.offsets.to_numpy())
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best squared distances and ids among the own points, by row of ``x``."""
         self.close()
-        nn = [[{"d": float(np.sqrt(a)), "id": int(b)} for a, b in zip(d, i) if a < np.inf] for d, i in zip(self.d, self.ids)]
-        return pa.RecordBatch.from_arrays([pa.array(self.points), pa.array(nn, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], names=["point", "nn"])
+        out_d, out_i = np.full((len(x), self.keep), np.inf), np.full((len(x), self.keep), np.iinfo(np.int64).max)
+        wide = max(self.keep, PAIRS // 256)  # a very large cell is passed in parts, and so are those who ask
+        ends = np.concatenate([[0], np.cumsum(self.count)])
+        for a in range(0, len(self.x), wide):
+            b = min(a + wide, len(self.x))
+            flat, count = self.flat[ends[a]:ends[b]], self.count[a:b]
+            step = max(1, PAIRS // max(1, len(flat)))
+            for at in range(0, len(x), step):
+                d = squared(x[at:at + step], self.x[a:b])
+                if (count != 1).any():
+                    d = np.repeat(d, count, axis=1)
+                d, ids = best_of(d, flat, self.keep)
+                both = np.concatenate([out_d[at:at + step], d], axis=1), np.concatenate([out_i[at:at + step], ids], axis=1)
+                out_d[at:at + step], out_i[at:at + step] = best_of(*both, self.keep)
+        return out_d, out_i
+
+
+def _met_inside(keep: int):
+    """Rows in the order of cells -> each point with its best in its own cell."""
+    def result(cell: Cell) -> pa.RecordBatch:
+        d, ids = cell.nearest(_matrix(pa.concat_arrays([r.column("x") for r in cell.own])))
+        cols = [cell.rows.column(c) for c in ("point", "x", "ids", "cell")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(d[:, -1]), _lists(d, ids)], names=["point", "x", "ids", "cell", "reach", "best"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: Cell | None = None
+        for batch in batches:
+            keys = batch.column("cell").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else []
+            for a, b in zip(cut, [*cut[1:], len(keys)]):
+                if cell is None or cell.key != keys[a]:
+                    if cell is not None:
+                        yield result(cell)
+                    cell = Cell(int(keys[a]), keep)
+                cell.add(batch.slice(a, b - a))
+        if cell is not None:
+            yield result(cell)
+
+    return run
 
-def exact_neighbours(rows: DataFrame, k: int, rows_per_cell: int = 20_000) -> DataFrame:
-    """(id, nn): the ``k`` nearest other rows of each of ``rows`` (id long and unique, x array<double> of one length, no nulls) as (d, id), nearest first."""
-    first = F.row_number().over(W.partitionBy("x").orderBy("id"))
-    members = rows.select("id", "x").withColumn("_rn", first).filter(F.col("_rn") <= k + 1)
-    points = members.groupBy("x").agg(F.min("id").alias("point"), F.array_sort(F.collect_list("id")).alias("ids")).select("point", "x", "ids")
-    points = stored(points, "points")
-    if points.isEmpty():
-        return rows.select("id", F.array().cast("array<struct<d:double,id:bigint>>").alias("nn")).limit(0)
-    placed, pivots = choose_pivots(points, rows_per_cell)
-    radius, bound = reach_of_cells(placed, pivots, k)
-    sent = dealt(placed, pivots, radius, bound)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met_outside(keep: int):
+    """Rows in the order of (cell, guest) -> each guest with its best in that cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: Cell | None = None
         for batch in batches:
             keys, guest = batch.column("cell").to_numpy(), batch.column("guest").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0) | (guest[1:] != guest[:-1])])) if len(keys) else []
             for a, b in zip(cut, [*cut[1:], len(keys)]):
                 if cell is None or cell.key != keys[a]:
-                    if cell is not None:
-                        yield cell.result()
-                    cell = Cell(int(keys[a]), k + 1)
+                    cell = Cell(int(keys[a]), keep)
+                rows = batch.slice(a, b - a)
                 if guest[a]:
-                    cell.close()
-                    cell.compare(batch.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([rows.column("at"), _lists(*cell.nearest(_matrix(rows.column("x"))))], names=["at", "best"])
                 else:
-                    cell.add(batch.slice(a, b - a))
-        if cell is not None:
-            yield cell.result()
+                    cell.add(rows)
+
+    return run
 
-    found = sent.repartition("cell").sortWithinPartitions("cell", "guest").mapInArrow(join, "point long, nn array<struct<d:double,id:bigint>>")
+
+def exact_neighbours(rows: DataFrame, k: int, rows_per_cell: int = 2_000) -> DataFrame:
+    """(id, nn): the ``k`` nearest other rows of each of ``rows`` (id long and unique, x array<double> of one length, no nulls) as (d, id), nearest first."""
+    first = F.row_number().over(W.partitionBy("x").orderBy("id"))
+    members = rows.select("id", "x").withColumn("_rn", first).filter(F.col("_rn") <= k + 1)
+    points = members.groupBy("x").agg(F.min("id").alias("point"), F.array_sort(F.collect_list("id")).alias("ids")).select("point", "x", "ids")
+    points = stored(points, "points")
+    if points.isEmpty():
+        return rows.select("id", F.array().cast("array<struct<d:double,id:bigint>>").alias("nn")).limit(0)
+    placed, pivots = choose_pivots(points, rows_per_cell)
+    radius, bound = reach_of_cells(placed, pivots, k)
+    tasks = -(-len(pivots) // CELLS_PER_TASK)
+    cells = placed.select("cell", "point", "x", "ids").repartition(tasks, "cell").sortWithinPartitions("cell")
+    inside = cells.mapInArrow(_met_inside(k + 1), f"point long, x array<double>, ids array<long>, cell int, reach double, best {BEST}")
+    inside = stored(inside.withColumn("at", F.monotonically_increasing_id()), "inside")
+    asked = asking(spread(inside.select("at", "x", "cell", "reach"), inside.count() * len(pivots)), pivots, radius, bound)
+    both = inside.select("cell", F.lit(False).alias("guest"), F.lit(None).cast("long").alias("at"), "x", "ids").unionByName(
+        asked.withColumns({"guest": F.lit(True), "ids": F.array().cast("array<long>")}))
+    outside = both.repartition(tasks, "cell").sortWithinPartitions("cell", "guest").mapInArrow(_met_outside(k + 1), f"at long, best {BEST}")
+    each = inside.select("at", "point", "best").unionByName(outside, allowMissingColumns=True)
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1)
+    found = each.groupBy("at").agg(F.max("point").alias("point"), F.transform(best, lambda c: F.struct(F.sqrt(c["d"]).alias("d"), c["id"].alias("id"))).alias("nn"))
     by_x = found.join(points.select("point", "x"), "point").select("x", "nn")
     # the list holds one more than wanted, as a row is its own nearest
     return rows.select("id", "x").join(by_x, "x").select("id", F.slice(F.filter("nn", lambda c: c["id"] != F.col("id")), 1, k).alias("nn"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -38,3 +40,18 @@ def test_few_rows_and_none(spark):
     got = {r["id"]: [(c["d"], c["id"]) for c in r["nn"]] for r in nb.exact_neighbours(df, 5).collect()}
     assert got == {1: [(0.0, 2), (4.0, 3)], 2: [(0.0, 1), (4.0, 3)], 3: [(4.0, 1), (4.0, 2)]}
     assert nb.exact_neighbours(df.limit(0), 5).collect() == []
+
+
+def test_cells_are_dealt_by_their_number_and_points_ask_few_of_them(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(4_000, 3)))], "id long, x array<double>")
+    near = nb.exact_neighbours(rows, 5, 100)
+    plan = near._jdf.queryExecution().toString()
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\(cell#\d+, (\d+)\)", plan)}
+    assert tasks and min(tasks) >= 4_000 / 100 / nb.CELLS_PER_TASK  # 4,000 points are few bytes, but not one task
+    points = spark.createDataFrame([(i, [float(c) for c in v], [i]) for i, v in enumerate(rng.normal(size=(4_000, 3)))], "point long, x array<double>, ids array<long>")
+    placed, pivots = nb.choose_pivots(points, 100)
+    radius, bound = nb.reach_of_cells(placed, pivots, 5)
+    reach = [(r["point"], r["x"], r["cell"], 0.01) for r in placed.select("point", "x", "cell").collect()]
+    asked = nb.asking(spark.createDataFrame(reach, "at long, x array<double>, cell int, reach double"), pivots, radius, bound)
+    assert 0 < asked.count() < 4 * len(reach)  # a point's own bound counts, not its cell's
