@@ -2,7 +2,8 @@
 
 A rating chain is sequential inside a pool. Games stream through Arrow batches in (t, id) order and the only thing kept is one
 rating per entity, so a pool of any size needs bounded memory. Inside a batch, games are cut into runs in which no entity plays
-twice: games of a run do not depend on each other and are rated as one numpy step.
+twice: games of a run do not depend on each other and are rated as one numpy step. Where runs hold fewer than SHORT_RUN games on
+average (pools of few entities), a numpy step costs more than its games and they are rated one by one.
 
 A pool with more than ``rows_per_task`` games is cut into blocks of time. A block takes the ratings its forerunner closed with from
 a written table and hands its own on, so every game is replayed once, and a lost executor costs the block at hand, not the chain.
@@ -32,6 +33,7 @@ DIFF_SHIFT, DIFF_SPAN = 800.0, 1600.0
 UP, DOWN, DECAY = 0.1, -0.05, -0.02
 COUNTER_START = 0.5
 ROWS_PER_TASK = 5_000_000
+SHORT_RUN = 32  # games a run must hold on average to be worth a numpy step
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,8 @@ class _Pool:
         h, a = np.searchsorted(self.ids, home), np.searchsorted(self.ids, away)
         before = np.empty(len(h)), np.empty(len(h))
         cuts = _runs(h, a)
+        if len(h) < SHORT_RUN * (len(cuts) - 1):
+            return self._one_by_one(h, a, score, totals)
         for start, end in zip(cuts, cuts[1:]):
             sides = h[start:end], a[start:end]
             if rule.count_mode == "total":
@@ -98,6 +102,31 @@ class _Pool:
                 self.games[x[done]] += 1
         return before
 
+    def _one_by_one(self, h: np.ndarray, a: np.ndarray, score: np.ndarray, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``play`` without numpy steps; ``h`` and ``a`` are places in ``ids``."""
+        rule, looks_ahead = self.rule, self.rule.count_mode == "total"
+        used, at = np.unique(np.concatenate([h, a]), return_inverse=True)
+        elo, games = self.elo[used].tolist(), self.games[used].tolist()
+        init_new, k_new = (rule.init, rule.k) if rule.k_new is None else (rule.init_new, rule.k_new)
+        before_h, before_a = [], []
+        for x, y, s, th, ta in zip(at[:len(h)].tolist(), at[len(h):].tolist(), score.tolist(), *(t.tolist() for t in totals)):
+            new_h, new_a = (th if looks_ahead else games[x]) < rule.new_below, (ta if looks_ahead else games[y]) < rule.new_below
+            rh, ra = elo[x], elo[y]
+            if rh != rh:
+                rh = init_new if new_h else rule.init
+            if ra != ra:
+                ra = init_new if new_a else rule.init
+            before_h.append(rh)
+            before_a.append(ra)
+            if s == s:
+                expected = 1.0 / (1.0 + 10.0 ** min((ra - rh) / SCALE, 308.0))
+                elo[x] = rh + (k_new if new_h else rule.k) * (s - expected)
+                elo[y] = ra + (k_new if new_a else rule.k) * ((1.0 - s) - (1.0 - expected))
+                games[x] += 1
+                games[y] += 1
+        self.elo[used], self.games[used] = elo, games
+        return np.array(before_h, np.float64), np.array(before_a, np.float64)
+
     def close(self, pool: int | None) -> pa.RecordBatch:
         known = ~np.isnan(self.elo)
         n, ids = int(known.sum()), self.ids[known]

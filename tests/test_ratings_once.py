@@ -86,3 +86,23 @@ def test_entity_of_two_pools_is_rated_in_each(spark):
     assert {(r.pool, r.ent): r.elo for r in e.elo_final(df).collect()} == {(1, 1): 1516.0, (1, 2): 1484.0, (2, 1): 1484.0, (2, 3): 1516.0}
     empty = df.limit(0)
     assert e.elo_history(empty).count() == 0 and e.elo_final(empty).count() == 0
+
+
+def test_short_runs_are_rated_one_by_one_with_the_same_numbers(monkeypatch):
+    rng = np.random.default_rng(5)
+    for rule in (e.EloRule(), e.EloRule(k_new=50.0, new_below=40), e.EloRule(k_new=50.0, new_below=500, count_mode="total")):
+        batches = [(rng.integers(0, 20, 3_000), rng.integers(0, 20, 3_000), rng.choice([0.0, 0.5, 1.0, np.nan], 3_000), (rng.integers(0, 1000, 3_000), rng.integers(0, 1000, 3_000))) for _ in range(3)]
+        seen = []
+        for short in (0, e.SHORT_RUN):
+            called = []
+            monkeypatch.setattr(e, "SHORT_RUN", short)
+            one = e._Pool._one_by_one
+            monkeypatch.setattr(e._Pool, "_one_by_one", lambda self, *a, one=one, called=called: called.append(1) or one(self, *a))
+            pool = e._Pool(rule)
+            out = [pool.play(*b) for b in batches]
+            monkeypatch.undo()
+            seen.append((out, pool.elo, pool.games))
+            assert len(called) == (3 if short else 0)
+        for (h, a), (x, y) in zip(seen[0][0], seen[1][0]):
+            assert np.allclose(h, x, rtol=0, atol=1e-9) and np.allclose(a, y, rtol=0, atol=1e-9)
+        assert np.array_equal(seen[0][2], seen[1][2])
