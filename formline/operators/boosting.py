@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from formline.session import stored
 
+FLAT_LEVELS = 4  # deeper trees are walked row by row
 
 @dataclass
 class Tree:
@@ -31,12 +32,45 @@ class Tree:
     value: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The node of each row of ``bins``; fastest when a feature's bins lie side by side (order F)."""
+        return self._look_up(bins, np.arange(len(self.feature)))
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        return self._look_up(bins, self.value)
+
+    def _look_up(self, bins: np.ndarray, of: np.ndarray) -> np.ndarray:
+        levels = len(self.feature).bit_length() - 1
+        if levels > FLAT_LEVELS:
+            return of[self._walked(bins, levels)]
+        # every node is asked for all rows: few whole columns cost less than one look-up a row and level
+        path, here = np.zeros(len(bins), dtype=np.uint8), {0: np.ones(len(bins), dtype=bool)}
+        for level in range(levels):
+            bit = np.zeros(len(bins), dtype=bool)
+            for node in range((1 << level) - 1, (2 << level) - 1):
+                if self.feature[node] < 0:
+                    here[2 * node + 1], here[2 * node + 2] = here[node], np.zeros(len(bins), dtype=bool)
+                    continue
+                right = (bins[:, self.feature[node]] > self.cut[node]) & here[node]
+                bit |= right
+                here[2 * node + 1], here[2 * node + 2] = here[node] & ~right, right
+            path = (path << 1) | bit
+        return of[self._ends(levels)].take(path.astype(np.intp), mode="clip")
+
+    def _ends(self, levels: int) -> np.ndarray:
+        """By path from the root (a bit a level, 1 is right): the node where it stops; a leaf passes its rows on to the left."""
+        out = np.zeros(1 << levels, dtype=np.int64)
+        for path in range(1 << levels):
+            for level in range(levels - 1, -1, -1):
+                if self.feature[out[path]] >= 0:
+                    out[path] = 2 * out[path] + 1 + (path >> level & 1)
+        return out
+
+    def _walked(self, bins: np.ndarray, levels: int) -> np.ndarray:
         at = np.zeros(len(bins), dtype=np.int64)
-        for _ in range(int(np.log2(len(self.feature) + 1))):
+        for _ in range(levels):
             f = self.feature[at]
-            go = f >= 0
             left = bins[np.arange(len(bins)), np.maximum(f, 0)] <= self.cut[at]
-            at = np.where(go, 2 * at + np.where(left, 1, 2), at)
+            at = np.where(f >= 0, 2 * at + np.where(left, 1, 2), at)
         return at
 
 
@@ -49,10 +83,10 @@ class Boosted:
     losses: list[float] = field(default_factory=list)
 
     def margins(self, bins: np.ndarray, start: int = 0) -> np.ndarray:
-        out = np.zeros((len(bins), self.classes))
+        out = np.zeros((len(bins), self.classes), order="F")
         for trees in self.rounds[start:]:
             for k, t in enumerate(trees):
-                out[:, k] += t.value[t.leaves(bins)]
+                out[:, k] += t.values(bins)
         return out
 
 
@@ -83,6 +117,11 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(kind)
 
 
+def _bins(column: pa.Array, model: Boosted) -> np.ndarray:
+    """Bins by row, in the smallest numbers that hold them, a feature's side by side."""
+    return np.asfortranarray(_matrix(column, np.min_scalar_type(max(len(e) for e in model.edges.values()) + 1)))
+
+
 def _level(rows: DataFrame, model: Boosted, done: int, growing: list[Tree], depth: int) -> tuple[np.ndarray, float]:
     """Sums of gradient and hessian by (class, node of the level, feature, bin), and the log loss before this round, from one pass."""
     first, nodes = (1 << depth) - 1, 1 << depth
@@ -95,16 +134,19 @@ def _level(rows: DataFrame, model: Boosted, done: int, growing: list[Tree], dept
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, y = _matrix(batch.column("_bins"), np.int64), batch.column("y").to_numpy()
+            bins, y = _bins(batch.column("_bins"), model), batch.column("y").to_numpy()
             p = softmax(_matrix(batch.column("_m"), np.float64) + model.margins(bins, done))
             loss -= float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-15)).sum())
             for k in range(classes):
                 at = growing[k].leaves(bins) - first
                 here = at >= 0  # rows in an earlier leaf have settled
                 g, h = (p[:, k] - (y == k))[here], (p[:, k] * (1 - p[:, k]))[here]
-                cell = ((k * nodes + at[here, None]) * features + np.arange(features)) * width + bins[here]
-                for i, v in enumerate((g, h)):
-                    sums[i] += np.bincount(cell.ravel(), weights=np.repeat(v, features), minlength=sums.shape[1])
+                node, size, first_cell = at[here] * width, nodes * width, k * nodes * features * width
+                part = sums[:, first_cell:first_cell + nodes * features * width].reshape(2, nodes, features, width)
+                for f in range(features):
+                    cell = node + bins[here, f]
+                    for i, v in enumerate((g, h)):
+                        part[i, :, f] += np.bincount(cell, weights=v, minlength=size).reshape(nodes, width)
         used = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(sums[0, used], loss)), pa.array(np.append(sums[1, used], 0.0))], names=["cell", "g", "h"])
 
@@ -170,7 +212,7 @@ def _with_margins(rows: DataFrame, model: Boosted, done: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = _matrix(batch.column("_m"), np.float64) + model.margins(_matrix(batch.column("_bins"), np.int64), done)
+                m = _matrix(batch.column("_m"), np.float64) + model.margins(_bins(batch.column("_bins"), model), done)
                 yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("_bins"), pa.array(list(m), pa.list_(pa.float64()))], names=["y", "_bins", "_m"])
 
     return rows.mapInArrow(add, "y int, _bins array<int>, _m array<double>")
@@ -184,7 +226,7 @@ def predict_boosted(model: Boosted, df: DataFrame) -> DataFrame:
     def probabilities(b: pa.Array) -> pa.Array:
         if not len(b):
             return pa.array([], pa.list_(pa.float64()))
-        return pa.array(list(softmax(model.margins(_matrix(b, np.int64)))), pa.list_(pa.float64()))
+        return pa.array(list(softmax(model.margins(_bins(b, model)))), pa.list_(pa.float64()))
 
     out = df.withColumn("_p", probabilities(bins))
     named = {c: F.col("_p")[i] for i, c in enumerate(("p_h", "p_d", "p_a"))}

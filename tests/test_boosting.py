@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,36 @@ def test_quantile_edges_and_odd_rows(spark, data):
     assert all(len([r for r in bo.leaf_rows(flat, 0) if r[0] == k]) == 1 for k in range(3))
     with pytest.raises(ValueError):
         bo.boost(df.limit(0), ["a"], "y")
+
+
+def test_short_and_deep_trees_find_the_nodes_of_a_walk():
+    rng = np.random.default_rng(11)
+    bins = np.asfortranarray(rng.integers(0, 40, size=(300, 3)).astype(np.uint8))
+    for depth in (0, 1, 3, 4, 6):
+        size = (2 << depth) - 1
+        for _ in range(20):
+            feature = np.where(np.arange(size) < size // 2, rng.integers(-1, 3, size), -1)
+            tree = bo.Tree(feature, rng.integers(0, 40, size), rng.normal(size=size))
+            for row, at, value in zip(bins, tree.leaves(bins), tree.values(bins)):
+                node = 0
+                while tree.feature[node] >= 0:
+                    node = 2 * node + (1 if row[tree.feature[node]] <= tree.cut[node] else 2)
+                assert (node, tree.value[node]) == (at, value)
+
+
+def test_margins_of_many_rounds_are_cheap():
+    """A level reads the margins of up to ``keep`` finished rounds; a look-up of every row at every node took 60 us a tree and thousand rows."""
+    rng = np.random.default_rng(12)
+    bins = np.asfortranarray(rng.integers(0, 33, size=(20_000, 4)).astype(np.uint8))
+    feature = np.array([0, 1, 2, 3, 0, 1, 2] + [-1] * 8)
+    trees = [[bo.Tree(feature, np.full(15, 16), rng.normal(size=15)) for _ in range(3)] for _ in range(20)]
+    model = bo.Boosted(["a"] * 4, {"a": [0.0] * 32}, 3, rounds=trees)
+    start = time.process_time()
+    flat = model.margins(bins)
+    fast = time.process_time() - start
+    start = time.process_time()
+    slow = np.zeros((len(bins), 3))
+    for round_ in trees:
+        for k, t in enumerate(round_):
+            slow[:, k] += t.value[t._walked(bins, 3)]
+    assert np.array_equal(flat, slow) and fast < time.process_time() - start
