@@ -100,7 +100,8 @@ def grid_search(df: DataFrame, grid: Sequence[ForestParams], label: str, n: int
 
 def with_folds(df: DataFrame, features: Sequence[str], label: str, n: int) -> DataFrame:
     keep = ["match_id", "match_date", label, *features]
-    return stored(time_series_folds(df.select(*keep), n), "folds")
+    # the borders of the folds take several passes, and none may compute the features again
+    return stored(time_series_folds(stored(df.select(*keep), "fold-rows"), n), "folds")
 
 
 def out_of_fold(df: DataFrame, estimator, n: int) -> DataFrame:
