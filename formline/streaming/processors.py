@@ -9,7 +9,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from formline.operators.ratings import INIT, K, SCALE
@@ -233,25 +236,38 @@ class BucketPairs(StatefulProcessor):
 
 class DayBarrier(StatefulProcessor):
     """Key: entity. Rows wait until the watermark passes the end of their day; the whole day is then
-    answered from the state before it, and only afterwards folded into the state."""
+    answered from the state before it, and only afterwards folded into the state.
+
+    Waiting rows are kept as Arrow blocks of up to ``BLOCK`` rows, so a row costs no call of the state store of its own."""
 
     OUT = "ent long, match_id long, venue string, games long, points long"
     DAY_MS = 86_400_000
+    BLOCK = 100_000
+    ROW = pa.schema([("day", pa.int64()), ("match_id", pa.int64()), ("venue", pa.string()), ("points", pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "day long, match_id long, venue string, points long")
+        self.waiting = handle.getListState("waiting", "block binary")
         self.total = handle.getValueState("total", "games long, points long")
 
+    def blocks(self, rows: pa.Table) -> list[tuple[bytes]]:
+        out = []
+        for at in range(0, rows.num_rows, self.BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.ROW) as writer:
+                writer.write_table(rows.slice(at, self.BLOCK))
+            out.append((sink.getvalue().to_pybytes(),))
+        return out
+
     def handleInputRows(self, key, rows, timerValues):
-        batch = ordered(rows)
+        batch = pd.concat(list(rows), ignore_index=True)
         batch = batch[batch["match_id"].notna()]  # the end of the log only moves the watermark
         if batch.empty:
             return iter([])
-        days = batch["day"].astype(int)
-        self.waiting.appendList([(int(d), int(m), v, int(p)) for d, m, v, p in zip(days, batch["match_id"], batch["venue"], batch["points"])])
+        named = batch[self.ROW.names].astype({"day": "int64", "match_id": "int64", "points": "int64"})
+        self.waiting.appendList(self.blocks(pa.Table.from_pandas(named, self.ROW, preserve_index=False)))
         # One timer for the earliest open day is enough: its firing arms the next one.
-        self.handle.registerTimer((int(days.min()) + 1) * self.DAY_MS)
+        self.handle.registerTimer((int(named["day"].min()) + 1) * self.DAY_MS)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -259,27 +275,24 @@ class DayBarrier(StatefulProcessor):
         if not self.waiting.exists():
             return
         end = timerValues.getCurrentWatermarkInMs() // self.DAY_MS
-        rows = [tuple(r) for r in self.waiting.get()]
-        open_days = [r[0] for r in rows if r[0] >= end]
-        if open_days:
-            self.handle.registerTimer((min(open_days) + 1) * self.DAY_MS)
-        if len(open_days) == len(rows):
+        rows = pa.concat_tables(pa.ipc.open_stream(bytes(r[0])).read_all() for r in self.waiting.get())
+        is_open = pc.greater_equal(rows["day"], end)
+        rest, done = rows.filter(is_open), rows.filter(pc.invert(is_open))
+        if rest.num_rows:
+            self.handle.registerTimer((pc.min(rest["day"]).as_py() + 1) * self.DAY_MS)
+        if not done.num_rows:
             return
         games, points = (int(v) for v in self.total.get()) if self.total.exists() else (0, 0)
-        out, rest, day, held = [], [], None, (games, points)
-        for r in sorted(rows):
-            if r[0] >= end:
-                rest.append(r)
-                continue
-            if r[0] != day:
-                day, held = r[0], (games, points)
-            out.append((key[0], r[1], r[2], *held))
-            games, points = games + 1, points + r[3]
+        done = done.sort_by([("day", "ascending"), ("match_id", "ascending"), ("venue", "ascending")])
+        first = np.unique(done["day"].to_numpy(), return_index=True)[1]
+        each = np.diff([*first, done.num_rows])
+        won = np.add.reduceat(done["points"].to_numpy(), first)
+        before = [np.repeat(held + np.cumsum(n) - n, each) for held, n in ((games, each), (points, won))]
         self.waiting.clear()
-        if rest:
-            self.waiting.appendList(rest)
-        self.total.update((games, points))
-        yield pd.DataFrame(out, columns=["ent", "match_id", "venue", "games", "points"])
+        if rest.num_rows:
+            self.waiting.appendList(self.blocks(rest))
+        self.total.update((games + int(each.sum()), points + int(won.sum())))
+        yield pd.DataFrame({"ent": key[0], "match_id": done["match_id"].to_numpy(), "venue": done["venue"].to_pandas(), "games": before[0], "points": before[1]})
 
     def close(self) -> None:
         pass
