@@ -56,11 +56,15 @@ def running_counts(counts: DataFrame, value: str, sums: Sequence[str], keys: Seq
     """
     buckets = buckets_for(counts.count(), small)
     cut = with_bucket(counts, value, cut_points(counts, value, buckets), buckets)
-    totals = cut.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
     inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.join(offsets, [*keys, "_b"])
+    if buckets == 1 and not keys:
+        # nothing stands before the only bucket, and a join on its constant number would be a cross join
+        out = cut.withColumns({f"_o_{s}": F.lit(0) for s in sums})
+    else:
+        totals = cut.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
+        before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+        out = cut.join(offsets, [*keys, "_b"])
     return out.withColumns({
         f"{s}_before": F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums
     }).drop("_b", *[f"_o_{s}" for s in sums])
