@@ -91,7 +91,7 @@ def test_short_and_deep_trees_find_the_nodes_of_a_walk():
 
 
 def test_margins_of_many_rounds_are_cheap():
-    """A level reads the margins of up to ``keep`` finished rounds; a look-up of every row at every node took 60 us a tree and thousand rows."""
+    """A level reads the margins of up to ``keep`` finished rounds; walking rows one look-up after another took 137 us a tree of depth 3 and thousand rows, whole columns 49."""
     rng = np.random.default_rng(12)
     bins = np.asfortranarray(rng.integers(0, 33, size=(20_000, 4)).astype(np.uint8))
     feature = np.array([0, 1, 2, 3, 0, 1, 2] + [-1] * 8)
