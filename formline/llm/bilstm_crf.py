@@ -1,14 +1,18 @@
-"""A character tagger in numpy: bidirectional LSTM with CRF transitions, trained by Adam on fixed windows."""
+"""A character tagger: bidirectional LSTM with CRF transitions, trained in numpy by Adam on fixed windows; it reads through a graph of onnxruntime."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
+from formline.llm import onnx_graph as onnx
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 VOCAB = 100
+BLOCK = 512  # rows read at once
 
 
 def char_ids(code: np.ndarray) -> np.ndarray:
@@ -126,49 +130,64 @@ class Tagger:
         top = a[-1].max(axis=1)
         return a, b, top + np.log(np.exp(a[-1] - top[:, None]).sum(axis=1))
 
-    def read(self, ids: np.ndarray) -> np.ndarray:
-        """``emissions`` for reading only: gates of all rows in one array a step, the products of characters and weights looked up."""
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """``emissions`` for reading only, as one compiled graph: both sides step together, products of characters and weights are looked up."""
         w, hidden = self.weights, self.weights["hl"].shape[0]
-        by_step, n = np.ascontiguousarray(ids.T), len(ids)
-        half = np.concatenate([np.full(3 * hidden, 0.5), np.ones(hidden)]).astype(np.float32)[:, None]  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        e = np.empty((len(by_step), TAGS, n), dtype=np.float32)
-        for side, out in (("l", w["out"][:hidden]), ("r", w["out"][hidden:])):
-            seen = np.ascontiguousarray((w["emb"] @ w["x" + side] + w["b" + side]).T * half)
-            wh, out = np.ascontiguousarray(w["h" + side].T * half), np.ascontiguousarray(out.T)
-            h, c, some = (np.zeros((hidden, n), dtype=np.float32) for _ in range(3))
-            a, x = np.empty((4 * hidden, n), dtype=np.float32), np.empty((4 * hidden, n), dtype=np.float32)
-            i, f, o, g, gates = a[:hidden], a[hidden:2 * hidden], a[2 * hidden:3 * hidden], a[3 * hidden:], a[:3 * hidden]
-            for t in range(len(by_step))[::1 if side == "l" else -1]:
-                np.matmul(wh, h, out=a)
-                np.take(seen, by_step[t], axis=1, out=x, mode="clip")
-                a += x
-                np.tanh(a, out=a)
-                gates *= 0.5
-                gates += 0.5
-                c *= f
-                np.multiply(i, g, out=some)
-                c += some
-                np.tanh(c, out=h)
-                h *= o
-                if side == "l":
-                    np.matmul(out, h, out=e[t])
-                else:
-                    e[t] += out @ h
-        return e.transpose(0, 2, 1) + w["out_b"]
+        gates, third = np.array([3 * hidden, hidden], dtype=np.int64), np.array([hidden] * 3, dtype=np.int64)
+        constants, step = [onnx.tensor("gates", gates), onnx.tensor("third", third), onnx.tensor("out_b", w["out_b"][:, None])], []
+        for s, out in (("l", w["out"][:hidden]), ("r", w["out"][hidden:])):
+            constants += [onnx.tensor("seen" + s, w["emb"] @ w["x" + s] + w["b" + s]), onnx.tensor("w" + s, w["h" + s]), onnx.tensor("out" + s, out)]
+            step += [onnx.node("Gather", f"seen{s} id{s}", f"x{s}"), onnx.node("Gemm", f"h{s} w{s} x{s}", f"a{s}"),
+                     onnx.node("Split", f"a{s} gates", f"ifo{s} g{s}", axis=1), onnx.node("Sigmoid", f"ifo{s}", f"open{s}"), onnx.node("Tanh", f"g{s}", f"tg{s}"),
+                     onnx.node("Split", f"open{s} third", f"i{s} f{s} o{s}", axis=1), onnx.node("Mul", f"f{s} c{s}", f"fc{s}"), onnx.node("Mul", f"i{s} tg{s}", f"ig{s}"),
+                     onnx.node("Add", f"fc{s} ig{s}", f"cn{s}"), onnx.node("Tanh", f"cn{s}", f"tc{s}"), onnx.node("Mul", f"o{s} tc{s}", f"hn{s}"),
+                     onnx.node("Gemm", f"out{s} hn{s}", f"en{s}", transA=1, transB=1)]
+        states = ("hl", "cl", "hr", "cr")
+        body = onnx.graph("step", step, [onnx.value(x, onnx.FLOAT, "n", hidden) for x in states] + [onnx.value("id" + s, onnx.INT32, "n") for s in "lr"],
+                          [onnx.value(x[0] + "n" + x[1], onnx.FLOAT, "n", hidden) for x in states] + [onnx.value("en" + s, onnx.FLOAT, TAGS, "n") for s in "lr"])
+        turned = [0, 1]  # the right-to-left side reads and writes from the end
+        nodes = [onnx.node("Scan", "zero zero zero zero ids ids", "hl_ cl_ hr_ cr_ el er", body=body, num_scan_inputs=2, scan_input_directions=turned, scan_output_directions=turned),
+                 onnx.node("Add", "el er", "both"), onnx.node("Add", "both out_b", "e")]
+        run = onnx.runner(onnx.graph("tagger", nodes, [onnx.value("ids", onnx.INT32, "t", "n"), onnx.value("zero", onnx.FLOAT, "n", hidden)],
+                                     [onnx.value("e", onnx.FLOAT, "t", TAGS, "n")], constants))
+        return lambda ids: run({"ids": np.ascontiguousarray(ids.T.astype(np.int32)), "zero": np.zeros((len(ids), hidden), dtype=np.float32)})[0].transpose(0, 2, 1)
+
+    def read(self, ids: np.ndarray) -> np.ndarray:
+        """Tag scores by (step, row, tag); ``ids`` by (row, step)."""
+        return self.reader()(ids)
 
     def plainly_outside(self, e: np.ndarray) -> np.ndarray:
-        """Rows whose best tags are certainly all outside: at every step each other tag loses more than any moves could win back."""
+        """Rows whose best tags are certainly all outside: no run of other tags, wherever it opens and closes, gains over staying outside.
+        A run may go on from any tag to any begin at the best such move, so the gain is never put too low."""
         m = self.moves() - self.moves()[0, 0]
-        win = max(0.0, float(m[:, 1:].max())) + max(0.0, float(m[1:, 0].max()))
-        return ((e[:, :, 1:].max(axis=2) - e[:, :, 0]).max(axis=0) + win < 0) & (e.shape[0] > 0)
+        begins, insides = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter, leave, again = m[0, begins][:, None], max(0.0, float(m[1:, 0].max())), m[1:, begins].max()
+        after_begin, after_inside = m[begins, insides][:, None], m[insides, insides][:, None]
+        scores = e.transpose(0, 2, 1)  # as the graph wrote them
+        run, best, most = np.full((TAGS - 1, e.shape[1]), -np.inf), np.full(e.shape[1], -np.inf), np.full(e.shape[1], -np.inf)
+        for t, gain in enumerate(scores[:, 1:] - scores[:, :1]):
+            inside = np.maximum(run[0::2] + after_begin, run[1::2] + after_inside)
+            run[0::2] = np.maximum(enter, best + again) if t else 0.0  # a row opens without a move
+            run[1::2] = inside
+            run += gain
+            np.max(run, axis=0, out=best)
+            np.maximum(most, best, out=most)
+        return most + leave < -1e-6
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags and their marginal probabilities by (row, step); rows that are plainly outside get probability one."""
-        e = self.read(ids)
-        open_ = np.flatnonzero(~self.plainly_outside(e))
         tags, sure = np.zeros(ids.shape, dtype=np.int64), np.ones(ids.shape)
-        if len(open_):
-            tags[open_], sure[open_] = self.best(e[:, open_])
+        read, rows, scores = self.reader(), [], []
+        for at in range(0, len(ids), BLOCK):
+            e = read(ids[at:at + BLOCK])
+            open_ = np.flatnonzero(~self.plainly_outside(e))
+            rows.append(at + open_)
+            scores.append(e[:, open_])
+        if rows:
+            open_, e = np.concatenate(rows), np.concatenate(scores, axis=1)
+            for at in range(0, len(open_), BLOCK):
+                some = open_[at:at + BLOCK]
+                tags[some], sure[some] = self.best(e[:, at:at + BLOCK])
         return tags, sure
 
     def best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -369,3 +369,30 @@ def test_rows_plainly_outside_are_outside():
     tags, sure = model.decode(ids)
     want = model.best(e)
     assert (tags == want[0]).all() and np.allclose(sure[~clear], want[1][~clear])
+
+
+def test_only_rows_with_a_run_that_may_pay_are_searched():
+    """Single characters that lean to a tag are outside when a run costs more than it gains; no row with a tag is called outside."""
+    rng = np.random.default_rng(2)
+    model = bilstm_crf.Tagger.fresh()
+    model.weights["move"][0, 1:] = model.weights["move"][1:, 0] = -0.8
+    e = rng.normal(0, 0.15, (60, 400, bilstm_crf.TAGS)).astype(np.float32)
+    e[:, :, 0] += 1.0
+    e[rng.integers(1, 59, size=400), np.arange(400), 1] += 1.2
+    e[0, :9, 1] += 4.0  # a row may open with a tag, without a move
+    e[-1, 9:18, 1] += 4.0  # or end with one
+    clear, tags = model.plainly_outside(e), model.best(e)[0]
+    assert not tags[clear].any() and clear.mean() > 0.9 and tags[:9, 0].all() and tags[9:18, -1].all()
+    assert model.plainly_outside(e[:, :0]).shape == (0,)
+
+
+def test_decoding_in_blocks_equals_decoding_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = bilstm_crf.Tagger.fresh()
+    ids = rng.integers(0, 100, size=(70, 33)).astype(np.uint8)
+    want = model.best(model.emissions(ids))
+    monkeypatch.setattr(bilstm_crf, "BLOCK", 16)
+    tags, sure = model.decode(ids)
+    rows = tags.any(axis=1)
+    assert rows.any() and (tags == want[0]).all() and np.allclose(sure[rows], want[1][rows], atol=1e-4)
+    assert model.decode(ids[:0])[0].shape == (0, 33)
