@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -12,7 +13,7 @@ from formline.llm import onnx_graph as onnx
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 VOCAB = 100
-BLOCK = 512  # rows read at once
+BLOCK, SLACK = 768, 0.05  # rows read at once; what a run must lack of paying for its row to be left out of the search
 
 
 def char_ids(code: np.ndarray) -> np.ndarray:
@@ -44,6 +45,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     weights: dict[str, np.ndarray]
 
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights}  # the graph is compiled where it is run
+
     @staticmethod
     def fresh(hidden: int = 24, width: int = 12, seed: int = 7) -> Tagger:
         rng = np.random.default_rng(seed)
@@ -130,8 +134,10 @@ class Tagger:
         top = a[-1].max(axis=1)
         return a, b, top + np.log(np.exp(a[-1] - top[:, None]).sum(axis=1))
 
-    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
-        """``emissions`` for reading only, as one compiled graph: both sides step together, products of characters and weights are looked up."""
+    @cached_property
+    def read(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Tag scores by (step, row, tag) of ``ids`` by (row, step): ``emissions`` for reading only, with the weights as they are when it is first used.
+        One compiled graph: both sides step together, products of characters and weights are looked up."""
         w, hidden = self.weights, self.weights["hl"].shape[0]
         gates, third = np.array([3 * hidden, hidden], dtype=np.int64), np.array([hidden] * 3, dtype=np.int64)
         constants, step = [onnx.tensor("gates", gates), onnx.tensor("third", third), onnx.tensor("out_b", w["out_b"][:, None])], []
@@ -152,19 +158,17 @@ class Tagger:
                                      [onnx.value("e", onnx.FLOAT, "t", TAGS, "n")], constants))
         return lambda ids: run({"ids": np.ascontiguousarray(ids.T.astype(np.int32)), "zero": np.zeros((len(ids), hidden), dtype=np.float32)})[0].transpose(0, 2, 1)
 
-    def read(self, ids: np.ndarray) -> np.ndarray:
-        """Tag scores by (step, row, tag); ``ids`` by (row, step)."""
-        return self.reader()(ids)
-
     def plainly_outside(self, e: np.ndarray) -> np.ndarray:
         """Rows whose best tags are certainly all outside: no run of other tags, wherever it opens and closes, gains over staying outside.
-        A run may go on from any tag to any begin at the best such move, so the gain is never put too low."""
-        m = self.moves() - self.moves()[0, 0]
+        A run may go on from any tag to any begin at the best such move, so the gain is not put too low but for rounding in single precision, which
+        SLACK covers: gains are tens at most where a row is near its limit, so some hundred steps round by less than a hundredth."""
+        m = (self.moves() - self.moves()[0, 0]).astype(np.float32)
         begins, insides = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-        enter, leave, again = m[0, begins][:, None], max(0.0, float(m[1:, 0].max())), m[1:, begins].max()
+        enter, leave, again = m[0, begins][:, None], max(np.float32(0), m[1:, 0].max()), m[1:, begins].max()
         after_begin, after_inside = m[begins, insides][:, None], m[insides, insides][:, None]
         scores = e.transpose(0, 2, 1)  # as the graph wrote them
-        run, best, most = np.full((TAGS - 1, e.shape[1]), -np.inf), np.full(e.shape[1], -np.inf), np.full(e.shape[1], -np.inf)
+        run = np.full((TAGS - 1, e.shape[1]), -np.inf, dtype=np.float32)
+        best, most = run[0].copy(), run[0].copy()
         for t, gain in enumerate(scores[:, 1:] - scores[:, :1]):
             inside = np.maximum(run[0::2] + after_begin, run[1::2] + after_inside)
             run[0::2] = np.maximum(enter, best + again) if t else 0.0  # a row opens without a move
@@ -172,14 +176,14 @@ class Tagger:
             run += gain
             np.max(run, axis=0, out=best)
             np.maximum(most, best, out=most)
-        return most + leave < -1e-6
+        return most + leave < -SLACK
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags and their marginal probabilities by (row, step); rows that are plainly outside get probability one."""
         tags, sure = np.zeros(ids.shape, dtype=np.int64), np.ones(ids.shape)
-        read, rows, scores = self.reader(), [], []
+        rows, scores = [], []
         for at in range(0, len(ids), BLOCK):
-            e = read(ids[at:at + BLOCK])
+            e = self.read(ids[at:at + BLOCK])
             open_ = np.flatnonzero(~self.plainly_outside(e))
             rows.append(at + open_)
             scores.append(e[:, open_])

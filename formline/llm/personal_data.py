@@ -30,7 +30,7 @@ from formline.llm.bilstm_crf import KINDS, Tagger, char_ids, train
 from formline.llm.common import id_text, query, slices, table
 
 WIDTH, STRIDE, PLAIN, MIN_ADDED = 96, 48, 32, 6
-READ, LAP, ROWS = 240, 48, 4096  # characters of a window that is read, those it shares with the next, windows decoded at once
+READ, LAP, ROWS = 480, 48, 16384  # characters of a window that is read, those it shares with the next, windows decoded at once
 WAYS, SURE = 4, 0.5  # disguises shown of each base span; least marginal of an added span's characters
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
