@@ -22,7 +22,7 @@ from formline.plans.q_ratings import HIST, _elo_sql
 from formline.plans.registry import ORACLES, R, query, r6
 from formline.sources import sinks as sk
 from formline.sources.contests import contests, contests_long, table
-from formline.session import scratch
+from formline.session import scratch, stored
 from formline.streaming import twins as st
 
 CUT = "1999-08-01"
@@ -188,7 +188,7 @@ def s13b(spark, d):
 def _feature_stream(spark, d):
     rows = contests(spark, d).select(_ts(), F.col("pool").cast("long").alias("pool"), "match_id", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "result",
                                      F.when(F.col("result") == "H", 1.0).when(F.col("result") == "D", 0.5).when(F.col("result") == "A", 0.0).alias("score"), "home_goals", "away_goals", "season")
-    log = rows.unionByName(st.closing_row(rows, "ts", 3))
+    log = stored(rows.unionByName(st.closing_row(rows, "ts", 3)), "log")  # each slice reads it again
     stream = st.replay(log, [*seasons(spark, d), F.col("season").isNull()]).withWatermark("ts", "0 seconds")
     return st.game_features(stream.filter("match_id is not null or ts is null"))  # the closing row only moves the watermark
 
@@ -204,7 +204,7 @@ STREAM_SQL = _elo_sql() + """, form as (select match_id, venue, list_avg(list_re
   from contests c join form h on h.match_id = c.match_id and h.venue = 'H' join form a on a.match_id = c.match_id and a.venue = 'A' join met on met.match_id = c.match_id join hist on hist.match_id = c.match_id""")
 def t09b(spark, d):
     """Features that arise inside one stream, row by row."""
-    out = st.run(_feature_stream(spark, d))
+    out = st.run(_feature_stream(spark, d), partitions=st.state_partitions(spark))
     return out.select("match_id", r6("home_mean").alias("home_mean"), r6("away_mean").alias("away_mean"), "lo_wins", "hi_wins", "draws", "games", r6("home_elo", 4).alias("home_elo"), r6("away_elo", 4).alias("away_elo"))
 
 

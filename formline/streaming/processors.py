@@ -160,6 +160,51 @@ class Carrying(StatefulProcessor):
         self.inner.close()
 
 
+class BucketLast(StatefulProcessor):
+    """``LastN`` for a bucket of entities at once: key, the bucket; state, by entity its last values and the place it has reached."""
+
+    NEW = ["mean", "n"]
+    NO_ENT = np.iinfo(np.int64).min  # a null entity is one of its own
+
+    def __init__(self, n: int, kept: list[str]) -> None:
+        self.n, self.kept = n, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "ent long", "items array<double>, t long, id long")
+
+    def means(self, items: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean (null without any) and number of the last ``n`` items at most, for each count of the items that stand before a row."""
+        size = np.minimum(before, self.n)
+        total = np.zeros(len(before))
+        for j in range(self.n if len(items) else 0):  # oldest first
+            total += np.where(j < size, items[np.minimum(before - size + j, len(items) - 1)], 0.0)
+        return np.divide(total, size, out=np.full(len(before), np.nan), where=size > 0), size
+
+    def handleInputRows(self, key, rows, timerValues):
+        sides = ordered(rows)
+        ents = sides["ent"].fillna(self.NO_ENT).to_numpy().astype("int64")
+        by_ent = np.argsort(ents, kind="stable")  # each entity's rows stay in order
+        sides, ents = sides.iloc[by_ent].reset_index(drop=True), ents[by_ent]
+        times, ids, values = sides["ts"].astype("datetime64[ns]").astype("int64").to_numpy(), sides["match_id"].to_numpy().astype("int64"), sides["value"].to_numpy().astype("float64")
+        mean, n, late = np.empty(len(sides)), np.empty(len(sides), "int64"), np.zeros(len(sides), bool)
+        first = np.flatnonzero(np.r_[True, ents[1:] != ents[:-1]])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ents)]):
+            ent = (int(ents[a]),)
+            held, t, i = self.last.getValue(ent) if self.last.containsKey(ent) else ([], None, None)
+            if t is not None:
+                late[a:b] = (times[a:b] < t) | ((times[a:b] == t) & (ids[a:b] < i))
+            counts = ~late[a:b] & ~np.isnan(values[a:b])
+            items = np.r_[np.array(held, "float64"), values[a:b][counts]]
+            mean[a:b], n[a:b] = self.means(items, len(held) + np.cumsum(counts) - counts)
+            if not late[b - 1]:
+                self.last.updateValue(ent, (items[-self.n:].tolist(), int(times[b - 1]), int(ids[b - 1])))
+        mean[late] = np.nan
+        yield sides[self.kept].assign(mean=mean, n=pd.Series(n, dtype="Int32").mask(late))
+
+    def close(self) -> None:
+        pass
+
+
 class BothSides(StatefulProcessor):
     """Key: bucket of games. Holds the side of a game that came first until the other one comes, then gives one row with both means."""
 
