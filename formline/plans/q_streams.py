@@ -216,7 +216,7 @@ def t09c(spark, d):
     expected = 0.75 / (1 + F.pow(F.lit(10.0), (F.col("away_elo") - F.col("home_elo")) / 400.0))
     scored = _feature_stream(spark, d).withColumns({"p_h": expected, "p_d": F.lit(0.25), "p_a": 0.75 - expected, "pred": F.when(expected >= 0.375, 0).otherwise(2),
                                                     "actual": F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).when(F.col("result") == "A", 2)})
-    return st.run(st.daily_scores(scored)).select(F.col("day").cast("string").alias("day"), "games", r6("accuracy").alias("accuracy"), r6("log_loss").alias("log_loss"))
+    return st.run(st.daily_scores(scored), partitions=st.state_partitions(spark)).select(F.col("day").cast("string").alias("day"), "games", r6("accuracy").alias("accuracy"), r6("log_loss").alias("log_loss"))
 
 
 @query("t09_prequential")
