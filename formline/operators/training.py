@@ -18,6 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formline.operators import cells
 from formline.operators.evaluation import CLASSES, hit, row_log_loss, time_series_folds
 from formline.operators.neighbours import exact_neighbours
 from formline.session import stored
@@ -25,6 +26,7 @@ from formline.session import stored
 # Fixed values.
 SEED = 42
 LEAK_DEPTH, LEAK_GAP = 3, 0.3
+CELL_ROWS, CELLS = 2_000_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -86,8 +88,11 @@ def fold_scores(df: DataFrame, estimator, label: str, n: int) -> list[dict[str,
 
 
 def cross_validate(df: DataFrame, estimator, label: str, n: int = 5) -> dict[str, float]:
-    scores = fold_scores(df, estimator, label, n)
-    test = [s["test"] for s in scores]
+    return summary(fold_scores(df, estimator, label, n))
+
+
+def summary(scores: Sequence[Mapping[str, float]]) -> dict[str, float]:
+    n, test = len(scores), [s["test"] for s in scores]
     mean = sum(test) / n
     return {"mean": mean, "std": (sum((t - mean) ** 2 for t in test) / n) ** 0.5, "train": sum(s["train"] for s in scores) / n}
 
@@ -215,12 +220,23 @@ def eliminate(df: DataFrame, features: Sequence[str], label: str, keep: int, cor
 
 
 def ablation(df: DataFrame, ordered: Sequence[str], label: str, n: int = 3,
-             p: ForestParams = ForestParams(trees=20, depth=5)) -> list[tuple[int, str, float, float]]:
-    """(size, added feature, mean, std) of nested feature lists."""
+             p: ForestParams = ForestParams(trees=20, depth=5), cell_rows: int = CELL_ROWS) -> list[tuple[int, str, float, float]]:
+    """(size, added feature, mean, std) of nested feature lists.
+
+    More than ``cell_rows`` rows are folded into cells first (see ``cells``): the same forests with other random numbers, on counts. Where the features make too many cells,
+    or ``p`` has settings of MLlib's own, MLlib fits rows whatever their number.
+    """
     folded = with_folds(df, ordered, label, n).dropna()
+    found, sizes = None, range(1, len(ordered) + 1)
+    subsets = [cells.subset_size(p.subset, i, p.trees) for i in sizes]
+    if not p.extra and None not in subsets and folded.count() > cell_rows:
+        found = cells.nested_accuracies(folded, ordered, label, n, p.trees, p.depth, p.min_leaf, subsets, SEED, CELLS)
     out = []
-    for i in range(1, len(ordered) + 1):
-        cv = cross_validate(assemble(folded, ordered[:i]), forest(label, p), label, n)
+    for i in sizes:
+        if found is None:
+            cv = cross_validate(assemble(folded, ordered[:i]), forest(label, p), label, n)
+        else:
+            cv = summary([{"train": train, "test": test} for train, test in found[i - 1]])
         out.append((i, ordered[i - 1], cv["mean"], cv["std"]))
     return out
 
