@@ -195,6 +195,32 @@ def test_without_lines(spark, odd_docs, no_docs):
     assert line_dedup.removed_lines(no_docs).count() == 0 and line_dedup.without_lines(no_docs, line_dedup.removed_lines(no_docs)).count() == 0
 
 
+def test_lines_meet_in_passes_and_leave_no_shuffle_files(spark, monkeypatch):
+    """Edited copies on both sides of every border of a group, found alike in one pass and in many; one pass's keys go before the next ones come."""
+    rng, rows = random.Random(5), []
+    for lo, edits, _, _ in line_dedup.edit_bands(24, 400):
+        for n in (lo - 1, lo, lo + edits - 1):
+            line = "".join(rng.choice("abcdefghij ") for _ in range(max(n, 24)))
+            rows += [(len(rows), line), (len(rows) + 1, mutated(rng, line, 2))]
+            rows.append((len(rows), line + "xy"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id for r in line_dedup.removed_lines(df).collect()}
+    monkeypatch.setattr(line_dedup, "PASS_CHARS", 100)
+    texts = df.select(F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.col("text").alias("line")).distinct()
+    parts = line_dedup.passes(line_dedup.line_keys(texts, 24))
+    groups = line_dedup.key_groups(line_dedup.edit_bands())
+    assert len(parts) > 4 and all(a <= b for a, b in parts) and [a for a, _ in parts] == sorted({a for a, _ in parts})
+    assert all(line_dedup.edit_bands()[i - 1][1] <= most and k + w - 1 <= lo // (e + 1) for i, _, most, k, w in groups for lo, e, _, _ in [line_dedup.edit_bands()[i - 1]])
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: set(folder.getAllFiles().mkString("|").split("|"))
+    before = kept()
+    got = line_dedup.near_by_length(texts, 24)
+    assert {f for f in kept() - before if "shuffle_" in f} == set()
+    assert got.count() > 60 and {r.doc_id for r in line_dedup.removed_lines(df).collect()} == whole
+    near = {r.doc_id for r in df.collect() for d, t in rows if d < r.doc_id and (t == r.text or abs(len(t) - len(r.text)) <= 2 and brute.edit_distance(t, r.text) <= 2)}
+    assert near <= whole
+
+
 def test_line_dedup_runs_no_python(spark, folder):
     plan = line_dedup.op10_line_dedup(spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
